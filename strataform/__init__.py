@@ -1,0 +1 @@
+"""strataform: versioned key-value data as DataFrames, on PySpark."""
