@@ -1,0 +1 @@
+"""Operators for large training-data pipelines; nothing outside this subpackage imports it."""

@@ -1,0 +1,25 @@
+"""The queries over this subpackage's operators, with production parameters, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def byte_bpe() -> tuple[str, str, str]:
+    import public_tokenizers as public
+
+    return public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), byte_bpe(), window=2048, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op6_best_fit_packing,)}
+SQL: dict[str, str] = {}

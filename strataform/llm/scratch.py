@@ -1,0 +1,45 @@
+"""Shared scratch tables: how operators cut lineage so that a lost executor costs one stage."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all machines share. spark.checkpoint.dir names it; only where that is unset (tests
+    on one machine) a local temporary folder stands in."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataform-"))
+        current = sc.getCheckpointDir()
+    return current
+
+
+class Scratch:
+    """Parquet tables under the shared folder, dropped as soon as no later step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write df once and return a scan of what was written."""
+        self.n += 1
+        path = f"{self.root}/{self.n:03d}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that keep() returned and nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for t in tables:
+            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

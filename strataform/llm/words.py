@@ -1,0 +1,78 @@
+"""Words and 64-bit word hashes, on Arrow batches in Python workers."""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+
+MASK = (1 << 64) - 1
+
+
+class WordHashes(dict):
+    """word (bytes) -> 64-bit hash, remembered for words met lately; emptied when it grows past
+    `limit` entries, so that a worker's memory does not grow with the vocabulary."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def ascii_words(text: bytes | None) -> list:
+    """Maximal runs of bytes other than space, tab, \\n, \\v, \\f and \\r (bytes.split has just these)."""
+    return text.split() if text else []
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser on uint64."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Powers:
+    """B^i and B^-i modulo 2^64 for an odd base B, grown on demand."""
+
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up), 4096)
+            step = np.full(size, self.BASE, np.uint64)
+            back = np.full(size, self.INVERSE, np.uint64)
+            step[0] = back[0] = 1
+            with np.errstate(over="ignore"):
+                self.up, self.down = np.multiply.accumulate(step), np.multiply.accumulate(back)
+        return self.up[:n], self.down[:n]
+
+
+class RollingHash:
+    """Hashes of word ranges: a polynomial over the word hashes, by prefix sums modulo 2^64."""
+
+    def __init__(self, hashes: np.ndarray, powers: Powers):
+        up, self.down = powers.get(len(hashes) + 1)
+        with np.errstate(over="ignore"):
+            self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.prefix[end] - self.prefix[start]) * self.down[start])
+
+    def grams(self, n: int) -> np.ndarray:
+        """The hash of every n consecutive words."""
+        with np.errstate(over="ignore"):
+            return mix((self.prefix[n:] - self.prefix[:-n]) * self.down[: len(self.prefix) - n])
