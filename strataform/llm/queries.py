@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +16,54 @@ def byte_bpe() -> tuple[str, str, str]:
     return public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN
 
 
+def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(5))
+    model = train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.chosen_path import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataform.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), byte_bpe(), window=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing,)}
-SQL: dict[str, str] = {}
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.substring import drop_repeats
+
+    found = drop_repeats(table(spark, sf_dir, "documents"), least=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.tiling import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxic_spans, op3_chosen_path_join, op6_best_fit_packing, op7_repeated_passages, op10_string_tiling)}
+
+SQL = {
+    "op7_repeated_passages": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS w FROM texts, unnest(range(1, len(words) - 48)) AS t(i)),
+        first AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w),
+        gone AS (SELECT DISTINCT doc_id, p FROM windows JOIN first USING (w), unnest(range(i, i + 50)) AS t(p) WHERE low < doc_id),
+        each AS (SELECT doc_id, words[p] AS word, p FROM texts, unnest(range(1, len(words) + 1)) AS t(p)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS joined FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(joined, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)
+    """,
+}

@@ -1,0 +1,178 @@
+"""Benchmark decontamination by greedy string tiling.
+
+Benchmark items and documents are lists of normalised words (lower case, outer punctuation stripped).
+A document that shares no run of `min_match` words with any item is passed over by Karp-Rabin hashes
+alone. For each document and item that share such a seed, greedy string tiling marks, longest first,
+matches whose words are not yet covered on either side, until none of at least `min_match` words is
+left. The share of the item's words under its tiles is its coverage, whatever the order in which the
+document has them; the document is contaminated by items whose coverage reaches `threshold`.
+
+The items are read in blocks of at most `block_words` words, and only such a block is ever sent to the
+workers; a benchmark of any size takes as many passes as it has blocks.
+
+Defined cases: null and empty texts match nothing; items of fewer than `min_match` words match only as
+a whole (the seed is then the whole item); repeated documents are each reported; repeated items are
+each reported; a null doc_id or item_id stays null; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataform.llm.words import Powers, RollingHash, WordHashes
+
+FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered_words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])))])
+FOUND_DDL = "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles array<struct<item_start: long, doc_start: long, length: long>>"
+
+
+class NormalHashes(WordHashes):
+    """Hash of a word's normal form; 0 for a word that has no letter or digit."""
+
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode("utf-8", "replace").lower()
+        lo, hi = 0, len(text)
+        while lo < hi and not text[lo].isalnum():
+            lo += 1
+        while hi > lo and not text[hi - 1].isalnum():
+            hi -= 1
+        if lo == hi:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = 0
+            return 0
+        normal = text[lo:hi].encode()
+        h = super().__missing__(normal) or 1
+        self[word] = h
+        return h
+
+    def words(self, text: bytes | None) -> np.ndarray:
+        found = self.of(text.split()) if text else np.zeros(0, np.uint64)
+        return found[found != 0]
+
+
+def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (item start, document start, length), longest first; ties go to the
+    earlier item position, then the earlier document position.
+
+    Maximal matches are found once, by extending seeds along the diagonals; each round takes the
+    longest that is still free on both sides, and cuts the others back to what is left of them.
+    """
+    n, m = len(item), len(doc)
+    places: dict[int, list[int]] = {}
+    for i, h in enumerate(item.tolist()):
+        places.setdefault(h, []).append(i)
+    open_runs: dict[int, tuple[int, int]] = {}
+    found: list[tuple[int, int, int]] = []
+    for j, h in enumerate(doc.tolist() + [None]):
+        now: dict[int, tuple[int, int]] = {}
+        for i in places.get(h, ()):
+            now[i] = (open_runs[i - 1][0], open_runs[i - 1][1] + 1) if i - 1 in open_runs else (j, 1)
+        for i, (start, length) in open_runs.items():
+            if i + 1 not in now and length >= least:
+                found.append((i - length + 1, start, length))
+        open_runs = now
+    item_free, doc_free = np.ones(n, bool), np.ones(m, bool)
+    tiles: list[tuple[int, int, int]] = []
+    while found:
+        found.sort(key=lambda t: (-t[2], t[0], t[1]))
+        i, j, length = found[0]
+        rest = []
+        free = item_free[i : i + length] & doc_free[j : j + length]
+        if free.all():
+            tiles.append((i, j, length))
+            item_free[i : i + length] = False
+            doc_free[j : j + length] = False
+        else:
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+            rest = [(i + int(a), j + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
+        found = found[1:] + rest
+    return tiles
+
+
+class ItemIndex:
+    """Seeds of a block of items: the sorted hashes of their `least`-word runs, with the items each
+    belongs to, and a bitmap that turns away nearly all other hashes at one look."""
+
+    BITS = 22
+
+    def __init__(self, items: list[tuple[int | None, bytes]], least: int):
+        known, powers = NormalHashes(), Powers()
+        self.ids = [i for i, _ in items]
+        self.words = [known.words(t) for _, t in items]
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        seeds: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for k, w in enumerate(self.words):
+            if len(w):
+                size = min(least, len(w))
+                g = np.unique(RollingHash(w, powers).grams(size))
+                seeds.setdefault(size, []).append((g, np.full(len(g), k)))
+        for size, parts in seeds.items():
+            h, k = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            bitmap = np.zeros(1 << self.BITS, bool)
+            bitmap[h >> np.uint64(64 - self.BITS)] = True
+            self.by_length[size] = h[order], k[order], bitmap
+
+    def candidates(self, words: np.ndarray, rolling: RollingHash) -> set[int]:
+        out: set[int] = set()
+        for size, (hashes, owners, bitmap) in self.by_length.items():
+            if len(words) >= size:
+                g = rolling.grams(size)
+                g = g[bitmap[g >> np.uint64(64 - self.BITS)]]
+                if len(g):
+                    lo, hi = np.searchsorted(hashes, g, "left"), np.searchsorted(hashes, g, "right")
+                    for a, b in {(int(a), int(b)) for a, b in zip(lo, hi) if a < b}:
+                        out.update(owners[a:b].tolist())
+        return out
+
+
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items, streamed to the driver one partition at a time, in blocks of a bounded size."""
+    block, size = [], 0
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary")).toLocalIterator():
+        text = bytes(row[1] or b"")
+        block.append((row[0], text))
+        size += len(text.split()) + 1
+        if size >= block_words:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 8, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, item_words, covered_words, coverage, tiles: one row per document and item whose
+    coverage reaches the threshold. Tiles give word positions among the normalised words."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+
+    def against(block):
+        sent = spark.sparkContext.broadcast(block)
+
+        def search(batches):
+            index, known, powers = ItemIndex(sent.value, min_match), NormalHashes(), Powers()
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    words = known.words(text.as_py())
+                    if not len(words):
+                        continue
+                    for k in index.candidates(words, RollingHash(words, powers)):
+                        item = index.words[k]
+                        tiles = tile(item, words, min(min_match, len(item)))
+                        covered = sum(t[2] for t in tiles)
+                        if covered >= threshold * len(item):
+                            rows.append((doc_id, index.ids[k], len(item), covered, covered / len(item), [dict(zip(("item_start", "doc_start", "length"), t)) for t in tiles]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)
+
+        return texts.mapInArrow(search, FOUND_DDL)
+
+    parts = [against(block) for block in item_blocks(benchmark, block_words)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND_DDL)
