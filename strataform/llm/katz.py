@@ -1,0 +1,476 @@
+"""Katz backoff language model: counts in partitioned tables, exact normalisation, scores per text.
+
+Words are maximal runs of bytes other than ASCII white space, A-Z in lower case; each text ends with an
+end token, which is also the history of its first word. Every word is counted. At most
+`frequent` of the most frequent words have ids; at bigram level the others, unknown ones included, are one class. So
+
+    p1(w)     = d(c) c / N for a word seen c > 0 times; what is left goes to the unknown word
+    p(w | h)  = p2(class of w | class of h) * p1(w) / p1(class of w)
+    p2(v | h) = d(c) c(h v) / c(h) if the bigram was seen, else a(h) p1(v)
+    a(h)      = (1 - sum of the p2 of what was seen after h) / (1 - sum of their p1)
+
+with d the Good-Turing discount for counts up to 5 (Katz), taken from the counts of counts of all
+training texts at each level. Each distribution sums to one over the training words and one unknown
+word.
+
+Bigrams are counted in buckets by a hash of both words, so no frequent history or pair fills one: a
+worker sends, per run of texts and bucket, its distinct keys and their counts packed into one row. A
+bucket's table is one row of sorted keys and counts; words are counted alike. What is broadcast is
+bounded: the ids of at most `frequent` words (those with the highest counts), one number per such
+history, and the values of at most `hot_pairs` bigrams (the same). All other bigrams of a text, and its
+rarer words, are asked of the tables: packed by bucket, answered there, and summed by text.
+
+Defined cases: a null or empty text is one end token; repeated rows count as often as they occur; a
+null doc_id is scored, and trains if `training` says so; without training texts every probability is
+that of the unknown word, one; an empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strataform.llm.scratch import Scratch
+from strataform.llm.words import WordHashes, mix
+
+LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+K = 5  # counts above it are not discounted
+END = np.uint64(0x2545F4914F6CDD1D)  # the end token's hash
+RARE, END_ID = 0, 1  # ids of the class of all words without one, and of the end token
+
+
+@dataclass(frozen=True)
+class Katz:
+    frequent: int = 1 << 18
+    hot_pairs: int = 1 << 18
+    run_chars: int = 6_000_000
+    bucket_chars: int = 12_000_000
+
+
+def discounts(n: list[int], total: int) -> np.ndarray:
+    """d(0), ..., d(K) from counts of counts n[1..K + 1]; d(0) is unused. Where the counts give no
+    sensible discount (tiny or odd data), that of absolute discounting stands in."""
+    d = np.ones(K + 1)
+    if not total:
+        return d
+    n1, n2 = n[1], n[2]
+    share = (K + 1) * n[K + 1] / n1 if n1 else 1.0
+    flat = n1 / (n1 + 2 * n2) if n1 else 0.5
+    for r in range(1, K + 1):
+        good = ((r + 1) * n[r + 1] / (n[r] * r) - share) / (1 - share) if n[r] and share < 1 else 0.0
+        d[r] = good if 0 < good < 1 else 1 - flat / r
+    return d
+
+
+def apply(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts * np.where(counts <= K, d[np.minimum(counts, K)], 1.0)
+
+
+class Reader:
+    """Texts as arrays of word hashes, each with its end token, in runs of about `run_chars`."""
+
+    def __init__(self, model: Katz):
+        self.known, self.run_chars = WordHashes(), model.run_chars
+
+    def runs(self, batches, columns: int):
+        """(other columns as lists, hashes end to end, lengths) for texts in the first column."""
+        held: list[list] = [[] for _ in range(columns)]
+        hashes, size = [], 0
+        for batch in batches:
+            others = [c.to_pylist() for c in batch.columns[1:]]
+            for i, text in enumerate(batch.column(0)):
+                text = text.as_py() or b""
+                hashes.append(np.append(self.known.of(text.translate(LOWER).split()), END))
+                for h, c in zip(held, others):
+                    h.append(c[i])
+                size += len(text)
+                if size >= self.run_chars:
+                    yield held, np.concatenate(hashes), np.array([len(h) for h in hashes])
+                    held, hashes, size = [[] for _ in range(columns)], [], 0
+        if hashes:
+            yield held, np.concatenate(hashes), np.array([len(h) for h in hashes])
+
+
+def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+@dataclass
+class Words:
+    """What all workers need of the words: bounded by Katz.frequent."""
+
+    hashes: np.ndarray  # sorted
+    counts: np.ndarray
+    ids: np.ndarray
+    log_p: np.ndarray  # of p1, by id; at RARE that of the class
+    n_by_id: np.ndarray
+    total: int
+    distinct: int
+    d: np.ndarray
+    kept: float
+    log_unknown: float  # of p1 of the unknown word
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, count); RARE and -1 for a word without an id."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        return np.where(found, self.ids[at], RARE), np.where(found, self.counts[at], -1)
+
+
+def learn_words(table: DataFrame, model: Katz) -> Words:
+    total, distinct, n, scale = summary(table)
+    d = discounts(n, total)
+    keys, counts = highest(table, scale, model.frequent, END)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    ids = np.arange(len(keys)) + 2
+    ids[keys == END] = END_ID
+    lost = sum(n[r] * r * (1 - d[r]) for r in range(1, K + 1))
+    unknown = max(lost / total, 1e-9) if total else 1.0
+    kept = 1.0 if lost else 1 - unknown  # where nothing was discounted a sliver is set aside all the same
+    p = np.ones(len(keys) + 2)
+    n_by_id = np.ones(len(keys) + 2, np.int64)
+    p[ids] = apply(d, counts) * kept / max(total, 1)
+    n_by_id[ids] = counts
+    p[RARE], n_by_id[RARE] = max(1 - p[ids].sum(), unknown), max(1, total - counts.sum())
+    return Words(keys, counts, ids, np.log10(p), n_by_id, total, distinct, d, kept, float(np.log10(unknown)))
+
+
+SHIFT = np.uint64(24)
+
+
+def keys_of(hashes: np.ndarray, lengths: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(history id << 24 | id) of each token, its id and its count."""
+    ids, counts = words.find(hashes)
+    history = np.roll(ids, 1)
+    history[np.cumsum(lengths) - lengths] = END_ID
+    return history.astype(np.uint64) << SHIFT | ids.astype(np.uint64), ids, counts
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(keys) % np.uint64(buckets)).astype(np.int64)
+
+
+def packed(keys: np.ndarray, others: list[np.ndarray], buckets: int):
+    """(bucket, size, packed keys, packed others...) for keys in order; keys as differences."""
+    at = bucket_of(keys, buckets)
+    order = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        own = order[edges[b] : edges[b + 1]]
+        yield (b, len(own), squeeze(np.diff(keys[own], prepend=np.uint64(0))), *(squeeze(o[own]) for o in others))
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """An array as byte planes, compressed."""
+    x = np.ascontiguousarray(x, x.dtype.newbyteorder("<"))
+    planes = x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.copy().tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return planes.T.copy().view(np.dtype(dtype).newbyteorder("<")).reshape(n).astype(dtype)
+
+
+PAIRS = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+TABLE = pa.schema([*PAIRS, ("by_count", pa.list_(pa.int64())), ("by_scale", pa.list_(pa.int64())), ("total", pa.int64())])
+SCALES = 48
+
+
+def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(n, first) if len(k) else n
+
+
+def count_table(texts: DataFrame, keys_in, model: Katz, buckets: int) -> DataFrame:
+    """One row per bucket: its keys in order, their counts, how many keys have each count up to K + 1,
+    and how many have counts from 2^i to 2^(i+1) - 1. keys_in: (hashes, lengths) -> a key per token."""
+
+    def emit(batches):
+        for _, hashes, lengths in Reader(model).runs(batches, 0):
+            keys, n = np.unique(keys_in(hashes, lengths), return_counts=True)
+            out = [*packed(keys, [n.astype(np.uint32)], buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PAIRS)], schema=PAIRS)
+
+    def gather(batches):
+        now, keys, counts, pending = None, [], [], 0
+
+        def done():
+            k, n = merge(keys, counts)
+            by_count = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]
+            by_scale = np.bincount(np.log2(n).astype(int), minlength=SCALES)
+            out = (now, len(k), squeeze(np.diff(k, prepend=np.uint64(0))), squeeze(n.astype(np.uint64)), by_count.tolist(), by_scale.tolist(), int(n.sum()))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(out, TABLE)], schema=TABLE)
+
+        for batch in batches:
+            for bucket, size, k, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and now is not None:
+                    yield done()
+                    keys, counts, pending = [], [], 0
+                now = bucket
+                keys.append(np.cumsum(unsqueeze(k, size, np.uint64), dtype=np.uint64))
+                counts.append(unsqueeze(n, size, np.uint32).astype(np.int64))
+                pending += size
+                if pending > 2_000_000 and len(keys) > 1:
+                    k, n = merge(keys, counts)
+                    keys, counts, pending = [k], [n], 0
+        if now is not None:
+            yield done()
+
+    ddl = "bucket int, size int, keys binary, counts binary"
+    sent = texts.mapInArrow(emit, ddl).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(gather, ddl + ", by_count array<long>, by_scale array<long>, total long")
+
+
+def summary(table: DataFrame) -> tuple[int, int, list[int], list[int]]:
+    """All tokens, distinct keys, keys by count, keys by scale of count."""
+    sums = table.select(F.sum("total"), F.sum("size"), *(F.sum(F.col("by_count")[r]) for r in range(K + 2)), *(F.sum(F.col("by_scale")[i]) for i in range(SCALES))).first()
+    sums = [x or 0 for x in sums]
+    return sums[0], sums[1], sums[2 : K + 4], sums[K + 4 :]
+
+
+def highest(table: DataFrame, by_scale: list[int], most: int, always: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the keys with counts of at least 2^i, for the least i that gives at most
+    `most`; and of the key `always`. Bounded, so the driver may hold them."""
+    floor, room = SCALES, most
+    while floor > 0 and by_scale[floor - 1] <= room:
+        floor -= 1
+        room -= by_scale[floor]
+    least = 1 << floor
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def pick(batches):
+        for batch in batches:
+            for _, keys, counts in read_table(batch):
+                some = counts >= least
+                if always is not None:
+                    some |= keys == always
+                yield rows(schema, keys[some].view(np.int64), counts[some])
+
+    top = table.select("bucket", "size", "keys", "counts").mapInArrow(pick, "key long, n long").toArrow()
+    return top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+
+
+def read_table(batch):
+    for bucket, size, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        yield bucket, np.cumsum(unsqueeze(keys, size, np.uint64), dtype=np.uint64), unsqueeze(counts, size, np.uint64).astype(np.int64)
+
+
+HISTORY = pa.schema([("history", pa.int64()), ("seen", pa.float64()), ("lower", pa.float64())])
+
+
+def history_weights(pairs: DataFrame, sent, d: np.ndarray) -> DataFrame:
+    """(history, seen, lower): over the bigrams seen after it, the sums of p2 and of p1."""
+
+    def run(batches):
+        words = sent.value
+        p1 = 10.0**words.log_p
+        for batch in batches:
+            for _, keys, counts in read_table(batch):
+                h, w = (keys >> SHIFT).astype(np.int64), (keys & np.uint64((1 << 24) - 1)).astype(np.int64)
+                top = int(h.max()) + 1
+                seen, lower = np.bincount(h, apply(d, counts), top), np.bincount(h, p1[w], top)
+                some = np.flatnonzero(lower)
+                yield rows(HISTORY, some, seen[some], lower[some])
+
+    return pairs.select("bucket", "size", "keys", "counts").mapInArrow(run, "history long, seen double, lower double").groupBy("history").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
+
+
+@dataclass
+class Pairs:
+    """The bounded part of the bigram level: log a(h) by id, and the hot pairs' values."""
+
+    log_alpha: np.ndarray
+    d: np.ndarray
+    hot_keys: np.ndarray
+    hot_values: np.ndarray
+    scale: np.ndarray  # factor on p2 of what was seen after h, which keeps its sum below one
+
+    def value(self, words: Words, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What a seen bigram adds to a token's log10 probability, over backing off."""
+        h, w = (keys >> SHIFT).astype(np.int64), (keys & np.uint64((1 << 24) - 1)).astype(np.int64)
+        p2 = apply(self.d, counts) * self.scale[h] / words.n_by_id[h]
+        return np.log10(p2) - self.log_alpha[h] - words.log_p[w]
+
+
+def learn_pairs(table: DataFrame, words: Words, sent, model: Katz) -> Pairs:
+    total, _, n, scale_of = summary(table)
+    d = discounts(n, total)
+    size = len(words.log_p)
+    log_alpha, scale = np.zeros(size), np.ones(size)
+    sums = history_weights(table, sent, d).toArrow()
+    h, seen, lower = (sums.column(i).to_numpy() for i in range(3))
+    if len(h):
+        mass = seen / words.n_by_id[h]
+        backs_off = lower < 1 - 1e-12  # else every word was seen after h
+        keep = np.where(backs_off, np.minimum(mass, 1 - 1e-6), 1.0)
+        scale[h] = keep / mass
+        log_alpha[h] = np.log10(np.where(backs_off, 1 - keep, 1.0)) - np.log10(np.where(backs_off, 1 - lower, 1.0))
+    keys, counts = highest(table, scale_of, model.hot_pairs)
+    order = np.argsort(keys)
+    out = Pairs(log_alpha, d, keys[order], np.zeros(len(keys)), scale)
+    if len(keys):
+        out.hot_values = out.value(words, keys[order], counts[order])
+    return out
+
+
+# One row per run of texts: its rows of the result so far.
+RUN = "run long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<double>, base array<double>, score array<double>"
+# What a run asks of a bucket of a level's table: sorted keys, and the place in the run of each.
+ASK = "level int, bucket int, size int, keys binary, at binary"
+# What a bucket answers: sums by place in the run.
+ANSWER = "run long, places binary, n_known binary, base binary, score binary"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def score_texts(docs: DataFrame, training: Column, model: Katz = Katz()) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
+
+    training: which rows the model learns from. n_known: tokens that the training texts have.
+    base_score: under add-one smoothed word counts. score: log10 probability under the model.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "katz")
+    texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"))
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // model.bucket_chars)
+    learned = texts.where("training").select("text")
+    table1 = scratch.keep(count_table(learned, lambda hashes, lengths: hashes, model, buckets))
+    words = learn_words(table1, model)
+    sent = spark.sparkContext.broadcast(words)
+    table2 = scratch.keep(count_table(learned, lambda hashes, lengths: keys_of(hashes, lengths, sent.value)[0], model, buckets))
+    pairs = learn_pairs(table2, words, sent, model)
+    sent2 = spark.sparkContext.broadcast(pairs)
+    first = scratch.keep(texts.mapInArrow(ask_tables(sent, sent2, model, buckets), f"{RUN}, {ASK}"))
+    tables = [t.select(F.lit(level).alias("level"), "bucket", F.lit(-1).cast("long").alias("run"), "size", "keys", F.col("counts").alias("at")) for level, t in ((1, table1), (2, table2))]
+    asked = first.where("level > 0").select("level", "bucket", "run", "size", "keys", "at")
+    met = tables[0].unionAll(tables[1]).unionAll(asked).repartition(2 * buckets, "level", "bucket").sortWithinPartitions("level", "bucket", "run")
+    answers = met.mapInArrow(answer_runs(sent, sent2), ANSWER)
+    own = first.where("level = 0")
+    columns = [c.split()[0] for c in RUN.split(", ")]
+    parts = ("places", "n_known", "base", "score")
+    both = own.select(*columns, F.lit(0).alias("turn"), *(F.lit(None).cast("binary").alias(f"{c}_sum") for c in parts))
+    both = both.unionAll(answers.select("run", *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in columns[1:]), F.lit(1).alias("turn"), *(F.col(c).alias(f"{c}_sum") for c in parts)))
+    return both.repartition(buckets, "run").sortWithinPartitions("run", "turn").mapInArrow(sum_runs(words.total), RESULT)
+
+
+def ask_tables(sent, sent2, model: Katz, buckets: int):
+    """Texts -> per run, its own row (level 0) and what it asks of the tables."""
+    schema = arrow_schema(f"{RUN}, {ASK}")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        w, p, task = sent.value, sent2.value, TaskContext.get().partitionId()
+        scale = w.total + w.distinct + 1
+        for number, ((doc_id, trains), hashes, lengths) in enumerate(Reader(model).runs(batches, 2)):
+            name, n = task << 32 | number, len(lengths)
+            keys, ids, counts = keys_of(hashes, lengths, w)
+            at = np.repeat(np.arange(n, dtype=np.uint32), lengths)
+            common = counts >= 0
+            base = np.where(common, np.log10((np.maximum(counts, 0) + 1) / scale), 0.0)
+            score = w.log_p[ids] + p.log_alpha[(keys >> SHIFT).astype(np.int64)]
+            cold = np.ones(len(keys), bool)
+            if len(p.hot_keys):
+                place = np.minimum(np.searchsorted(p.hot_keys, keys), len(p.hot_keys) - 1)
+                cold = p.hot_keys[place] != keys
+                score += np.where(cold, 0.0, p.hot_values[place])
+            sums = [np.bincount(at, v, n).tolist() for v in ((counts > 0).astype(float), base, score)]
+            out = [(name, doc_id, [not t for t in trains], lengths.tolist(), *sums, 0, None, None, None, None)]
+            for level, k, some in ((1, hashes, ~common), (2, keys, cold)):
+                k, places = k[some], at[some]
+                order = np.argsort(k, kind="stable")
+                out += [(name, *(None,) * 6, level, *x) for x in packed(k[order], [places[order]], buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def answer_runs(sent, sent2):
+    """Rows of a level and bucket, its table first (run -1) -> sums by run and place."""
+    schema = arrow_schema(ANSWER)
+
+    def run(batches):
+        w, p = sent.value, sent2.value
+        scale = w.total + w.distinct + 1
+        now, keys, counts, values = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        for batch in batches:
+            out = []
+            for level, bucket, name, size, k, at in zip(*(c.to_pylist() for c in batch.columns)):
+                k = np.cumsum(unsqueeze(k, size, np.uint64), dtype=np.uint64)
+                if now != (level, bucket):
+                    now, keys, counts = (level, bucket), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if name < 0:
+                    keys, counts = k, unsqueeze(at, size, np.uint64).astype(np.int64)
+                    values = p.value(w, keys, counts) if level == 2 else None
+                    continue
+                at = unsqueeze(at, size, np.uint32)
+                found, place = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    found = keys[place] == k
+                if level == 1:
+                    n = np.zeros(len(k), np.int64)
+                    n[found] = counts[place[found]]
+                    p1 = np.full(len(k), w.log_unknown)
+                    p1[found] = np.log10(apply(w.d, n[found]) * w.kept / max(w.total, 1))
+                    each = found.astype(float), np.log10((n + 1) / scale), p1 - w.log_p[RARE]
+                elif found.any():
+                    at = at[found]
+                    each = np.zeros(len(at)), np.zeros(len(at)), values[place[found]]
+                else:
+                    continue
+                places, to = np.unique(at, return_inverse=True)
+                out.append((name, places.astype(np.uint32).tobytes(), *(np.bincount(to, v).tobytes() for v in each)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def sum_runs(total: int):
+    """Rows of a run, its own first -> the run's rows of the result."""
+    schema = arrow_schema(RESULT)
+
+    def run(batches):
+        held = None
+
+        def done():
+            doc_id, held_out, lengths, known, base, score = held
+            columns = pa.array(doc_id, pa.int64()), held_out, lengths, np.rint(known).astype(np.int64), np.full(len(lengths), total), base, score
+            return rows(schema, *columns)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values = [c[i].as_py() for c in batch.columns]
+                if values[7] == 0:
+                    if held is not None:
+                        yield done()
+                    held = [*values[1:4], *map(np.array, values[4:7])]
+                else:
+                    places = np.frombuffer(values[8], np.uint32)
+                    for into, x in zip(held[3:], values[9:]):
+                        into[places] += np.frombuffer(x)
+        if held is not None:
+            yield done()
+
+    return run

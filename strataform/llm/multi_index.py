@@ -1,0 +1,222 @@
+"""Approximate nearest neighbours by an inverted multi-index.
+
+Vectors are cut into two halves, and each half is quantised on its own by k-means, which gives
+centroids * centroids cells. A query orders the centroids of each half by their share of the distance
+and walks the cells in order of the summed distance, with a heap, until the cells it has walked hold
+the wanted share of all vectors; these are reranked by the exact measure, the inner product in double
+precision.
+
+The quantisers are fitted on at most `sample` distinct vectors (those with the least hash), and so is
+the share: the least that finds `recall` of the nearest of 256 of the sample among the sample, where
+neighbours are farther apart than among all vectors. Every vector is indexed.
+
+Equal vectors are one entry, which keeps as many of its least ids as a result can name; queries with
+equal vectors are walked once. Entries are dealt into chunks of `chunk` by cell, a large cell into
+several, and queries into blocks; a task holds one chunk and one block at a time.
+
+Defined cases: vectors that are null, all zero, or hold null, NaN or infinite components, and rows
+without an id, take no part; nor do vectors of another length than the commonest (the longer of two
+equally common). Rows that repeat an id and a vector are one. Fewer candidates than k give all of them.
+An empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import heapq
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from strataform.llm.scratch import Scratch
+
+
+@dataclass(frozen=True)
+class MultiIndex:
+    centroids: int = 32
+    sample: int = 16_384
+    recall: float = 0.96
+    chunk: int = 8192
+    block: int = 1024
+
+
+@dataclass
+class Quantisers:
+    first: np.ndarray
+    second: np.ndarray
+    share: float = 1.0
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        h = x.shape[1] // 2
+        return nearest(x[:, :h], self.first) * len(self.second) + nearest(x[:, h:], self.second)
+
+    def walk(self, query: np.ndarray, sizes: np.ndarray, wanted: float) -> list[int]:
+        """Cells by summed distance (negated inner products with the centroids), until they hold `wanted`."""
+        h = len(query) // 2
+        a, b = -(self.first @ query[:h]), -(self.second @ query[h:])
+        order_a, order_b = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
+        a, b = a.tolist(), b.tolist()
+        heap, out, held = [(a[order_a[0]] + b[order_b[0]], 0, 0)], [], 0
+        while heap and held < wanted:
+            _, i, j = heapq.heappop(heap)
+            cell = order_a[i] * len(b) + order_b[j]
+            if sizes[cell]:
+                out.append(cell)
+                held += sizes[cell]
+            if j + 1 < len(b):
+                heapq.heappush(heap, (a[order_a[i]] + b[order_b[j + 1]], i, j + 1))
+            if j == 0 and i + 1 < len(a):
+                heapq.heappush(heap, (a[order_a[i + 1]] + b[order_b[0]], i + 1, 0))
+        return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
+
+
+def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    distinct = np.unique(x, axis=0)
+    k = min(k, len(distinct))
+    centres = distinct[np.random.default_rng(0).choice(len(distinct), k, replace=False)].copy()
+    for _ in range(rounds):
+        at = nearest(x, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        n = np.bincount(at, minlength=k)
+        centres[n > 0] = sums[n > 0] / n[n > 0][:, None]
+    return centres
+
+
+def fit(x: np.ndarray, index: MultiIndex, k: int) -> Quantisers:
+    h = x.shape[1] // 2
+    q = Quantisers(k_means(x[:, :h], index.centroids), k_means(x[:, h:], index.centroids))
+    cells = q.cells(x)
+    sizes = np.bincount(cells, minlength=len(q.first) * len(q.second))
+    asked = np.arange(0, len(x), max(1, len(x) // 256))
+    needs = []  # of each true neighbour, the share of the sample walked before its cell is done
+    for i in asked.tolist():
+        score = x @ x[i]
+        score[i] = -np.inf
+        order = q.walk(x[i], sizes, len(x))
+        done = np.zeros(len(sizes))
+        done[order] = np.cumsum(sizes[order]) / len(x)
+        best = np.argpartition(-score, min(k, len(x) - 1))[:k]
+        needs.append(done[cells[best[best != i]]])
+    q.share = float(np.quantile(np.concatenate(needs), index.recall)) if needs else 1.0
+    return q
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, vector, key_a, key_b): the rows that take part."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where("vec_id IS NOT NULL AND vector IS NOT NULL")
+    v = v.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
+    size = v.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    v = v.where(F.size("vector") == (size["size"] if size else 0))
+    v = v.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 becomes 0.0
+    return v.withColumn("key_a", F.xxhash64("vector")).withColumn("key_b", F.xxhash64(F.lit(1), "vector"))
+
+
+CANDIDATE = "chunk int, turn int, cell int, ids array<long>, vector binary, queries binary, cells binary"
+FOUND = pa.schema([("query", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, index: MultiIndex = MultiIndex()) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row where is_query (of vec_id) holds."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "multi-index")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = usable(vectors)
+    least = rows.withColumn("r", F.row_number().over(Window.partitionBy("key_a", "key_b").orderBy("vec_id"))).where(F.col("r") <= 2 * k + 2)
+    entries = least.groupBy("key_a", "key_b").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1).alias("ids"), F.first("vector").alias("vector"))
+    entries = scratch.keep(entries)
+    n = entries.count()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not n:
+        return empty
+    sample = entries.select("key_a", "vector").orderBy("key_a").limit(index.sample).select("vector").toArrow().column(0).combine_chunks()
+    wide = len(sample[0])
+    quantisers = fit(sample.flatten().to_numpy().reshape(-1, wide), index, k)
+    sent = spark.sparkContext.broadcast(quantisers)
+
+    def assign(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+            cells = sent.value.cells(flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in flat], pa.binary()), pa.array(cells, pa.int32()), batch.column(2)], names=["ids", "vector", "cell", "key"])
+
+    placed = scratch.keep(entries.select("ids", "vector", F.col("key_a").alias("key")).mapInArrow(assign, "ids array<long>, vector binary, cell int, key long"))
+    sizes = np.zeros(len(quantisers.first) * len(quantisers.second), np.int64)
+    for cell, count in placed.groupBy("cell").count().collect():  # at most centroids^2 rows
+        sizes[cell] = count
+    ends = np.cumsum(sizes)
+    first, last = (ends - sizes) // index.chunk, np.maximum(ends - 1, 0) // index.chunk
+    span = spark.createDataFrame([(int(c), int(first[c]), int(last[c] - first[c] + 1)) for c in np.flatnonzero(sizes)], "cell int, low int, chunks int")
+    dealt = placed.join(F.broadcast(span), "cell").select((F.col("low") + F.pmod("key", "chunks")).cast("int").alias("chunk"), F.lit(0).alias("turn"), "cell", "ids", "vector")
+
+    asked = rows.where(is_query).select("vec_id", "key_a", "key_b").distinct()
+    asked = scratch.keep(asked)
+    keys = asked.select("key_a", "key_b").distinct().join(entries.select("key_a", "key_b", "vector"), ["key_a", "key_b"])
+    blocks = max(1, -(-keys.count() // index.block))
+    wanted = quantisers.share * n
+
+    def pack(pdf):
+        import pandas as pd
+
+        vectors = np.stack(pdf["vector"].to_numpy())
+        visits = np.zeros((len(pdf), len(sizes)), bool)
+        for i, v in enumerate(vectors):
+            visits[i, sent.value.walk(v, sizes, wanted)] = True
+        seen = np.flatnonzero(visits.any(0))
+        chunks = sorted({c for s in seen for c in range(int(first[s]), int(last[s]) + 1)})
+        body = (pdf["key_a"].to_numpy(np.int64).tobytes(), vectors.astype(float).tobytes(), np.packbits(visits, axis=1).tobytes())
+        return pd.DataFrame({"chunk": chunks, "queries": [body[0]] * len(chunks), "vector": [body[1]] * len(chunks), "cells": [body[2]] * len(chunks)})
+
+    blocked = keys.withColumn("block", F.pmod(F.xxhash64("key_b"), F.lit(blocks))).groupBy("block").applyInPandas(pack, "chunk int, queries binary, vector binary, cells binary")
+    none = {"cell": "int", "ids": "array<long>", "queries": "binary", "cells": "binary"}
+    columns = [c.split()[0] for c in CANDIDATE.split(", ")]
+    both = dealt.withColumns({c: F.lit(None).cast(none[c]) for c in ("queries", "cells")}).select(*columns)
+    both = both.unionAll(blocked.withColumns({c: F.lit(None).cast(none[c]) for c in ("cell", "ids")}).withColumn("turn", F.lit(1)).select(*columns))
+
+    def compare(batches):
+        now, cells, ids, held, matrix = None, [], [], [], None
+        for batch in batches:
+            for chunk, turn, cell, own, vector, queries, visits in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now:
+                    now, cells, ids, held, matrix = chunk, [], [], [], None
+                if turn == 0:
+                    cells.append(cell)
+                    ids.append(own)
+                    held.append(vector)
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    matrix = np.frombuffer(b"".join(held)).reshape(-1, wide)
+                    order = np.argsort([i[0] for i in ids], kind="stable")
+                    matrix, where = matrix[order], np.array(cells)[order]
+                    names = [ids[i] for i in order.tolist()]
+                asked = np.frombuffer(queries, np.int64)
+                q = np.frombuffer(vector).reshape(-1, wide)
+                visited = np.unpackbits(np.frombuffer(visits, np.uint8).reshape(len(asked), -1), axis=1)[:, : len(sizes)].astype(bool)
+                out_q, out_s, out_i = [], [], []
+                for s in range(0, len(asked), 256):
+                    score = np.where(visited[s : s + 256][:, where], q[s : s + 256] @ matrix.T, -np.inf)
+                    top = min(k + 1, len(where))
+                    for i in range(len(score)):
+                        row = score[i]
+                        low = np.partition(row, len(row) - top)[len(row) - top]
+                        some = np.flatnonzero(row >= low) if low > -np.inf else np.flatnonzero(row > -np.inf)
+                        some = some[np.argsort(-row[some], kind="stable")[:top]]  # equal scores stay in order of their least id
+                        out_q += [int(asked[s + i])] * len(some)
+                        out_s += row[some].tolist()
+                        out_i += [names[j] for j in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((out_q, out_s, out_i), FOUND)], schema=FOUND)
+
+    met = both.repartition(max(parts, int(last.max()) + 1), "chunk").sortWithinPartitions("chunk", "turn").mapInArrow(compare, "query long, score double, ids array<long>")
+    by_score = [F.desc("score"), F.col("ids")[0]]
+    met = met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*by_score))).where(F.col("r") <= k + 1).drop("r")
+    named = asked.join(met, F.col("key_a") == F.col("query")).select(F.col("vec_id").alias("query_id"), "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

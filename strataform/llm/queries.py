@@ -45,6 +45,19 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.multi_index import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.katz import score_texts
+
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(7))
+    return score_texts(table(spark, sf_dir, "documents"), fold != 2)
+
+
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataform.llm.tiling import contaminated
 
@@ -52,7 +65,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxic_spans, op3_chosen_path_join, op6_best_fit_packing, op7_repeated_passages, op10_string_tiling)}
+QUERIES = {f.__name__: f for f in (op1_toxic_spans, op3_chosen_path_join, op6_best_fit_packing, op7_repeated_passages, op8_inverted_multi_index, op9_katz_backoff, op10_string_tiling)}
 
 SQL = {
     "op7_repeated_passages": r"""
