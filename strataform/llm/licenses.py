@@ -1,0 +1,84 @@
+"""License scan: lines and whole texts compared with licence templates by Dice over word bigrams.
+
+Text is lower-cased, everything but letters and digits becomes one space, and a text is the set of its
+word bigrams. Dice = 2 * shared / (bigrams here + bigrams there). A template of n bigrams can reach the
+threshold t only against n t / (2 - t) to n (2 - t) / t bigrams; units outside all these bounds are
+dropped before their bigrams are made, and each unit meets only the templates whose bounds it is in.
+
+Units are the lines of a text, numbered from 1, and a text of several lines as a whole, number 0. All of
+it is DataFrame functions in one pass over the table, without a shuffle.
+
+Defined cases: null and empty texts have no units; a unit of one word has no bigram and matches
+nothing; repeated rows and lines are each reported; of templates with equal Dice the first by name is
+reported; a null doc_id stays null; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Wordings of licence notices, as their licences give them or as they are commonly put.
+TEMPLATES = {
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0 long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT": "Released under the MIT License.",
+    "MIT text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+
+def bigram_set(text: str) -> list[str]:
+    """The same sets as the columns below, for templates; in order, for a stable plan."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
+def bigrams_of(words: Column) -> Column:
+    n = F.greatest(F.size(words), F.lit(1))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """doc_id, line, license, dice, bigrams: one row per unit that reaches the threshold, with its best
+    template. The templates are part of the plan."""
+    sets = {name: bigram_set(text) for name, text in sorted(templates.items())}
+    sets = {name: s for name, s in sets.items() if s}
+    least = min((len(s) * threshold / (2 - threshold) for s in sets.values()), default=0)
+    most = max((len(s) * (2 - threshold) / threshold for s in sets.values()), default=0)
+    lines = F.split("text", "\n")
+    units = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
+    units = units.select("doc_id", F.transform(lines, words_of).alias("lines"))
+    whole = F.when((F.size("lines") > 1) & (F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x)) >= least + 1), F.flatten("lines")).otherwise(F.array().cast("array<string>"))
+    units = units.select("doc_id", F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("line", "words"))
+    units = units.where(F.size("words") >= least + 1)  # a set of n bigrams takes n + 1 words or more
+    # the generator keeps the filters that follow from making the set again for themselves
+    units = units.select("doc_id", "line", F.explode(F.array(bigrams_of(F.col("words")))).alias("set")).where(F.size("set").between(least, most))
+    # only units that have one of the templates' bigrams at all go on to the templates
+    every = F.array(*(F.lit(b) for b in sorted({b for s in sets.values() for b in s})))
+    units = units.where(F.arrays_overlap("set", every))
+
+    def met(name: str, own: list[str]) -> Column:
+        n = F.size("set")
+        shared = F.size(F.array_intersect("set", F.array(*(F.lit(b) for b in own))))
+        dice = 2.0 * shared / (n + len(own))
+        fits = n.between(len(own) * threshold / (2 - threshold), len(own) * (2 - threshold) / threshold)
+        return F.when(fits, F.when(dice >= threshold, F.struct((-dice).alias("least"), F.lit(name).alias("license"))))
+
+    if not sets:
+        return units.select("doc_id", "line", F.lit("").alias("license"), F.lit(0.0).alias("dice"), F.size("set").alias("bigrams")).where("false")
+    best = F.array_min(F.array(*(met(name, own) for name, own in sets.items())))
+    found = units.withColumn("best", best).where("best IS NOT NULL")
+    return found.select("doc_id", "line", "best.license", (-F.col("best.least")).alias("dice"), F.size("set").alias("bigrams"))

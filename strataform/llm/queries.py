@@ -26,12 +26,32 @@ def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.chat import joined, preference_pairs, stale_replies
+
+    found = preference_pairs(stale_replies(table(spark, sf_dir, "conversations")))
+    mask = {s: F.array_join(F.transform(s, lambda x: F.when(x["trained"], "1").otherwise("0")), "") for s in ("chosen", "rejected")}
+    return found.select(F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", *(joined(F.col(s)).alias(s) for s in mask), *(mask[s].alias(f"{s}_mask") for s in mask))
+
+
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataform.llm.chosen_path import similarity_join
 
     return similarity_join(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.html_wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataform.llm.packing import pack
 
@@ -65,9 +85,60 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxic_spans, op3_chosen_path_join, op6_best_fit_packing, op7_repeated_passages, op8_inverted_multi_index, op9_katz_backoff, op10_string_tiling)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxic_spans, op2_preference_pairs, op3_chosen_path_join, op4_license_scan, op5_wrapper_induction, op6_best_fit_packing, op7_repeated_passages, op8_inverted_multi_index, op9_katz_backoff, op10_string_tiling)
+}
+
+
+def license_sql(threshold: float = 0.8) -> str:
+    from strataform.llm.licenses import TEMPLATES
+
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+    words = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    pairs = "list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
+    return f"""
+        WITH given(license, text) AS (VALUES {rows}),
+        templates AS (SELECT license, {pairs} AS own FROM (SELECT license, {words.format("text")} AS words FROM given)),
+        lines AS (
+            SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS unit FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)
+            UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
+        units AS (SELECT doc_id, line, {pairs} AS own FROM (SELECT doc_id, line, {words.format("unit")} AS words FROM lines) WHERE len(words) BETWEEN 2 AND 100000),
+        met AS (
+            SELECT doc_id, line, license, len(u.own) AS bigrams, 2.0::DOUBLE * len(list_intersect(u.own, t.own)) / (len(u.own) + len(t.own)) AS dice
+            FROM units u JOIN templates t ON len(u.own) BETWEEN len(t.own) * {threshold} / (2 - {threshold}) AND len(t.own) * (2 - {threshold}) / {threshold}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) AS r FROM met WHERE dice >= {threshold})
+        SELECT doc_id, CAST(line AS INTEGER) AS line, license, dice, CAST(bigrams AS INTEGER) AS bigrams FROM ranked WHERE r = 1
+    """
+
+
+PREFERENCE_SQL = r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM c),
+    last AS (SELECT conv_id, max(p) AS last FROM ordered WHERE role = 'assistant' GROUP BY conv_id),
+    stale AS (SELECT o.conv_id, max_by(text, p) AS stale FROM ordered o JOIN last l ON o.conv_id = l.conv_id AND p < last WHERE role = 'assistant' GROUP BY o.conv_id),
+    sides AS (
+        SELECT o.conv_id, p, last, role, text AS chosen, CASE WHEN p = last THEN coalesce(stale, '') ELSE text END AS rejected
+        FROM ordered o JOIN last l ON o.conv_id = l.conv_id AND p <= last LEFT JOIN stale s ON s.conv_id = o.conv_id),
+    prefix AS (SELECT conv_id, coalesce(min(p) FILTER (WHERE chosen <> rejected), max(last) + 1) AS first FROM sides GROUP BY conv_id),
+    turns AS (
+        SELECT s.conv_id, p, first, '<|im_start|>' || replace(replace(role, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10) AS head,
+               replace(replace(chosen, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS chosen,
+               replace(replace(rejected, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS rejected,
+               CASE WHEN role = 'assistant' THEN '01' ELSE '00' END AS mask
+        FROM sides s JOIN prefix USING (conv_id))
+    SELECT conv_id, CAST(max(first) - 1 AS INTEGER) AS prompt_turns,
+           coalesce(string_agg(head || chosen, '' ORDER BY p) FILTER (WHERE p < first), '') AS prompt,
+           coalesce(string_agg(head || chosen, '' ORDER BY p) FILTER (WHERE p >= first), '') AS chosen,
+           coalesce(string_agg(head || rejected, '' ORDER BY p) FILTER (WHERE p >= first), '') AS rejected,
+           coalesce(string_agg(mask, '' ORDER BY p) FILTER (WHERE p >= first), '') AS chosen_mask,
+           coalesce(string_agg(mask, '' ORDER BY p) FILTER (WHERE p >= first), '') AS rejected_mask
+    FROM turns GROUP BY conv_id
+"""
 
 SQL = {
+    "op2_preference_pairs": PREFERENCE_SQL,
+    "op4_license_scan": license_sql(),
     "op7_repeated_passages": r"""
         WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         windows AS (SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS w FROM texts, unnest(range(1, len(words) - 48)) AS t(i)),

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataform.llm.scratch import Scratch
 from strataform.llm.words import Powers, RollingHash, WordHashes, ascii_words, mix
@@ -56,7 +57,7 @@ class Reaches:
 
 REACHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("anchor", pa.int64()), ("reach", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())])
 WINDOWS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("anchor", pa.int64()), ("window", pa.int64()), ("start", pa.int32())])
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("repeats", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
+KEPT = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("repeats", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
 
 
 def batches_of(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -142,17 +143,19 @@ def repeats(texts: DataFrame, reaches: Reaches, scratch: Scratch) -> DataFrame:
     return whole.unionAll(part.select("doc_id", "text_hash", "start", (F.col("start") + reaches.least).alias("end")))
 
 
-def with_text_hash(docs: DataFrame) -> DataFrame:
-    """doc_id, text, text_hash: the hash tells rows apart that repeat a doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+def with_text_hash(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, text_hash and more: the hash tells rows apart that repeat a doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"), *more)
     return texts.withColumn("text_hash", F.xxhash64("text"))
 
 
-def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 10) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept, repeats: one row per row of docs.
+def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 10, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in more, n_words, n_removed, kept_sha256, kept, repeats: one row per
+    row of docs.
 
     A word goes if a window of `least` words that covers it also starts in a document with a smaller
-    doc_id. kept: the other words, joined by one space. repeats: the maximal ranges that went.
+    doc_id. kept: the other words, joined by one space; kept_sha256 is of that. Where no word goes, kept
+    is the text as it was. repeats: the maximal ranges that went.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     texts = with_text_hash(docs)
@@ -161,23 +164,28 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 10) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            rows = []
-            for doc_id, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                words, gone = ascii_words(text.as_py()), []
-                kept = words
-                if ranges.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for x in ranges.as_py():
-                        edge[x["start"]] += 1
-                        edge[x["end"]] -= 1
-                    out = np.cumsum(edge[:-1]) > 0
-                    turn = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                    gone = [{"start": int(a), "length": int(b - a)} for a, b in zip(turn[::2], turn[1::2])]
-                    kept = [w for w, o in zip(words, out.tolist()) if not o]
-                joined = b" ".join(kept)
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace"), gone))
-            for at in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 500]), KEPT)], schema=KEPT)
-
-    joined = texts.join(ranges, ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, repeats array<struct<start: long, length: long>>")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = []
+                for text, ranges in zip(part.column(0), part.column(1)):
+                    text = text.as_py()
+                    words, gone = ascii_words(text), []
+                    kept = words
+                    if ranges.is_valid:
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        for x in ranges.as_py():
+                            edge[x["start"]] += 1
+                            edge[x["end"]] -= 1
+                        out = np.cumsum(edge[:-1]) > 0
+                        turn = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
+                        gone = [{"start": int(a), "length": int(b - a)} for a, b in zip(turn[::2], turn[1::2])]
+                        kept = [w for w, o in zip(words, out.tolist()) if not o]
+                    joined = b" ".join(kept)
+                    left = joined if gone else text
+                    rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), left if left is None else left.decode("utf-8", "replace"), gone))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), KEPT)]
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *columns], names=[*part.schema.names[2:], *KEPT.names])
+
+    joined = with_text_hash(docs, more).join(ranges, ["doc_id", "text_hash"], "left").select("text", "ranges", "doc_id", *more)
+    schema = T.StructType([joined.schema[c] for c in ("doc_id", *more)] + T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept string, repeats array<struct<start: long, length: long>>").fields)
+    return joined.mapInArrow(cut, schema)

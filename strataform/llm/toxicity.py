@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 
@@ -296,42 +297,40 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_labelled: int
     return fit(texts, np.array(toxic, float))
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])))])
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
 
-def score(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id, score, spans: one row per row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score_columns(docs: DataFrame, model: Field, run_chars: int = 1_500_000) -> DataFrame:
+    """docs, which have a string column text, with two more columns: score and spans."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def spans_of(text: str, m: np.ndarray) -> list[dict]:
+        if not len(m) or m.max() <= 0.5:
+            return []
+        low, hot = text.lower(), m > 0.5
+        where = [x.span() for x in TOKEN.finditer(low)] if len(low) == len(text) else place(text)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hot.astype(np.int8), [0]])))
+        return [{"start": where[a][0], "end": where[b - 1][1], "marginal": float(m[a:b].max())} for a, b in zip(edge[::2], edge[1::2])]
 
     def run(batches):
         tagger = Tagger(sent.value)
-
-        def flush(held):
-            texts = [t or "" for _, t in held]
-            found = tagger.marginals([tokens(t) for t in texts])
-            rows = []
-            for (doc_id, _), text, m in zip(held, texts, found):
-                spans = []
-                if len(m) and m.max() > 0.5:
-                    low, hot = text.lower(), m > 0.5
-                    where = [x.span() for x in TOKEN.finditer(low)] if len(low) == len(text) else place(text)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hot.astype(np.int8), [0]])))
-                    spans = [{"start": where[a][0], "end": where[b - 1][1], "marginal": float(m[a:b].max())} for a, b in zip(edge[::2], edge[1::2])]
-                rows.append((doc_id, tagger.score(m), spans))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCORED)], schema=SCORED)
-
-        held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append((doc_id, text.as_py()))
-                size += len(held[-1][1] or "")
-                if size >= 1_500_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long, marginal: double>>")
+            size = np.cumsum([len(t.as_py() or "") for t in batch.column(at)]) // run_chars
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                found = tagger.marginals([tokens(t) for t in texts])
+                more = pa.array([tagger.score(m) for m in found], pa.float64()), pa.array([spans_of(t, m) for t, m in zip(texts, found)], SPANS)
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "score", "spans"])
+
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("score double, spans array<struct<start: long, end: long, marginal: double>>").fields])
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Field) -> DataFrame:
+    """doc_id, score, spans: one row per row of docs."""
+    return score_columns(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).drop("text")
 
 
 def place(text: str) -> list[tuple[int, int]]:
