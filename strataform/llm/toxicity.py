@@ -175,10 +175,10 @@ def telling(marginals: np.ndarray) -> tuple[float, float]:
     return (float(np.log1p(marginals[marginals > 0.1].sum())), float(marginals.max())) if len(marginals) else (0.0, 0.0)
 
 
-def mark_tokens(texts: list[list[str]], toxic: np.ndarray, least_docs: int = 3, sure: float = 9.0) -> set[str]:
+def mark_tokens(texts: list[list[str]], toxic: np.ndarray, least_docs: int = 3) -> set[str]:
     """Word forms and beginnings ("^abcde") whose documents are toxic far beyond chance: nearly all of
-    them, with a log-likelihood ratio of at least `sure`. Of near copies (the same least word pair by
-    hash) one counts."""
+    them, with a log-likelihood ratio of more than the log of the number of forms tried (plus one). Of
+    near copies (the same least word pair by hash) one counts."""
     total, bad, met = Counter(), Counter(), set()
     for words, y in zip(texts, toxic):
         key = min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])), default=0)
@@ -191,6 +191,7 @@ def mark_tokens(texts: list[list[str]], toxic: np.ndarray, least_docs: int = 3,
         if y:
             bad.update(seen)
     share, out = toxic.mean(), set()
+    sure = np.log(max(1, sum(n >= least_docs for n in total.values()))) + 1
     for x, k in bad.items():
         n = total[x]
         if k >= least_docs and k > 0.95 * n:
