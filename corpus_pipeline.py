@@ -1,4 +1,4 @@
-"""A training-corpus pipeline over the operators of strataform.llm: each stage's output is written as
+"""A training-corpus pipeline over the operators of larder.llm: each stage's output is written as
 Parquet and read again as the next stage's documents."""
 
 from __future__ import annotations
@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm.chosen_path import similarity_join
-from strataform.llm.packing import pack
-from strataform.llm.queries import byte_bpe, table
-from strataform.llm.scratch import Scratch
-from strataform.llm.substring import drop_repeats
-from strataform.llm.tiling import contaminated
-from strataform.llm.toxicity import score_columns, train
+from larder.llm.chosen_path import similarity_join
+from larder.llm.packing import pack
+from larder.llm.queries import byte_bpe, table
+from larder.llm.scratch import Scratch
+from larder.llm.substring import drop_repeats
+from larder.llm.tiling import contaminated
+from larder.llm.toxicity import score_columns, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.components import components
-from strataform.llm.scratch import Scratch
-from strataform.llm.words import Powers, RollingHash, WordHashes, mix
+from larder.llm.components import components
+from larder.llm.scratch import Scratch
+from larder.llm.words import Powers, RollingHash, WordHashes, mix
 
 BINS = 64
 

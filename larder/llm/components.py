@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.scratch import Scratch
+from larder.llm.scratch import Scratch
 
 #: One mask per round: comparing ids under another mask each time breaks long chains of rising ids.
 MASKS = tuple(((i + 1) * 0x9E3779B97F4A7C15 >> 1) & 0x7FFFFFFFFFFFFFFF for i in range(64))

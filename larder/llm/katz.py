@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.scratch import Scratch
-from strataform.llm.words import WordHashes, mix
+from larder.llm.scratch import Scratch
+from larder.llm.words import WordHashes, mix
 
 LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 K = 5  # counts above it are not discounted

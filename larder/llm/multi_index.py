@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.llm.scratch import Scratch
+from larder.llm.scratch import Scratch
 
 
 @dataclass(frozen=True)

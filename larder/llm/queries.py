@@ -17,7 +17,7 @@ def byte_bpe() -> tuple[str, str, str]:
 
 
 def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.toxicity import score, train
+    from larder.llm.toxicity import score, train
 
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(5))
@@ -27,7 +27,7 @@ def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.chat import joined, preference_pairs, stale_replies
+    from larder.llm.chat import joined, preference_pairs, stale_replies
 
     found = preference_pairs(stale_replies(table(spark, sf_dir, "conversations")))
     mask = {s: F.array_join(F.transform(s, lambda x: F.when(x["trained"], "1").otherwise("0")), "") for s in ("chosen", "rejected")}
@@ -35,51 +35,51 @@ def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.chosen_path import similarity_join
+    from larder.llm.chosen_path import similarity_join
 
     return similarity_join(table(spark, sf_dir, "documents"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.licenses import scan
+    from larder.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
 def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.html_wrapper import extract
+    from larder.llm.html_wrapper import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.packing import pack
+    from larder.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), byte_bpe(), window=2048, end_id=1)
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.substring import drop_repeats
+    from larder.llm.substring import drop_repeats
 
     found = drop_repeats(table(spark, sf_dir, "documents"), least=50)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.multi_index import search
+    from larder.llm.multi_index import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.katz import score_texts
+    from larder.llm.katz import score_texts
 
     fold = F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(7))
     return score_texts(table(spark, sf_dir, "documents"), fold != 2)
 
 
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataform.llm.tiling import contaminated
+    from larder.llm.tiling import contaminated
 
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage")
@@ -92,7 +92,7 @@ QUERIES = {
 
 
 def license_sql(threshold: float = 0.8) -> str:
-    from strataform.llm.licenses import TEMPLATES
+    from larder.llm.licenses import TEMPLATES
 
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
     words = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"

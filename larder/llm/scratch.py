@@ -15,7 +15,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataform-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larder-"))
         current = sc.getCheckpointDir()
     return current
 

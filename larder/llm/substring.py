@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.llm.scratch import Scratch
-from strataform.llm.words import Powers, RollingHash, WordHashes, ascii_words, mix
+from larder.llm.scratch import Scratch
+from larder.llm.words import Powers, RollingHash, WordHashes, ascii_words, mix
 
 
 @dataclass(frozen=True)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.words import Powers, RollingHash, WordHashes
+from larder.llm.words import Powers, RollingHash, WordHashes
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered_words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])))])
 FOUND_DDL = "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles array<struct<item_start: long, doc_start: long, length: long>>"
