@@ -43,9 +43,9 @@ class ChosenPath:
     n: int = 5
     similarity: float = 0.8
     recall: float = 0.9995
-    depth: int = 3
-    limit: int = 128
-    block: int = 1024
+    depth: int = 2
+    limit: int = 512
+    block: int = 4096
 
     @property
     def runs(self) -> int:
@@ -67,28 +67,34 @@ class Shingles:
         return np.unique(RollingHash(self.known.of(words), self.powers).grams(min(self.n, len(words))))
 
 
-def odd(*seed: int) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(repr(seed).encode()) | 1)
+def salts(*seed: int, n: int) -> np.ndarray:
+    """n odd multipliers."""
+    return np.array([xxhash.xxh3_64_intdigest(repr((*seed, i)).encode()) | 1 for i in range(n)], np.uint64)
 
 
-def paths(tokens: np.ndarray, p: ChosenPath) -> list[list[tuple[int, int]]]:
-    """The nodes a set reaches: for each level, (parent, node)."""
-    shared = [max(1.0, p.similarity * len(tokens) - used) for used in range(p.depth)]
-    below = [np.uint64(min((1 << 64) - 1, int(2.0**64 / s))) for s in shared]
-    levels: list[list[tuple[int, int]]] = [[] for _ in range(p.depth)]
-    for run in range(p.runs):
-        now = [(np.uint64(0), odd(run, 0), tokens)]
+class Tree:
+    """The random tree of every run: which tokens a set follows from a node, all runs at once."""
+
+    def __init__(self, p: ChosenPath):
+        self.p, self.start = p, salts(0, n=p.runs)
+        self.next = [salts(1, level, n=p.runs) for level in range(p.depth)]
+
+    def paths(self, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nodes a set reaches: for each level, parents and nodes."""
+        p, n = self.p, len(tokens)
+        run = np.arange(p.runs)
+        node, by, used = np.zeros(p.runs, np.uint64), self.start, np.full((p.runs, 0), -1)
+        levels = []
         for level in range(p.depth):
-            after = []
-            salt = odd(run, level, 1)
-            for node, by, rest in now:
-                picked = np.flatnonzero(rest * by <= below[level])
-                for i in picked.tolist():
-                    child = mix((rest[i] ^ node) * salt)
-                    levels[level].append((int(node), int(child)))
-                    after.append((child, child | np.uint64(1), np.delete(rest, i) if level + 1 < p.depth else rest))
-            now = after
-    return levels
+            shared = max(1.0, p.similarity * n - level)
+            below = np.uint64(min((1 << 64) - 1, int(2.0**64 / shared)))
+            at, picked = np.nonzero(tokens[None, :] * by[:, None] <= below)
+            fresh = (used[at] != picked[:, None]).all(1)
+            at, picked = at[fresh], picked[fresh]
+            child = mix((tokens[picked] ^ node[at]) * self.next[level][run[at]])
+            levels.append((node[at], child))
+            node, by, run, used = child, child | np.uint64(1), run[at], np.concatenate([used[at], picked[:, None]], axis=1)
+        return levels
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -101,37 +107,46 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.where(full, ((least >> np.uint64(20)) & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)).astype("<u2")
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), *((f"level_{k}", pa.list_(pa.struct([("parent", pa.int64()), ("node", pa.int64())]))) for k in (1, 2, 3))])
+NODES = pa.struct([("parent", pa.int64()), ("node", pa.int64())])
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def node_lists(levels: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.Array:
+    """One list of nodes per set."""
+    sizes = [0 if x is None else len(x[0]) for x in levels]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    flat = [np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in levels if x is not None)]).view(np.int64) for i in (0, 1)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(f) for f in flat], fields=list(NODES)))
+
+
 def describe(docs: DataFrame, p: ChosenPath) -> DataFrame:
     """Per row of docs: the 128-bit signature of its set, the set's size, sketch and paths."""
 
     def run(batches):
-        shingles = Shingles(p.n)
+        shingles, tree = Shingles(p.n), Tree(p)
+        names = ["doc_id", "sig_a", "sig_b", "size", "sketch", *(f"level_{k + 1}" for k in range(p.depth))]
         with np.errstate(over="ignore"):
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    tokens = shingles.of(text.as_py())
-                    if doc_id is None or not len(tokens):
-                        rows.append((doc_id, None, None, 0, None, None, None, None))
-                        continue
-                    digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
-                    levels = [[{"parent": signed(a), "node": signed(b)} for a, b in level] for level in paths(tokens, p)]
-                    levels += [None] * (3 - len(levels))
-                    rows.append((doc_id, signed(digest >> 64), signed(digest & (1 << 64) - 1), len(tokens), sketch(tokens).tobytes(), *levels))
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 1000]), SETS)], schema=SETS)
-
-    if not 1 <= p.depth <= 3:
-        raise ValueError("depth is 1, 2 or 3")
-    node = "array<struct<parent: long, node: long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id long, sig_a long, sig_b long, size int, sketch binary, level_1 {node}, level_2 {node}, level_3 {node}")
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    rows, levels = [], []
+                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+                        tokens = shingles.of(text.as_py())
+                        if doc_id is None or not len(tokens):
+                            rows.append((None, None, 0, None))
+                            levels.append([None] * p.depth)
+                            continue
+                        digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
+                        rows.append((signed(digest >> 64), signed(digest & (1 << 64) - 1), len(tokens), sketch(tokens).tobytes()))
+                        levels.append(tree.paths(tokens))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns, *(node_lists([x[k] for x in levels]) for k in range(p.depth))], names=names)
+
+    nodes = "".join(f", level_{k + 1} array<struct<parent: long, node: long>>" for k in range(p.depth))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id long, sig_a long, sig_b long, size int, sketch binary{nodes}")
 
 
 def buckets(reps: DataFrame, p: ChosenPath, scratch: Scratch) -> DataFrame:
