@@ -175,48 +175,61 @@ def telling(marginals: np.ndarray) -> tuple[float, float]:
     return (float(np.log1p(marginals[marginals > 0.1].sum())), float(marginals.max())) if len(marginals) else (0.0, 0.0)
 
 
-def mark_tokens(texts: list[list[str]], toxic: np.ndarray, least_docs: int = 3) -> set[str]:
-    """Word forms and beginnings ("^abcde") whose documents are toxic far beyond chance: nearly all of
-    them, with a log-likelihood ratio of more than the log of the number of forms tried (plus one). Of
-    near copies (the same least word pair by hash) one counts."""
-    total, bad, met = Counter(), Counter(), set()
+@dataclass
+class Labelled:
+    """Tokenised documents as numbers of distinct tokens, which takes a tenth of the memory of strings."""
+
+    number: dict[str, int] = field(default_factory=dict)
+    texts: list[np.ndarray] = field(default_factory=list)
+    toxic: list[float] = field(default_factory=list)
+
+    def add(self, words: list[str], toxic: float) -> None:
+        self.texts.append(np.fromiter((self.number.setdefault(w, len(self.number)) for w in words), np.int32, len(words)))
+        self.toxic.append(float(toxic))
+
+
+def mark_tokens(forms: list[str], texts: list[np.ndarray], toxic: np.ndarray, least_docs: int = 3) -> np.ndarray:
+    """Which token forms are marked: those, or those whose beginning of 4 or 5 letters, stand in documents
+    that are toxic far beyond chance: nearly all of them, with a log-likelihood ratio of more than the
+    log of the number of forms tried (plus one). Of near copies (the same least word pair by hash) one
+    counts."""
+    begins: dict[str, int] = {}
+    starts = np.array([[begins.setdefault(f"{n}{w[:n]}", len(begins)) if len(w) > n else -1 for n in (4, 5)] for w in forms]).reshape(-1, 2) + len(forms)
+    total, bad = (np.zeros(len(forms) + len(begins), np.int64) for _ in range(2))
+    met = set()
     for words, y in zip(texts, toxic):
-        key = min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])), default=0)
+        with np.errstate(over="ignore"):
+            pairs = (words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key = int(pairs.min()) if len(pairs) else -1
         if key in met:
             continue
         met.add(key)
-        seen = set(words)
-        seen |= {"^" + w[:n] for w in seen for n in (4, 5) if len(w) > n}
-        total.update(seen)
+        own = np.unique(words)
+        more = np.unique(starts[own])
+        seen = np.concatenate([own, more[more >= len(forms)]])
+        total[seen] += 1
         if y:
-            bad.update(seen)
-    share, out = toxic.mean(), set()
-    sure = np.log(max(1, sum(n >= least_docs for n in total.values()))) + 1
-    for x, k in bad.items():
-        n = total[x]
-        if k >= least_docs and k > 0.95 * n:
-            ratio = k * np.log(k / n / share) + ((n - k) * np.log((n - k) / n / (1 - share)) if n > k else 0.0)
-            if ratio >= sure:
-                out.add(x)
-    return out
-
-
-def fit(texts: list[list[str]], toxic: np.ndarray, rounds: int = 40, least_seen: int = 3) -> Field:
+            bad[seen] += 1
+    share, n, k = toxic.mean(), np.maximum(total, 1), np.maximum(bad, 1)
+    rest = np.maximum(n - k, 1e-9)
+    ratio = k * np.log(k / n / share) + np.where(n > k, rest * np.log(rest / n / (1 - share)), 0.0)
+    sure = np.log(max(1, int((total >= least_docs).sum()))) + 1
+    good = np.append((bad >= least_docs) & (bad > 0.95 * total) & (ratio >= sure), False)
+    starts[starts < len(forms)] = len(good) - 1
+    return good[: len(forms)] | good[starts].any(1)
+
+
+def fit(labelled: Labelled, rounds: int = 40, least_seen: int = 3, run_tokens: int = 200_000) -> Field:
     """A field from tokenised documents and their labels."""
-    if not len(texts) or toxic.all() or not toxic.any():
+    texts, toxic, forms = labelled.texts, np.array(labelled.toxic), list(labelled.number)
+    if not len(forms) or toxic.all() or not toxic.any():
         return Field()
-    marked = mark_tokens(texts, toxic)
-    number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64)
-    if not len(flat):
-        return Field()
-    forms = list(number)
+    flat = np.concatenate(texts)
     lengths = np.array([len(t) for t in texts])
     ends = np.cumsum(lengths)
     starts = np.zeros(len(flat), bool)
     starts[(ends - lengths)[lengths > 0]] = True
-    is_marked = np.array([w in marked or "^" + w[:4] in marked or "^" + w[:5] in marked for w in forms])
-    y = (is_marked[flat] & np.repeat(toxic > 0, lengths)).astype(float)
+    y = (mark_tokens(forms, texts, toxic)[flat] & np.repeat(toxic > 0, lengths)).astype(float)
     # own features of each distinct token, as pairs of token and feature; neighbours' features are tokens
     often = np.bincount(flat, minlength=len(forms))
     seen: Counter = Counter()
@@ -238,19 +251,31 @@ def fit(texts: list[list[str]], toxic: np.ndarray, rounds: int = 40, least_seen:
     gained = [np.full(k, 1e-2) for k in sizes]
     gold = np.zeros(4)
     np.add.at(gold, (2 * y[:-1] + y[1:])[inside].astype(int), 1)
-    for _ in range(rounds):
+
+    runs = np.unique(np.concatenate([[0], ends[np.searchsorted(ends, np.arange(run_tokens, len(flat), run_tokens))], [len(flat)]]))
+
+    def tag() -> tuple[np.ndarray, np.ndarray]:
+        """Marginals, and the expected number of each pair of tags; a run of documents at a time."""
         own = np.bincount(token, weights[0][feature], len(forms)) + weights[3][0]
-        e = own[flat]
-        e[1:] += np.where(inside, weights[1][flat[:-1]], 0)
-        e[:-1] += np.where(inside, weights[2][flat[1:]], 0)
-        p, pair = forward_backward(e, starts, weights[4].reshape(2, 2))
+        p, joint = np.empty(len(flat)), np.zeros(4)
+        for a, b in zip(runs, runs[1:]):
+            words, within = flat[a:b], inside[a : b - 1]
+            e = own[words]
+            e[1:] += np.where(within, weights[1][words[:-1]], 0)
+            e[:-1] += np.where(within, weights[2][words[1:]], 0)
+            p[a:b], pair = forward_backward(e, starts[a:b], weights[4].reshape(2, 2))
+            joint += pair[:, within].sum(1)
+        return p, joint
+
+    for _ in range(rounds):
+        p, joint = tag()
         d = y - p
         gradients = [
             np.bincount(feature, np.bincount(flat, d, len(forms))[token], len(index)) - 0.02 * weights[0],
             np.bincount(flat[:-1], np.where(inside, d[1:], 0), len(forms)) * near - 0.02 * weights[1],
             np.bincount(flat[1:], np.where(inside, d[:-1], 0), len(forms)) * near - 0.02 * weights[2],
             np.array([d.sum()]),
-            gold - pair[:, inside].sum(1),
+            gold - joint,
         ]
         for w, g, gradient in zip(weights, gained, gradients):
             g += gradient**2
@@ -264,7 +289,7 @@ def fit(texts: list[list[str]], toxic: np.ndarray, rounds: int = 40, least_seen:
         bias=float(weights[3][0]),
         step=weights[4].reshape(2, 2).copy(),
     )
-    x = np.array([(1.0, *telling(m)) for m in Tagger(model).marginals(texts)])
+    x = np.array([(1.0, *telling(m)) for m in np.split(tag()[0], ends[:-1])])
     w = np.zeros(3)
     for _ in range(60):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -291,11 +316,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_labelled: int
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = docs.sparkSession.createDataFrame([(k,) for k in chosen], "chosen long")
     rows = picked.join(F.broadcast(sample), F.col("doc_id") == F.col("chosen")).groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts, toxic = [], []
-    for r in sorted(rows.toLocalIterator(), key=lambda r: r[0]):
-        texts.append(tokens(r[1]))
-        toxic.append(chosen[r[0]])
-    return fit(texts, np.array(toxic, float))
+    labelled = Labelled()
+    for r in rows.orderBy("doc_id").toLocalIterator():
+        labelled.add(tokens(r[1]), chosen[r[0]])
+    return fit(labelled)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
