@@ -314,7 +314,7 @@ def learn_pairs(table: DataFrame, words: Words, sent, model: Katz) -> Pairs:
     h, seen, lower = (sums.column(i).to_numpy() for i in range(3))
     if len(h):
         mass = seen / words.n_by_id[h]
-        backs_off = lower < 1 - 1e-12  # else every word was seen after h
+        backs_off = lower < 1 - 1e-10  # else every word was seen after h
         keep = np.where(backs_off, np.minimum(mass, 1 - 1e-6), 1.0)
         scale[h] = keep / mass
         log_alpha[h] = np.log10(np.where(backs_off, 1 - keep, 1.0)) - np.log10(np.where(backs_off, 1 - lower, 1.0))
