@@ -7,6 +7,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FNV_OFFSET = 14695981039346656037
 FNV_PRIME_LOW = 0x1B3  # the prime is 2^40 + 0x1B3
@@ -65,7 +66,11 @@ def crc32c_of(data: bytes, crc: int = 0) -> int:
     return crc ^ WORD
 
 
-@F.pandas_udf("long")
-def crc32c(data: pd.Series) -> pd.Series:
+def crc32c(data: Column | str) -> Column:
     """CRC-32C of a binary column. Spark's own crc32 has another polynomial."""
-    return data.map(lambda d: None if d is None else crc32c_of(d)).astype("Int64")
+
+    @F.pandas_udf(T.LongType())
+    def of(values: pd.Series) -> pd.Series:
+        return values.map(lambda d: None if d is None else crc32c_of(d)).astype("Int64")
+
+    return of(data)

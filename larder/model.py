@@ -12,6 +12,14 @@ RECORD_OVERHEAD = 13  # bytes of a record besides key and value
 FORMAT_VERSION = 1
 TAIL_GEN = (1 << 63) - 1  # generation of what is logged but not yet flushed: newer than any segment
 
+TYPES = {"long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "string": T.StringType(), "binary": T.BinaryType()}
+
+
+def schema(columns: str) -> T.StructType:
+    """A flat schema from "name type, ..."; unlike Spark's own parser this needs no session."""
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
 MUTATION_LOG = T.StructType(
     [
         T.StructField("key", T.BinaryType(), False),
@@ -23,9 +31,9 @@ MUTATION_LOG = T.StructType(
         T.StructField("value", T.BinaryType()),
     ]
 )
-SEGMENTS = T.StructType.fromDDL("gen long, entries long, bytes long, legacy boolean, format_version int, bloom_m long, bloom_k int")
-BLOOM_BITS = T.StructType.fromDDL("gen long, bit_index long")
-SAMPLES = T.StructType.fromDDL("sec int, kind string, ns long")
+SEGMENTS = schema("gen long, entries long, bytes long, legacy boolean, format_version int, bloom_m long, bloom_k int")
+BLOOM_BITS = schema("gen long, bit_index long")
+SAMPLES = schema("sec int, kind string, ns long")
 
 
 class StoreError(Exception):

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from larder.model import CorruptError
+from larder.model import CorruptError, schema
 from larder.operators.log import record_bytes
 from larder.sources.manifest import Part
 
-ROWS = T.StructType.fromDDL("key binary, gen long, pos long, deleted boolean, value binary")
+ROWS = schema("key binary, gen long, pos long, deleted boolean, value binary")
 
 
 def write(df: DataFrame, path: str, gen: int, rate: float | None = None, rows: int = 0) -> Part:
