@@ -45,7 +45,8 @@ class ChosenPath:
     recall: float = 0.9995
     depth: int = 2
     limit: int = 512
-    block: int = 4096
+    block: int = 4096  # sketches a side in one task
+    exact_block: int = 1024  # whole sets a side in one task
 
     @property
     def runs(self) -> int:
@@ -340,7 +341,7 @@ def exact_links(sets: DataFrame, p: ChosenPath, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), LINKS)], schema=LINKS)
 
     cols = ("root", "block_a", "block_b", "own", "rep", "tokens")
-    return in_groups(in_blocks(sets, "root", p.block).select(*cols), ["root", "block_a", "block_b"], partitions).mapInArrow(run, "rep long, links long, to long")
+    return in_groups(in_blocks(sets, "root", p.exact_block).select(*cols), ["root", "block_a", "block_b"], partitions).mapInArrow(run, "rep long, links long, to long")
 
 
 def similarity_join(docs: DataFrame, p: ChosenPath = ChosenPath()) -> DataFrame:

@@ -153,7 +153,7 @@ def test_chosen_paths_reach_their_recall():
 def test_blocks_split_large_buckets(spark):
     base = " ".join(f"t{i}" for i in range(60))
     rows = [(i, base + f" x{i}") for i in range(40)]
-    out = chosen_path.similarity_join(docs(spark, rows), chosen_path.ChosenPath(limit=5, block=8)).collect()
+    out = chosen_path.similarity_join(docs(spark, rows), chosen_path.ChosenPath(limit=5, block=8, exact_block=8)).collect()
     assert {(r.class_id, r.n_links) for r in out} == {(0, 39)}
 
 
