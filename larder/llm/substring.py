@@ -127,18 +127,21 @@ def repeats(texts: DataFrame, reaches: Reaches, scratch: Scratch) -> DataFrame:
     """(doc_id, text_hash, start, end): word ranges that repeat a smaller document; they may overlap."""
     all_reaches = scratch.keep(find_reaches(texts, reaches))
     shared = all_reaches.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("anchor").alias("seed"))
+    # aggregates are written before they are joined: a join right over exchanges can be split where an anchor is hot
+    shared = scratch.keep(shared)
     seeded = scratch.keep(all_reaches.join(shared, F.col("anchor") == F.col("seed")).drop("seed"))
-    scratch.drop(all_reaches)
+    scratch.drop(all_reaches, shared)
     least = seeded.groupBy("anchor", "reach").agg(F.min("doc_id").alias("least_doc"))
     least = scratch.keep(least)
     several = least.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least_doc").alias("first_doc")).where("n > 1").select(F.col("anchor").alias("seed"), "first_doc")
+    several = scratch.keep(several)
     least = least.join(several, F.col("anchor") == F.col("seed"), "left").select(F.col("anchor").alias("a"), F.col("reach").alias("r"), "least_doc", "seed")
     placed = scratch.keep(seeded.join(least, (F.col("anchor") == F.col("a")) & (F.col("reach") == F.col("r"))).drop("a", "r"))
     scratch.drop(seeded)
     whole = placed.where("doc_id > least_doc").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + reaches.least).alias("end"))
     windows = scratch.keep(list_windows(placed.where("doc_id = least_doc AND seed IS NOT NULL"), texts, reaches))
     again = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    again = again.select(F.col("anchor").alias("a"), F.col("window").alias("w"), "low")
+    again = scratch.keep(again.select(F.col("anchor").alias("a"), F.col("window").alias("w"), "low"))
     part = windows.join(again, (F.col("anchor") == F.col("a")) & (F.col("window") == F.col("w")) & (F.col("doc_id") > F.col("low")))
     return whole.unionAll(part.select("doc_id", "text_hash", "start", (F.col("start") + reaches.least).alias("end")))
 
