@@ -359,9 +359,9 @@ def mix_ops(spark, sf_dir):
 
 @query()
 def flush_fold(spark, sf_dir):
-    """Not SQL: where each of eight shards' memtable reaches 1 KiB. Tested against a fold in tests/."""
+    """Not SQL: where each of eight shards' memtable reaches 256 bytes. Tested against a fold in tests/."""
     log = mutation_log(spark, sf_dir).withColumn("shard", F.col("key").cast("long") % 8)
-    return flush_points(log, 1024)
+    return flush_points(log, 256)
 
 
 @query(
