@@ -146,7 +146,7 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[i
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 8, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, item_words, covered_words, coverage, tiles: one row per document and item whose
     coverage reaches the threshold. Tiles give word positions among the normalised words."""
     spark = docs.sparkSession
