@@ -51,3 +51,49 @@ def series(samples: DataFrame, gauges: DataFrame, seconds: int) -> DataFrame:
 
 def reclaimed(before: Column, after: Column) -> Column:
     return 100 * (before - after) / before
+
+
+def measured(operations: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Operations (start_ns, ...) that began inside the measured window, with their second in it; what
+    warms up before it or runs over after it is left out."""
+    inside = operations.where((F.col("start_ns") >= start) & (F.col("start_ns") < end))
+    return inside.withColumn("sec", F.floor((F.col("start_ns") - start) / 1_000_000_000).cast("int"))
+
+
+def counters(operations: DataFrame) -> DataFrame:
+    """One row over operations (kind, found, failed, bytes): operations, misses, read_errors and
+    bytes_written. A read that failed is an error, never a miss."""
+    read = F.col("kind") == "read"
+    return operations.agg(
+        F.count("*").alias("operations"),
+        F.count_if(read & ~F.col("failed") & ~F.col("found")).alias("misses"),
+        F.count_if(read & F.col("failed")).alias("read_errors"),
+        F.coalesce(F.sum(F.when(~read & ~F.col("failed"), F.col("bytes"))), F.lit(0).cast("long")).alias("bytes_written"),
+    )
+
+
+def up_to(operations: DataFrame, most_operations: int | None = None, most_bytes: int | None = None, block: int = 1 << 16) -> DataFrame:
+    """Operations (op_id from 0, bytes) up to the one that reaches a limit, that one included.
+
+    Bytes are summed within blocks of operations, and only the blocks' sums one after another.
+    """
+    if most_operations is not None:
+        operations = operations.where(F.col("op_id") < most_operations)
+    if most_bytes is None:
+        return operations
+    rows = operations.withColumn("_block", F.floor(F.col("op_id") / block).cast("long"))
+    sums = rows.groupBy("_block").agg(F.sum("bytes").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("_block").orderBy("op_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_inside", inside).join(sums, "_block")
+    return rows.where(F.col("_before") + F.col("_inside") < most_bytes).drop("_block", "_inside", "_before")
+
+
+def write_series(table: DataFrame, path: str) -> None:
+    """A per-second series as one CSV file with a header: one row per second of a run."""
+    table.coalesce(1).sortWithinPartitions("second").write.option("header", True).csv(path)
+
+
+def describe(table: DataFrame) -> list[str]:
+    """The lines of a summary for people."""
+    return [f"{r['kind']}: n {r['n']}, mean {r['mean_us']:.1f} us, " + ", ".join(f"{p} {r[f'{p}_us']:.1f}" for p in (*PERCENTILES, "max")) for r in table.orderBy("kind").collect()]  # one row per kind

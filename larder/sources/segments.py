@@ -39,3 +39,9 @@ def verify(spark: SparkSession, parts: tuple[Part, ...]) -> None:
         n = read_paths(spark, [p.path]).select("key").count()
         if n != p.rows:
             raise CorruptError(f"{p.path} has {n} rows; its manifest says {p.rows}")
+
+
+def directory_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder, from their listing: no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

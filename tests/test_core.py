@@ -13,7 +13,7 @@ from larder.model import CorruptError, EmptyKeyError, Options, UnknownVersionErr
 from larder.operators import log as ops
 from larder.operators import metrics, recovery
 from larder.plans.table import KVTable
-from larder.sources import records
+from larder.sources import records, segments
 from larder.sources.manifest import Manifest, PublishConflict
 
 LOG = "key string, gen long, pos long, deleted boolean, value string"
@@ -241,3 +241,18 @@ def test_table_agrees_with_a_dict(spark, tmp_path_factory, steps):
         else:
             getattr(t, kind)()
     assert state(t) == model
+
+
+def test_windows_counters_and_limits(spark, tmp_path):
+    ops_ = spark.createDataFrame([(i, i * 500_000_000, "read" if i % 2 else "write", i != 3, i == 5, 10) for i in range(8)], "op_id long, start_ns long, kind string, found boolean, failed boolean, bytes long")
+    inside = metrics.measured(ops_, F.lit(1_000_000_000), F.lit(3_000_000_000))
+    assert rows(inside, "op_id", "sec") == [(2, 0), (3, 0), (4, 1), (5, 1)]
+    assert metrics.counters(ops_).first().asDict() == {"operations": 8, "misses": 1, "read_errors": 1, "bytes_written": 40}
+    assert rows(metrics.up_to(ops_, 6, 35, block=3), "op_id") == [(0,), (1,), (2,), (3,)]
+    assert metrics.up_to(ops_, 6).count() == 6
+    metrics.write_series(spark.createDataFrame([(1, 2), (0, 5)], "second int, reads long"), str(tmp_path / "csv"))
+    file = next((tmp_path / "csv").glob("*.csv"))
+    assert file.read_text() == "second,reads\n0,5\n1,2\n"
+    assert segments.directory_size(spark, str(tmp_path / "csv")) >= file.stat().st_size
+    line = metrics.describe(metrics.summary(spark.createDataFrame([(0, "read", 2000)], "sec int, kind string, ns long")))
+    assert line == ["read: n 1, mean 2.0 us, p50 2.0, p95 2.0, p99 2.0, p999 2.0, max 2.0"]
