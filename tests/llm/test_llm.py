@@ -361,6 +361,38 @@ def test_katz_scores_and_sums_to_one(spark):
     assert katz.score_texts(empty(spark), F.lit(True)).count() == 0
 
 
+def test_katz_keeps_bigrams_of_words_without_ids(spark):
+    rows = corpus(8, 40) + [(900, "only here once"), (901, "Once only here"), (902, "here once never")]
+    df = docs(spark, rows)
+    training = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    toks = lambda t: [*(t or "").encode().translate(katz.LOWER).split(), None]
+    train = [toks(t) for i, t in rows if i is not None and i % 3]
+    c1 = Counter(w for t in train for w in t)
+    c2 = Counter(x for t in train for x in zip([None, *t], t))
+    total = sum(c1.values())
+    d1, d2 = (katz.discounts([0, *(sum(v == r for v in c.values()) for r in range(1, 7))], total) for c in (c1, c2))
+    lost = sum(v * (1 - d1[v]) for v in c1.values() if v <= 5)
+    p1 = {w: v * (d1[v] if v <= 5 else 1) / total for w, v in c1.items()}
+    unknown = lost / total
+    after = defaultdict(dict)
+    for (h, w), v in c2.items():
+        after[h][w] = v * (d2[v] if v <= 5 else 1) / c1[h]
+    alpha = {}
+    for h, seen in after.items():
+        left, mass = 1 - sum(p1[w] for w in seen), sum(seen.values())
+        keep = min(mass, 1 - 1e-6)
+        after[h] = {w: p * keep / mass for w, p in seen.items()}
+        alpha[h] = (1 - keep) / left
+        assert math.isclose(sum(after[h].values()) + alpha[h] * (unknown + sum(p for w, p in p1.items() if w not in seen)), 1)
+    prob = lambda h, w: after[h][w] if w in after.get(h, {}) else alpha.get(h, 1.0) * p1.get(w, unknown)
+    want = {i: sum(math.log10(prob(h, w)) for h, w in zip([None, *toks(t)], toks(t))) for i, t in rows}
+    small = katz.score_texts(df, training, katz.Katz(cached=64, hot_pairs=32, run_chars=3000, bucket_chars=5000)).collect()
+    assert len(small) == len(rows)
+    assert len(c1) > 4 * 64
+    for r in [*small, *katz.score_texts(df, training).collect()]:  # what is cached makes no difference
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9)
+
+
 # tiling
 
 
