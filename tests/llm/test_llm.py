@@ -201,6 +201,34 @@ def test_boilerplate_and_deep_markup():
     assert html_wrapper.main_text(html_wrapper.parse("<div>" * 5000 + "deep")) == "deep"
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body class='no-sidebar'><p>text</p></body>",
+        "<body class='search'><p>text</p></body>",
+        "<body><div class='content with-sidebar'><p>text</p></div></body>",
+        "<div class='has-header-image page'><main class=search>text</main></div>",
+        "<div id=search><main><p>text</main></div>",
+        "<article class='post comments-open'><p>text</article>",
+        "<article class=teaser><p>text</article>",
+        "<main><article class=search>text</article></main>",
+        "<div class='related'><article><p>text</article></div>",
+        "<div data-id='menu' title='a class=menu'>text</div>",
+        "<div class=widget><p>text</div>",
+        "<article>text</article><div class=related-posts><article>other</article></div>",
+        "<article>text</article><article class=comment>other</article>",
+        "<main>text<div class='cookie-banner'>c</div><div class='site-header'>h</div><div class='ad ad-728x90'>a</div></main>",
+    ],
+)
+def test_class_filter_keeps_the_article(html):
+    assert html_wrapper.main_text(html_wrapper.parse(html)) == "text"
+
+
+def test_all_outermost_articles_are_kept():
+    html = "<div><article>one<article>in one</article></article></div><p>out</p><article class='entry-header'>two, the longest</article><article>three</article>"
+    assert html_wrapper.main_text(html_wrapper.parse(html)) == "one\nin one\ntwo, the longest\nthree"
+
+
 def test_tree_matching_finds_the_largest_matching():
     a, b = (html_wrapper.parse(h) for h in ("<div><p>1</p><ul><li>2</ul><p>3</p></div>", "<div><p>1</p><p>x</p><ul><li>2</ul><p>3</p></div>"))
     assert html_wrapper.score(a, b, {}) == a.weight
