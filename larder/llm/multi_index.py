@@ -128,7 +128,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: MultiIndex
     scratch = Scratch(spark, "multi-index")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = usable(vectors)
-    least = rows.withColumn("r", F.row_number().over(Window.partitionBy("key_a", "key_b").orderBy("vec_id"))).where(F.col("r") <= 2 * k + 2)
+    least = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("key_a", "key_b").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     entries = least.groupBy("key_a", "key_b").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1).alias("ids"), F.first("vector").alias("vector"))
     entries = scratch.keep(entries)
     n = entries.count()

@@ -327,6 +327,15 @@ def test_nearest_neighbours(spark):
     assert len(few) == 2 and multi_index.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_take_no_neighbours_place(spark):
+    x = np.random.default_rng(3).normal(size=(60, 8))
+    x[:12] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [rows[0]] * 15 + [rows[1]] * 4, "vec_id long, embedding array<double>")
+    found = multi_index.search(df, F.col("vec_id") == 0, 5, multi_index.MultiIndex(centroids=2, chunk=100, block=16))
+    assert [r.vec_id for r in found.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 # language model
 
 
