@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from larder.functions.hashing import fnv1a64
 from larder.model import CorruptError
 
+# Bounds of a filter, and the rate taken where none is given that makes sense.
 MIN_BITS, MAX_BITS = 512, 1 << 28
 MAX_HASHES = 16
 DEFAULT_RATE = 0.01
 
+BROADCAST_BYTES = 64 << 20  # filters of more bytes than this together are joined, not broadcast
+
 
 def size_for(keys: int, rate: float) -> tuple[int, int]:
     """(m bits, k hashes) for that many keys at that false-positive rate."""
@@ -59,17 +62,44 @@ def estimate(bits: DataFrame) -> DataFrame:
     return counted.select("gen", "m", "k", "bits", F.pow(F.col("bits") / F.col("m"), F.col("k")).alias("fpr"))
 
 
-def might_contain(asked: DataFrame, bits: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(key) and filters -> (key, gen, maybe): false means the generation does not hold the key.
+def filters(bits: DataFrame) -> DataFrame:
+    """(gen, m, k, words): each generation's filter as one array of 64-bit words, at most MAX_BITS long."""
+    words = bits.groupBy("gen", F.floor(F.col("bit_index") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit_index % 64 as int)))").alias("value"))
+    spine = bits.select("gen", "m", "k").distinct().withColumn("word", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / 64))))
+    dense = spine.join(words, ["gen", "word"], "left").groupBy("gen", "m", "k")
+    ordered = F.sort_array(F.collect_list(F.struct("word", F.coalesce("value", F.lit(0).cast("long")).alias("value"))))
+    return dense.agg(F.transform(ordered, lambda x: x["value"]).alias("words"))
+
+
+def hashed(asked: DataFrame) -> DataFrame:
+    """(key, lo, step): the distinct asked keys and the two numbers their probes are made of."""
+    halves = asked.select("key").distinct().withColumn("h", fnv1a64(F.col("key")))
+    return halves.select("key", F.col("h.lo").alias("lo"), F.col("h.hi").bitwiseOR(F.lit(1).cast("long")).alias("step"))
+
+
+def candidates(asked: DataFrame, bits: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, gen) for each asked key and each generation whose filter does not rule it out.
 
-    sizes (gen, m, k) has a row per generation and is broadcast: a store has few generations, since
-    compaction merges them. Bits meet probes in an equi-join on (gen, bit).
+    A key is hashed once, whatever the number of generations. While the filters' bytes, which are
+    counted first, are at most `most`, they are broadcast and tested in place; beyond that, probes meet
+    the filters' words in an equi-join on (gen, word).
     """
-    asked = asked.select("key").distinct()
-    each = asked.crossJoin(F.broadcast(sizes.select("gen", "m", "k")))
-    hashed = each.select("key", "gen", "k", F.explode(probes(F.col("key"), F.col("m"), F.col("k"))).alias("bit_index"))
-    met = hashed.join(bits.select("gen", "bit_index", F.lit(1).alias("set")), ["gen", "bit_index"], "left")
-    return met.groupBy("key", "gen").agg((F.count("set") == F.count("*")).alias("maybe"))
+    keys = hashed(asked)
+    each = bits.select("gen", "m", "k").distinct()
+    size = each.agg(F.sum(F.col("m") / 8)).first()[0] or 0
+    if size <= most:
+        tests = " AND ".join(f"({i} >= k OR getbit(get(words, cast((lo + {i} * step) % m div 64 AS int)), cast((lo + {i} * step) % m % 64 AS int)) = 1)" for i in range(MAX_HASHES))
+        return keys.join(F.broadcast(filters(bits)), F.expr(tests)).select("key", "gen")
+    probed = keys.crossJoin(F.broadcast(each)).select("key", "gen", "k", F.explode(F.expr("transform(sequence(0, k - 1), i -> (lo + i * step) % m)")).alias("bit_index"))
+    met = probed.join(bits.select("gen", "bit_index"), ["gen", "bit_index"])
+    return met.groupBy("key", "gen", "k").agg(F.count("*").alias("set")).where("set = k").select("key", "gen")
+
+
+def might_contain(asked: DataFrame, bits: DataFrame) -> DataFrame:
+    """(key, gen, maybe) for every asked key and generation: false means the generation does not hold
+    the key. Prefer candidates(), which leaves out what is false."""
+    every = asked.select("key").distinct().crossJoin(F.broadcast(bits.select("gen").distinct()))
+    return every.join(candidates(asked, bits).withColumn("maybe", F.lit(True)), ["key", "gen"], "left").select("key", "gen", F.coalesce("maybe", F.lit(False)).alias("maybe"))
 
 
 def encode(m: int, k: int, bits) -> bytes:

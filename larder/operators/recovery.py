@@ -16,16 +16,17 @@ def classified(log: DataFrame, block: int = 1 << 16) -> DataFrame:
     is).
 
     Positions are cut into blocks that are looked at in parallel; only one row per block, its first
-    commit, is then looked at in order, so no task sees the whole log.
+    commit, is then looked at in order, so no task sees the whole log. Both looks run from the end, so
+    that a running minimum does and the cost does not depend on the block's size.
     """
     first_bad = F.broadcast(log.agg(F.min(F.when(F.col("status") != "ok", F.col("pos"))).alias("first_bad")))
     rows = log.crossJoin(first_bad).withColumn("valid", F.col("first_bad").isNull() | (F.col("pos") < F.col("first_bad"))).drop("first_bad")
     commit = F.when(F.col("valid") & ~F.col("pending"), F.col("pos"))
     rows = rows.withColumn("_block", F.floor(F.col("pos") / block).cast("long"))
     blocks = rows.groupBy("_block").agg(F.min(commit).alias("_first"))
-    later = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_next", F.min("_first").over(later)).drop("_first")
-    own = F.min(commit).over(Window.partitionBy("_block").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
+    own = F.min(commit).over(Window.partitionBy("_block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_own", own).join(blocks, "_block")
     return rows.withColumn("commit_pos", F.when(F.col("valid"), F.coalesce("_own", "_next"))).drop("_block", "_own", "_next")
 

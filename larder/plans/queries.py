@@ -254,10 +254,13 @@ def bloom_fpr_estimate(spark, sf_dir):
 )
 def bloom_prune_report(spark, sf_dir):
     keys = keyed(spark, sf_dir)
-    maybe = bloom.might_contain(asked(spark, sf_dir).select(F.col("key").cast("binary").alias("key")), bloom.build(keys, 0.01), bloom.sized(keys, 0.01))
-    met = maybe.join(keys.withColumn("real", F.lit(1)), ["key", "gen"], "left")
-    out = met.groupBy("key").agg(F.count("*").alias("segments"), F.count_if(~F.col("maybe")).alias("pruned"), F.count_if(F.col("maybe") & F.col("real").isNull()).alias("false_positives"))
-    return out.withColumn("key", F.col("key").cast("string"))
+    bits = bloom.build(keys, 0.01)
+    wanted = asked(spark, sf_dir).select(F.col("key").cast("binary").alias("key")).distinct()
+    total = F.broadcast(keys.agg(F.countDistinct("gen").alias("segments")))
+    met = bloom.candidates(wanted, bits).join(keys.withColumn("real", F.lit(1)), ["key", "gen"], "left")
+    counts = met.groupBy("key").agg(F.count("*").alias("maybe"), F.count_if(F.col("real").isNull()).alias("wrong"))
+    out = wanted.join(counts, "key", "left").crossJoin(total)
+    return out.select(F.col("key").cast("string").alias("key"), "segments", (F.col("segments") - F.coalesce("maybe", F.lit(0))).alias("pruned"), F.coalesce("wrong", F.lit(0)).alias("false_positives"))
 
 
 def samples(spark, sf_dir):

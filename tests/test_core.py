@@ -92,9 +92,14 @@ def test_bloom_sizing(spark, n, p, m, k):
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(2000).select(F.lit(1).cast("long").alias("gen"), F.concat(F.lit("key"), F.col("id").cast("string")).cast("binary").alias("key"))
     absent = spark.range(2000).select(F.concat(F.lit("no"), F.col("id").cast("string")).cast("binary").alias("key"))
-    bits, sizes = bloom.build(keys, 0.01), bloom.sized(keys, 0.01)
-    assert bloom.might_contain(keys, bits, sizes).where(~F.col("maybe")).count() == 0
-    assert bloom.might_contain(absent, bits, sizes).where("maybe").count() <= 60
+    bits = bloom.build(keys, 0.01)
+    assert bloom.might_contain(keys, bits).where(~F.col("maybe")).count() == 0
+    assert bloom.might_contain(absent, bits).where("maybe").count() <= 60
+    both = keys.select("key").unionAll(absent.select("key"))
+    joined = {tuple(r) for r in bloom.candidates(both, bits, most=0).collect()}  # beyond the broadcast
+    assert joined == {tuple(r) for r in bloom.candidates(both, bits).collect()}
+    words = bloom.filters(bits).first()
+    assert {64 * i + j for i, w in enumerate(words["words"]) for j in range(64) if w >> j & 1} == {r.bit_index for r in bits.collect()}
     assert 0.003 < bloom.estimate(bits).first().fpr < 0.03
 
 
