@@ -4,15 +4,16 @@ Benchmark items and documents are lists of normalised words (lower case, outer p
 A document that shares no run of `min_match` words with any item is passed over by Karp-Rabin hashes
 alone. For each document and item that share such a seed, greedy string tiling marks, longest first,
 matches whose words are not yet covered on either side, until none of at least `min_match` words is
-left. The share of the item's words under its tiles is its coverage, whatever the order in which the
+left; every round's matches are found by running Karp-Rabin hashes, too. The share of the item's words under its tiles is its coverage, whatever the order in which the
 document has them; the document is contaminated by items whose coverage reaches `threshold`.
 
-The items are read in blocks of at most `block_words` words, and only such a block is ever sent to the
-workers; a benchmark of any size takes as many passes as it has blocks.
+The items are read in blocks of about `block_words` words (one item at least), and one such block at a
+time is sent to the workers; a benchmark of any size takes as many passes as it has blocks.
 
 Defined cases: null and empty texts match nothing; items of fewer than `min_match` words match only as
 a whole (the seed is then the whole item); repeated documents are each reported; repeated items are
-each reported; a null doc_id or item_id stays null; other columns are ignored.
+each reported; a null doc_id or item_id stays null; long and repetitive texts are tiled whole; an empty
+table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.scratch import Scratch
 from larder.llm.words import Powers, RollingHash, WordHashes
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered_words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])))])
@@ -56,43 +58,83 @@ class NormalHashes(WordHashes):
         return found[found != 0]
 
 
+def free_runs(free: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of at least `least` unmarked words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= least]
+
+
+def starts_in(runs: list[tuple[int, int]], size: int) -> np.ndarray:
+    """Where `size` unmarked words in a row start."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - size + 1) for a, b in runs if b - a >= size)])
+
+
+def shared_starts(item: np.ndarray, doc: np.ndarray, x: RollingHash, y: RollingHash, runs_x: list, runs_y: list, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Starts in the item whose `size` words the document has too, and the least such start in the
+    document of each; None if there are none. Hashes find them, the words confirm them."""
+    i, j = starts_in(runs_x, size), starts_in(runs_y, size)
+    if not len(i) or not len(j):
+        return None
+    known, first = np.unique(y.ranges(j, j + size), return_index=True)  # the first of equals is the least
+    asked = x.ranges(i, i + size)
+    place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    found = known[place] == asked
+    if not found.any():
+        return None
+    i, at = i[found], j[first[place[found]]]
+    same = np.array([np.array_equal(item[a : a + size], doc[b : b + size]) for a, b in zip(i.tolist(), at.tolist())])
+    return (i[same], at[same]) if same.any() else None
+
+
+def in_seeds(x: RollingHash, y: RollingHash, least: int) -> np.ndarray:
+    """Which words of x lie in a run of `least` words that y has too; no others can be in a tile."""
+    n = len(x.prefix) - 1
+    if n < least or len(y.prefix) - 1 < least:
+        return np.zeros(n, bool)
+    start = np.flatnonzero(np.isin(x.grams(least), y.grams(least)))
+    edge = np.zeros(n + 1, np.int64)
+    edge[start] += 1
+    np.subtract.at(edge, start + least, 1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (item start, document start, length), longest first; ties go to the
-    earlier item position, then the earlier document position.
+    """Greedy string tiling by running Karp-Rabin: (item start, document start, length), longest first;
+    ties go to the earlier item position, then the earlier document position.
 
-    Maximal matches are found once, by extending seeds along the diagonals; each round takes the
-    longest that is still free on both sides, and cuts the others back to what is left of them.
+    Each round looks for the longest match between unmarked words: rolling hashes tell whether there is
+    one of a given length, which is halved in on, since a match of a length holds matches of all lesser
+    ones. All matches of that length that stay clear of each other are marked in order, and the next
+    round starts from that length downwards, over the runs that are left.
     """
-    n, m = len(item), len(doc)
-    places: dict[int, list[int]] = {}
-    for i, h in enumerate(item.tolist()):
-        places.setdefault(h, []).append(i)
-    open_runs: dict[int, tuple[int, int]] = {}
-    found: list[tuple[int, int, int]] = []
-    for j, h in enumerate(doc.tolist() + [None]):
-        now: dict[int, tuple[int, int]] = {}
-        for i in places.get(h, ()):
-            now[i] = (open_runs[i - 1][0], open_runs[i - 1][1] + 1) if i - 1 in open_runs else (j, 1)
-        for i, (start, length) in open_runs.items():
-            if i + 1 not in now and length >= least:
-                found.append((i - length + 1, start, length))
-        open_runs = now
-    item_free, doc_free = np.ones(n, bool), np.ones(m, bool)
+    powers = Powers()
+    x, y = RollingHash(item, powers), RollingHash(doc, powers)
+    item_free, doc_free = (in_seeds(a, b, least) for a, b in ((x, y), (y, x)))
     tiles: list[tuple[int, int, int]] = []
-    while found:
-        found.sort(key=lambda t: (-t[2], t[0], t[1]))
-        i, j, length = found[0]
-        rest = []
-        free = item_free[i : i + length] & doc_free[j : j + length]
-        if free.all():
-            tiles.append((i, j, length))
-            item_free[i : i + length] = False
-            doc_free[j : j + length] = False
-        else:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-            rest = [(i + int(a), j + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
-        found = found[1:] + rest
-    return tiles
+    most = min(len(item), len(doc))
+    while True:
+        runs_x, runs_y = free_runs(item_free, least), free_runs(doc_free, least)
+        found, low, high = None, least, min(most, max((b - a for a, b in runs_x), default=0), max((b - a for a, b in runs_y), default=0))
+        while low <= high:
+            size = (low + high) // 2 if found is not None else low
+            met = shared_starts(item, doc, x, y, runs_x, runs_y, size)
+            if met is None:
+                high = size - 1
+            else:
+                found, low = met, size + 1
+        if found is None:
+            return tiles
+        most = low - 1
+        while found is not None:
+            marked = False
+            for i, j in zip(*(f.tolist() for f in found)):
+                if item_free[i : i + most].all() and doc_free[j : j + most].all():
+                    tiles.append((i, j, most))
+                    item_free[i : i + most] = doc_free[j : j + most] = False
+                    marked = True
+                elif marked and item_free[i : i + most].all():
+                    break  # its first place in the document is gone: look for the next one
+            found = shared_starts(item, doc, x, y, free_runs(item_free, most), free_runs(doc_free, most), most)
 
 
 class ItemIndex:
@@ -152,9 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
 
-    def against(block):
-        sent = spark.sparkContext.broadcast(block)
-
+    def against(sent):
         def search(batches):
             index, known, powers = ItemIndex(sent.value, min_match), NormalHashes(), Powers()
             for batch in batches:
@@ -174,5 +214,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
 
         return texts.mapInArrow(search, FOUND_DDL)
 
-    parts = [against(block) for block in item_blocks(benchmark, block_words)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND_DDL)
+    blocks = item_blocks(benchmark, block_words)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return spark.createDataFrame([], FOUND_DDL)
+    if after is None:
+        return against(spark.sparkContext.broadcast(block))
+    scratch, parts = Scratch(spark, "tiling"), []
+    while block is not None:  # one block's broadcast at a time
+        sent = spark.sparkContext.broadcast(block)
+        parts.append(scratch.keep(against(sent)))
+        sent.destroy()
+        block, after = after, next(blocks, None)
+    return reduce(DataFrame.unionByName, parts)

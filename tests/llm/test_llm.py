@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -446,18 +447,26 @@ def tiles_by_definition(item, doc, least):
                     best = (n, i, j)
         n, i, j = best
         if n < least:
-            return sum(t[0] for t in out)
-        out.append(best)
+            return out
+        out.append((i, j, n))
         item_free[i : i + n] = [False] * n
         doc_free[j : j + n] = [False] * n
 
 
-def test_tiling_covers_what_the_definition_covers():
+def test_tiles_are_those_of_the_definition():
     r = random.Random(5)
-    for _ in range(60):
-        item, doc = ([r.randrange(4) for _ in range(n)] for n in (14, 22))
-        got = sum(t[2] for t in tiling.tile(np.array(item, np.uint64), np.array(doc, np.uint64), 3))
-        assert got == tiles_by_definition(item, doc, 3)
+    for _ in range(300):
+        words, least = r.choice([1, 2, 3, 4, 8]), r.choice([1, 2, 3])
+        item, doc = ([r.randrange(words) for _ in range(r.randrange(n))] for n in (16, 24))
+        assert tiling.tile(np.array(item, np.uint64), np.array(doc, np.uint64), least) == tiles_by_definition(item, doc, least)
+
+
+def test_tiling_of_long_repetitive_texts_is_quick():
+    began = time.time()
+    assert tiling.tile(np.full(50, 7, np.uint64), np.full(200_000, 7, np.uint64), 5) == [(0, 0, 50)]
+    assert tiling.tile(np.full(20_000, 7, np.uint64), np.full(20_000, 7, np.uint64), 5) == [(0, 0, 20_000)]
+    assert len(tiling.tile(np.tile(np.arange(3, dtype=np.uint64), 300), np.tile(np.arange(4, dtype=np.uint64), 8000), 2)) == 300
+    assert time.time() - began < 10
 
 
 def test_contamination(spark):
