@@ -230,10 +230,91 @@ def test_all_outermost_articles_are_kept():
     assert html_wrapper.main_text(html_wrapper.parse(html)) == "one\nin one\ntwo, the longest\nthree"
 
 
-def test_tree_matching_finds_the_largest_matching():
-    a, b = (html_wrapper.parse(h) for h in ("<div><p>1</p><ul><li>2</ul><p>3</p></div>", "<div><p>1</p><p>x</p><ul><li>2</ul><p>3</p></div>"))
-    assert html_wrapper.score(a, b, {}) == a.weight
-    assert sorted((x.text, i) for x, i in html_wrapper.align(a, b)) == [("1", 0), ("2", 2), ("3", 3)]
+def tree_of(r, depth):
+    if depth == 0 or r.random() < 0.3:
+        return html_wrapper.Block("t")
+    return html_wrapper.Node(r.choice("ab"), r.choice("ab"), children=[tree_of(r, depth - 1) for _ in range(r.randrange(1, 4))])
+
+
+def matching_by_definition(a, b):
+    if a.label != b.label:
+        return 0
+
+    def lists(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(lists(xs[1:], ys), lists(xs, ys[1:]), (matching_by_definition(xs[0], ys[0]) + lists(xs[1:], ys[1:])) if xs[0].label == ys[0].label else 0)
+
+    return 1 + lists(a.kids, b.kids)
+
+
+def test_tree_matching_is_brute_force():
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = (html_wrapper.folded(html_wrapper.Node("#root", "#root", children=[tree_of(r, 3) for _ in range(3)])) for _ in range(2))
+        assert html_wrapper.Matching().score(a, b) == matching_by_definition(a, b)
+        pairs = html_wrapper.Matching().align(a, b)
+        assert len(pairs) == matching_by_definition(a, b) and all(x.label == y.label for x, y in pairs)
+
+
+def test_long_lists_are_aligned_in_little_memory():
+    r = np.random.default_rng(0)
+    pair = r.integers(0, 3, (5, 5))
+    for n, m in ((30, 40), (1500, 1700)):
+        x, y = r.integers(0, 5, n), r.integers(0, 5, m)
+        table = np.zeros((n + 1, m + 1), int)
+        for i in range(n):
+            for j in range(m if n < 100 else 0):
+                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + pair[x[i], y[j]])
+        found = html_wrapper.heaviest(pair, x, y)
+        assert all(a < c and b < d for (a, b, _), (c, d, _) in zip(found, found[1:])) and all(s == pair[x[i], y[j]] for i, j, s in found)
+        assert sum(s for _, _, s in found) == (table[n, m] if n < 100 else html_wrapper.reach(pair, x, y)[-1])
+    long = html_wrapper.folded(html_wrapper.parse("<body>" + "<p>a</p><h2>b</h2>" * 20_000))
+    short = html_wrapper.folded(html_wrapper.parse("<body><div>x</div>" + "<p>a</p><h2>b</h2>" * 1000 + "<div>y</div>"))
+    began = time.time()
+    assert len(html_wrapper.Matching().align(long, short)) == 2 + 4000 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("html", ["<p>text</p><" + "x" * 200_000 + '"', "<p>text" + "<b>" * 200_000, "<p>text</p><title>" + "</title " * 100_000, "<p>text</p><div class='" + "ad-" * 70_000 + "x'></div>", "<p>text</p>" + '<a "' * 50_001])
+def test_odd_markup_is_read_in_linear_time(html):
+    began = time.time()
+    assert html_wrapper.main_text(html_wrapper.parse(html)).startswith("text") and time.time() - began < 5
+
+
+def bare_page(i, r, layout=0):
+    """A page without a telling tag or class."""
+    sentence = lambda n: " ".join(r.choice(("alpha", "beta", "gamma", "delta", "epsilon")) + str(r.randrange(99)) for _ in range(n)) + "."
+    paragraphs = [sentence(r.randrange(20, 60)) for _ in range(r.randrange(1, 6))]
+    links = "".join(f"<li><a href=/{r.randrange(9)}>{sentence(1)}</a>" for _ in range(5))
+    story = f"<div><div>Title {i}</div>{''.join(f'<p>{p}</p>' for p in paragraphs)}<p>Sign up for our weekly letter.</p></div>"
+    if layout:
+        story = f"<section><div>Title {i}</div>{''.join(f'<p>{p}</p>' for p in paragraphs)}</section>"
+    html = f"<html><body><div><ul>{links}</ul></div><div>{sentence(6)}</div>{story}<div>All rights {i}. {sentence(4)}</div></body></html>"
+    return html, "\n".join([f"Title {i}", *paragraphs])
+
+
+def test_the_wrapper_finds_articles_without_telling_tags(spark):
+    r = random.Random(0)
+    rows, want = [], {}
+    for i in range(60):
+        html, want[i] = bare_page(i, r, layout=i % 3 == 0)
+        rows.append((i, f"https://plain.example/{i}", html))
+    rows += [(100 + i, f"https://plain.example/copy/{i}", rows[1][2].replace("<html>", f"<html lang=x{i}>")) for i in range(40)]  # copies of one page
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_wrapper.extract(df).collect()}
+    assert all(got[i] == want[i] for i in want)
+    assert {got[i] for i in range(100, 140)} == {want[1]}
+    one = {x.page_id: x.text for x in html_wrapper.extract(df, references=1).collect()}
+    assert all(one[i] == want[i] for i in want if i % 3)  # one reference knows one layout
+
+
+def test_large_wrapper_tables_are_joined_by_salt(spark, monkeypatch):
+    r = random.Random(1)
+    rows = [(i, f"https://plain.example/{i}", bare_page(i, r)[0]) for i in range(12)] + [(50, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_wrapper.extract(df).collect()), key=str)
+    monkeypatch.setattr(html_wrapper, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, html_wrapper.extract(df).collect()), key=str) == want
 
 
 # packing
