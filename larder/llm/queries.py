@@ -27,9 +27,9 @@ def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from larder.llm.chat import joined, preference_pairs, stale_replies
+    from larder.llm.chat import joined, render, stale_replies
 
-    found = preference_pairs(stale_replies(table(spark, sf_dir, "conversations")))
+    found = render(stale_replies(table(spark, sf_dir, "conversations")))
     mask = {s: F.array_join(F.transform(s, lambda x: F.when(x["trained"], "1").otherwise("0")), "") for s in ("chosen", "rejected")}
     return found.select(F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", *(joined(F.col(s)).alias(s) for s in mask), *(mask[s].alias(f"{s}_mask") for s in mask))
 
@@ -114,19 +114,19 @@ def license_sql(threshold: float = 0.8) -> str:
 
 PREFERENCE_SQL = r"""
     WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
-    ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM c),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM c),
     last AS (SELECT conv_id, max(p) AS last FROM ordered WHERE role = 'assistant' GROUP BY conv_id),
-    stale AS (SELECT o.conv_id, max_by(text, p) AS stale FROM ordered o JOIN last l ON o.conv_id = l.conv_id AND p < last WHERE role = 'assistant' GROUP BY o.conv_id),
+    stale AS (SELECT o.conv_id, max_by(text, p) AS stale FROM ordered o JOIN last l ON o.conv_id IS NOT DISTINCT FROM l.conv_id AND p < last WHERE role = 'assistant' GROUP BY o.conv_id),
     sides AS (
         SELECT o.conv_id, p, last, role, text AS chosen, CASE WHEN p = last THEN coalesce(stale, '') ELSE text END AS rejected
-        FROM ordered o JOIN last l ON o.conv_id = l.conv_id AND p <= last LEFT JOIN stale s ON s.conv_id = o.conv_id),
+        FROM ordered o JOIN last l ON o.conv_id IS NOT DISTINCT FROM l.conv_id AND p <= last LEFT JOIN stale s ON s.conv_id IS NOT DISTINCT FROM o.conv_id),
     prefix AS (SELECT conv_id, coalesce(min(p) FILTER (WHERE chosen <> rejected), max(last) + 1) AS first FROM sides GROUP BY conv_id),
     turns AS (
         SELECT s.conv_id, p, first, '<|im_start|>' || replace(replace(role, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10) AS head,
                replace(replace(chosen, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS chosen,
                replace(replace(rejected, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS rejected,
                CASE WHEN role = 'assistant' THEN '01' ELSE '00' END AS mask
-        FROM sides s JOIN prefix USING (conv_id))
+        FROM sides s JOIN prefix x ON s.conv_id IS NOT DISTINCT FROM x.conv_id)
     SELECT conv_id, CAST(max(first) - 1 AS INTEGER) AS prompt_turns,
            coalesce(string_agg(head || chosen, '' ORDER BY p) FILTER (WHERE p < first), '') AS prompt,
            coalesce(string_agg(head || chosen, '' ORDER BY p) FILTER (WHERE p >= first), '') AS chosen,

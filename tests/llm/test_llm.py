@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import chosen_path, html_wrapper, katz, multi_index, packing, substring, tiling, toxicity
-from larder.llm.chat import joined, preference_pairs, stale_replies
+from larder.llm import chosen_path, html_wrapper, katz, multi_index, packing, queries, substring, tiling, toxicity
+from larder.llm.chat import joined, preference_pairs, render, stale_replies
 from larder.llm.components import components
 from larder.llm.licenses import scan
 from larder.llm.queries import byte_bpe
@@ -115,11 +115,29 @@ def test_preference_prefix_and_masks(spark):
 
 def test_stale_replies_differ_in_the_last_reply_only(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "q2"), (1, 3, "assistant", "b"), (1, 4, "user", "bye"), (2, 0, "user", "alone"), (3, 0, "assistant", "z"), (None, 0, "assistant", None)]
-    got = {r.pair_id: r for r in preference_pairs(stale_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    got = {r.pair_id: r for r in render(stale_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     assert set(got) == {1, 3, None} and got[1].prompt_turns == 3
     assert got[1].chosen[1].text == "b<|im_end|>\n" and got[1].rejected[1].text == "a<|im_end|>\n" and got[3].rejected[1].text == "<|im_end|>\n"
 
 
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+def test_repeated_and_odd_turns_are_those_of_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a")]
+    rows += [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (2, 2, "user", None)]
+    rows += [(3, 0, "assistant", None), (3, None, "assistant", "first"), (None, 1, "assistant", "x"), (None, 0, "assistant", "y"), (4, 0, None, "no reply"), (5, 0, "assistant", "long " * 50_000)]
+    spark.createDataFrame(rows, CONVERSATIONS).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = queries.op2_preference_pairs(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.PREFERENCE_SQL})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.collect()) and len(want) == 5
+    kept = render(stale_replies(spark.read.parquet(f"{tmp_path}/conversations.parquet"), only_different=True)).collect()
+    assert {r.pair_id for r in kept} == {None, 3} and all(r.differs for r in kept)
+
+
 # similarity join
 
 
