@@ -96,19 +96,36 @@ def license_sql(threshold: float = 0.8) -> str:
 
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
     words = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    pairs = "list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
+    pairs = "list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])"
     return f"""
         WITH given(license, text) AS (VALUES {rows}),
-        templates AS (SELECT license, {pairs} AS own FROM (SELECT license, {words.format("text")} AS words FROM given)),
-        lines AS (
-            SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS unit FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)
-            UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
-        units AS (SELECT doc_id, line, {pairs} AS own FROM (SELECT doc_id, line, {words.format("unit")} AS words FROM lines) WHERE len(words) BETWEEN 2 AND 100000),
-        met AS (
-            SELECT doc_id, line, license, len(u.own) AS bigrams, 2.0::DOUBLE * len(list_intersect(u.own, t.own)) / (len(u.own) + len(t.own)) AS dice
-            FROM units u JOIN templates t ON len(u.own) BETWEEN len(t.own) * {threshold} / (2 - {threshold}) AND len(t.own) * (2 - {threshold}) / {threshold}),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) AS r FROM met WHERE dice >= {threshold})
-        SELECT doc_id, CAST(line AS INTEGER) AS line, license, dice, CAST(bigrams AS INTEGER) AS bigrams FROM ranked WHERE r = 1
+        templates AS (SELECT license, len(words) AS length, list_distinct({pairs}) AS own FROM (SELECT license, {words.format("text")} AS words FROM given)),
+        docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+        cut AS (SELECT row, doc_id, list_transform(lines, lambda x: {words.format("x")}) AS lines FROM docs),
+        flat AS (SELECT row, doc_id, flatten(lines) AS words, flatten(list_transform(lines, lambda x, i: list_transform(x, lambda w: i))) AS line_of FROM cut),
+        texts AS (SELECT *, {pairs} AS grams FROM flat WHERE len(words) > 1),
+        placed AS (SELECT row, unnest(line_of) AS line, unnest(range(1, len(words) + 1)) AS i FROM texts),
+        units AS (
+            SELECT row, min(i) AS first, max(i) AS last FROM placed GROUP BY row, line HAVING count(*) > 1
+            UNION SELECT row, 1, max(i) FROM placed GROUP BY row HAVING count(DISTINCT line) > 1),
+        unit_pieces AS (SELECT row, license, first, last, own FROM units JOIN texts USING (row), templates
+            WHERE len(list_distinct(grams[first : last - 1])) BETWEEN len(own) * {threshold} / (2 - {threshold}) AND len(own) * (2 - {threshold}) / {threshold}),
+        hits AS (SELECT row, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i, len(words) AS n FROM texts),
+        starts AS (SELECT license, length, own, unnest(own) AS gram FROM templates),
+        pieces AS (
+            SELECT row, license, first, last, own FROM unit_pieces
+            UNION ALL SELECT row, license, i, least(i + length - 1, n), own FROM hits JOIN starts USING (gram)),
+        sized AS (SELECT p.*, doc_id, line_of, list_distinct(grams[first : last - 1]) AS here FROM pieces p JOIN texts USING (row)),
+        met AS (SELECT *, 2.0::DOUBLE * len(list_intersect(here, own)) / (len(here) + len(own)) AS dice FROM sized),
+        found AS (SELECT *, max(last) OVER (PARTITION BY row, license ORDER BY first, last, dice DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM met WHERE dice >= {threshold}),
+        islands AS (SELECT *, sum(CASE WHEN before IS NULL OR first > before THEN 1 ELSE 0 END) OVER (PARTITION BY row, license ORDER BY first, last, dice DESC ROWS UNBOUNDED PRECEDING) AS island FROM found),
+        best AS (SELECT * FROM islands QUALIFY row_number() OVER (PARTITION BY row, license, island ORDER BY dice DESC, first, last) = 1),
+        ranked AS (SELECT *, len(list_intersect(here, own)) AS shared FROM best),
+        met_in AS (SELECT o.row, CASE WHEN (o.shared, o.dice) > (i.shared, i.dice) OR (o.shared, o.dice) = (i.shared, i.dice) AND o.license < i.license
+                                 THEN (i.license, i.island) ELSE (o.license, o.island) END AS loser
+            FROM ranked o JOIN ranked i ON o.row = i.row AND (i.first - 1 + i.last - 1) // 2 BETWEEN o.first - 1 AND o.last - 1 AND i.last - i.first <= o.last - o.first AND o.license <> i.license)
+        SELECT doc_id, CAST(line_of[first] AS INTEGER) AS line, CAST(line_of[last] AS INTEGER) AS last_line, license, dice, CAST(len(here) AS INTEGER) AS bigrams
+        FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM met_in m WHERE m.row = r.row AND m.loser = (r.license, r.island))
     """
 
 

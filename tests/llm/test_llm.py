@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from larder.llm import chosen_path, html_wrapper, katz, multi_index, packing, queries, substring, tiling, toxicity
 from larder.llm.chat import joined, preference_pairs, render, stale_replies
 from larder.llm.components import components
-from larder.llm.licenses import scan
+from larder.llm.licenses import TEMPLATES, scan, templates_of
 from larder.llm.queries import byte_bpe
 from larder.llm.scratch import Scratch
 
@@ -197,6 +198,57 @@ def test_license_scan(spark):
     assert scan(docs(spark, rows), {}).count() == 0 == scan(empty(spark)).count()
 
 
+def wrapped(text, width=60, prefix=" * "):
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width))
+
+
+def test_notices_are_found_where_they_are_wrapped_or_share_a_line(spark):
+    code = "\n".join(f"int f{i}(int x) {{ return x + {i}; }}" for i in range(200))
+    whole = [name for name, text in TEMPLATES.items() if len(text.split()) > 12]
+    rows = [(i, f"/*\n{wrapped(TEMPLATES[name])}\n */\n{code}") for i, name in enumerate(whole)]
+    rows += [(100, "Copyright (c) 2020 Foo. Released under the MIT License."), (101, f"{code}\n{wrapped(TEMPLATES['MIT text'], prefix='# ')}\n{code}\n# Licensed under CC BY-NC 4.0.\n{code}"), (102, (TEMPLATES["MIT"] + " ") * 3000), (103, "the license of the software " * 20_000)]
+    got = defaultdict(list)
+    for r in scan(docs(spark, rows)).collect():
+        got[r.doc_id].append((r.license, r.line, r.last_line, round(r.dice, 6)))
+    for i, name in enumerate(whole):
+        lines = len(textwrap.wrap(TEMPLATES[name], 60))
+        assert got[i] == [(name, 2, 1 + lines, 1.0)]
+    assert got[100] == [("MIT", 1, 1, 1.0)]
+    assert sorted(x[0] for x in got[101]) == ["CC-BY-NC-4.0", "MIT text"] and min(x[1] for x in got[101]) == 201
+    assert len(got[102]) == 1 and got[102][0][0] == "MIT" and 103 not in got
+
+
+def test_license_scan_is_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(4)
+    names = sorted(TEMPLATES)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            words = TEMPLATES[r.choice(names)].split()
+            for _ in range(r.randrange(0, 1 + len(words) // 6)):
+                words[r.randrange(len(words))] = r.choice(["the", "of", "Software", "other", "license"])
+            parts.append(r.choice([" ", "\n"]).join(words[: r.randrange(1, 400)]))
+            parts.append(" ".join(r.choices(["some", "other", "of", "the", "words"], k=r.randrange(9))))
+        rows.append((i, r.choice(["\n", " "]).join(parts)))
+    docs(spark, rows + rows[:3] + [(None, rows[5][1]), (77, None), (78, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.op4_license_scan(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.license_sql()})").fetchall()
+    short = lambda rows: sorted(str((*x[:4], round(x[4], 9), x[5])) for x in map(tuple, rows))
+    assert short(want) == short(df.collect()) and len(want) > 60
+
+
+def test_templates_come_from_a_table(spark):
+    table = spark.createDataFrame([("own", "This text may be used by our friends only."), (None, "x y"), ("none", None)], "license string, text string")
+    given = templates_of(table)
+    assert given == {"own": "This text may be used by our friends only."} and len(TEMPLATES) >= 25
+    got = scan(docs(spark, [(1, "a\nthis text may be used by our\nfriends only"), (2, TEMPLATES["MIT"])]), given).collect()
+    assert [(r.doc_id, r.license, r.line, r.last_line) for r in got] == [(1, "own", 2, 3)]
+
+
 # pages
 
 
