@@ -21,6 +21,7 @@ texts are scanned whole.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -65,7 +66,7 @@ TEMPLATES = {
 
 # Words too common to tell a text that may have a notice from others.
 COMMON = frozenset("a all and any are at be but by for from has have if in is it its may must no not of on or other see so that the this to under will with without you your".split())
-MOST_TEMPLATES = 1000  # they are part of the plan
+MOST_TEMPLATES = 10_000  # they are part of the plan
 
 
 def templates_of(table: DataFrame) -> dict[str, str]:
@@ -136,32 +137,41 @@ def bigrams_of(words: Column) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def literals(values: list[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+TEMPLATE = "array<struct<license: string, own: array<string>, length: int, need: int, low: double, high: double>>"
 
 
-PIECE = "array<struct<license: string, first: int, last: int, dice: double, bigrams: int, shared: int>>"
+def as_column(templates: dict[str, str], sets: dict[str, list[str]], threshold: float) -> Column:
+    """The templates as one constant, so that the plan does not grow with their number."""
+    rows = [
+        {
+            "license": name,
+            "own": own,
+            "length": len(template_words(templates[name])),
+            "need": least_shared(len(own), threshold),
+            "low": len(own) * threshold / (2 - threshold),
+            "high": len(own) * (2 - threshold) / threshold,
+        }
+        for name, own in sets.items()
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), TEMPLATE)
 
 
-def pieces(name: str, own: list[str], length: int, threshold: float) -> Column:
-    """The pieces of a text that reach the threshold for one template; first and last are their words."""
-    n, need = len(own), least_shared(len(own), threshold)
-    low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
+def pieces(t: Column, threshold: float) -> Column:
+    """The pieces of a text that reach the threshold for template t; first and last are their words."""
 
     def piece(grams: Column, first: Column, last: Column) -> Column:
-        distinct = F.size(F.array_distinct(grams))
-        shared = F.size(F.array_intersect(grams, literals(own)))
-        dice = 2.0 * shared / (distinct + n)
-        return F.struct(F.lit(name).alias("license"), first.cast("int").alias("first"), last.cast("int").alias("last"), dice.alias("dice"), distinct.alias("bigrams"), shared.alias("shared"))
+        distinct, shared = F.size(F.array_distinct(grams)), F.size(F.array_intersect(grams, t["own"]))
+        dice = 2.0 * shared / (distinct + F.size(t["own"]))
+        return F.struct(t["license"].alias("license"), first.cast("int").alias("first"), last.cast("int").alias("last"), dice.alias("dice"), distinct.alias("bigrams"), shared.alias("shared"))
 
     # nothing but columns and the lambda's own names inside a lambda: what it captures is made anew for each element
-    hits = F.filter("hits", lambda i: F.get("grams", i).isin(*own))
-    later = F.slice(hits, need, F.greatest(F.size(hits), F.lit(1)))
-    starts = F.filter(F.zip_with(hits, later, lambda at, enough: F.when(enough <= at + (length - 2), at)), lambda at: at.isNotNull())
-    windows = F.transform(starts, lambda at: piece(F.slice("grams", at + 1, F.lit(length - 1)), at, F.least(at + (length - 1), F.size("words") - 1)))
-    fitting = F.filter("units", lambda u: u["size"].between(low, high) & (u["hits"] >= need))
+    hits = F.filter("hits", lambda i: F.array_contains(t["own"], F.get("grams", i)))
+    later = F.slice(hits, t["need"], F.greatest(F.size(hits), F.lit(1)))
+    starts = F.filter(F.zip_with(hits, later, lambda at, enough: F.when(enough <= at + t["length"] - 2, at)), lambda at: at.isNotNull())
+    windows = F.transform(starts, lambda at: piece(F.slice("grams", at + 1, t["length"] - 1), at, F.least(at + t["length"] - 1, F.size("words") - 1)))
+    fitting = F.filter("units", lambda u: u["size"].between(t["low"], t["high"]) & (u["hits"] >= t["need"]))
     units = F.transform(fitting, lambda u: piece(F.slice("grams", u["first"] + 1, u["last"] - u["first"]), u["first"], u["last"]))
-    return F.when(F.size("hits") >= need, F.filter(F.concat(windows, units), lambda p: p["dice"] >= threshold))
+    return F.filter(F.array_distinct(F.concat(windows, units)), lambda p: p["dice"] >= threshold)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -177,16 +187,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     rows = rows.withColumn("words", F.flatten("lines"))
     rows = rows.withColumn("line_of", F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x)))))
     rows = rows.withColumn("grams", bigrams_of(F.col("words"))).drop("lines")
-    every = sorted({b for s in sets.values() for b in s})
-    rows = rows.withColumn("hits", F.filter(F.transform("grams", lambda b, i: F.when(b.isin(*every), i)), lambda i: i.isNotNull()))
+    # as literals for the parser, which plans them faster than one column each; words are letters and digits
+    every = ", ".join(f"'{b}'" for b in sorted({b for s in sets.values() for b in s}))
+    rows = rows.withColumn("hits", F.expr(f"filter(transform(grams, (b, i) -> CASE WHEN b IN ({every}) THEN i END), i -> i IS NOT NULL)"))
     rows = rows.where(F.size("hits") >= min(least_shared(len(s), threshold) for s in sets.values()))
     rows = rows.withColumn("units", units_of(every))
-    found = rows.select("doc_id", "row", "line_of", F.explode(F.flatten(F.array(*(F.coalesce(pieces(name, own, len(template_words(templates[name])), threshold), F.array().cast(PIECE)) for name, own in sets.items())))).alias("p"))
+    met = F.flatten(F.transform(as_column(templates, sets, threshold), lambda t: pieces(t, threshold)))
+    found = rows.select("doc_id", "row", "line_of", F.explode(met).alias("p"))
     found = found.select("doc_id", "row", "p.*", F.get("line_of", F.col("p.first")).alias("line"), F.get("line_of", F.col("p.last")).alias("last_line"))
     return best_findings(found).select("doc_id", "line", "last_line", "license", "dice", "bigrams")
 
 
-def units_of(every: list[str]) -> Column:
+def units_of(every: str) -> Column:
     """(first, last, size, hits) of lines with two or more words, and of a whole text of several lines."""
     n = F.size("words")
     ends = F.filter(F.transform("line_of", lambda x, i: F.when((i == n - 1) | (F.get("line_of", i + 1) != x), i)), lambda i: i.isNotNull())
@@ -195,8 +207,8 @@ def units_of(every: list[str]) -> Column:
     whole = F.when(F.get("line_of", F.lit(0)) != F.get("line_of", n - 1), F.array(F.struct(F.lit(0).alias("first"), (n - 1).alias("last")))).otherwise(F.array().cast("array<struct<first: int, last: int>>"))
     own = F.filter(F.concat(whole, spans), lambda u: u["last"] > u["first"])
     cut = F.transform(own, lambda u: F.struct(u["first"].alias("first"), u["last"].alias("last"), F.slice("grams", u["first"] + 1, u["last"] - u["first"]).alias("own")))
-    counted = F.transform(cut, lambda u: F.struct(u["first"].alias("first"), u["last"].alias("last"), F.size(F.array_distinct(u["own"])).alias("size"), F.size(F.filter(u["own"], lambda b: b.isin(*every))).alias("hits")))
-    return F.filter(counted, lambda u: u["hits"] > 0)
+    met = F.transform(cut, lambda u: F.struct(u["first"].alias("first"), u["last"].alias("last"), F.size(F.array_distinct(u["own"])).alias("size"), F.size(F.array_intersect(u["own"], F.expr(f"array({every})"))).alias("hits")))
+    return F.filter(met, lambda u: u["hits"] > 0)
 
 
 def best_findings(found: DataFrame) -> DataFrame:

@@ -108,14 +108,14 @@ def license_sql(threshold: float = 0.8) -> str:
         units AS (
             SELECT row, min(i) AS first, max(i) AS last FROM placed GROUP BY row, line HAVING count(*) > 1
             UNION SELECT row, 1, max(i) FROM placed GROUP BY row HAVING count(DISTINCT line) > 1),
-        unit_pieces AS (SELECT row, license, first, last, own FROM units JOIN texts USING (row), templates
+        unit_pieces AS (SELECT row, license, first, last FROM units JOIN texts USING (row), templates
             WHERE len(list_distinct(grams[first : last - 1])) BETWEEN len(own) * {threshold} / (2 - {threshold}) AND len(own) * (2 - {threshold}) / {threshold}),
         hits AS (SELECT row, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i, len(words) AS n FROM texts),
-        starts AS (SELECT license, length, own, unnest(own) AS gram FROM templates),
+        starts AS (SELECT license, length, unnest(own) AS gram FROM templates),
         pieces AS (
-            SELECT row, license, first, last, own FROM unit_pieces
-            UNION ALL SELECT row, license, i, least(i + length - 1, n), own FROM hits JOIN starts USING (gram)),
-        sized AS (SELECT p.*, doc_id, line_of, list_distinct(grams[first : last - 1]) AS here FROM pieces p JOIN texts USING (row)),
+            SELECT row, license, first, last FROM unit_pieces
+            UNION SELECT row, license, i, least(i + length - 1, n) FROM hits JOIN starts USING (gram)),
+        sized AS (SELECT p.*, doc_id, line_of, own, list_distinct(grams[first : last - 1]) AS here FROM pieces p JOIN texts USING (row) JOIN templates USING (license)),
         met AS (SELECT *, 2.0::DOUBLE * len(list_intersect(here, own)) / (len(here) + len(own)) AS dice FROM sized),
         found AS (SELECT *, max(last) OVER (PARTITION BY row, license ORDER BY first, last, dice DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM met WHERE dice >= {threshold}),
         islands AS (SELECT *, sum(CASE WHEN before IS NULL OR first > before THEN 1 ELSE 0 END) OVER (PARTITION BY row, license ORDER BY first, last, dice DESC ROWS UNBOUNDED PRECEDING) AS island FROM found),
