@@ -28,6 +28,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.scratch import Scratch
+
 # Wordings of licence notices, as their licences give them or as they are commonly put.
 TEMPLATES = {
     "0BSD text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
@@ -195,6 +197,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     met = F.flatten(F.transform(as_column(templates, sets, threshold), lambda t: pieces(t, threshold)))
     found = rows.select("doc_id", "row", "line_of", F.explode(met).alias("p"))
     found = found.select("doc_id", "row", "p.*", F.get("line_of", F.col("p.first")).alias("line"), F.get("line_of", F.col("p.last")).alias("last_line"))
+    found = Scratch(docs.sparkSession, "licenses").keep(found)  # few; else the texts would be cut apart for each side of a join
     return best_findings(found).select("doc_id", "line", "last_line", "license", "dice", "bigrams")
 
 
