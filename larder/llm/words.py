@@ -76,3 +76,27 @@ class RollingHash:
         """The hash of every n consecutive words."""
         with np.errstate(over="ignore"):
             return mix((self.prefix[n:] - self.prefix[:-n]) * self.down[: len(self.prefix) - n])
+
+
+def grouped(batches, keys: int):
+    """Consecutive rows with equal first `keys` columns, as lists of column lists, across batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) if i < keys else c for i, c in enumerate(batch.columns)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns[:keys]:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns[:keys])
+            part = batch.slice(a, b - a)
+            if held is not None and held[0] == key:
+                held[1].append(part)
+            else:
+                if held is not None:
+                    yield held
+                held = (key, [part])
+    if held is not None:
+        yield held

@@ -462,7 +462,7 @@ def test_nearest_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(700, None), (720, [0.0] * 8), (740, [float("nan")] * 8), (760, [None] * 8), (780, [1.0] * 3), (None, [1.0] * 8), (800, [float("inf")] * 8), (7, rows[7][1])]
     df = spark.createDataFrame([(*v, 1) for v in rows + odd], "vec_id long, embedding array<float>, cell int")
-    index = multi_index.MultiIndex(centroids=4, chunk=100, block=16)
+    index = multi_index.MultiIndex(centroids=4, chunk_bytes=6400, block=8, group=2)
     got = defaultdict(list)
     for row in multi_index.search(df, F.col("vec_id") % 20 == 0, 5, index).orderBy("query_id", "rank").collect():
         got[row.query_id].append((row.rank, row.vec_id, row.score))
@@ -475,16 +475,39 @@ def test_nearest_neighbours(spark):
         hit += len({i for _, i in best} & {f[1] for f in found})
     assert hit >= 0.9 * 5 * len(got)
     assert [f[1] for f in got[40]] == [41, 42, 43, 44, 45]
+    exact = multi_index.search(df, F.col("vec_id") % 20 == 0, 5, multi_index.MultiIndex(centroids=4, recall=1.0)).collect()
+    for q in got:
+        score = wide @ wide[q]
+        assert [r.vec_id for r in sorted((r for r in exact if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in sorted((-s, i) for i, s in enumerate(score) if i != q)[:5]]
     few = multi_index.search(df.where("vec_id < 3"), F.col("vec_id") == 0, 5).collect()
     assert len(few) == 2 and multi_index.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_clustered_vectors_are_found_in_few_cells(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(40, 16))
+    x = np.repeat(centres, 50, axis=0) + r.normal(size=(2000, 16)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    walked = []
+    whole = multi_index.share_walked
+    multi_index.share_walked = lambda *a: walked.append(whole(*a)) or walked[-1]
+    try:
+        got = defaultdict(set)
+        for row in multi_index.search(df, F.col("vec_id") % 20 == 0, 10).collect():
+            got[row.query_id].add(row.vec_id)
+    finally:
+        multi_index.share_walked = whole
+    hit = sum(len(set(np.argsort(-(x @ x[q]), kind="stable")[:11].tolist()) - {q} & got[q]) for q in got)
+    assert walked[0] < 0.2 and hit >= 0.9 * 10 * len(got) and len(got) == 100
+
+
 def test_repeated_rows_take_no_neighbours_place(spark):
     x = np.random.default_rng(3).normal(size=(60, 8))
     x[:12] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows + [rows[0]] * 15 + [rows[1]] * 4, "vec_id long, embedding array<double>")
-    found = multi_index.search(df, F.col("vec_id") == 0, 5, multi_index.MultiIndex(centroids=2, chunk=100, block=16))
+    found = multi_index.search(df, F.col("vec_id") == 0, 5, multi_index.MultiIndex(centroids=2, chunk_bytes=6400, block=16))
     assert [r.vec_id for r in found.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
