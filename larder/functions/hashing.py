@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+# Fixed values of the two hashes.
 FNV_OFFSET = 14695981039346656037
 FNV_PRIME_LOW = 0x1B3  # the prime is 2^40 + 0x1B3
 CRC32C_POLYNOMIAL = 0x82F63B78  # Castagnoli, reversed
@@ -36,6 +35,12 @@ def fnv1a64(data: Column) -> Column:
     return F.aggregate(places, start, step)
 
 
+def little_endian(i: Column, size: int) -> Column:
+    """The lowest `size` bytes of a long, lowest first."""
+    digits = F.lpad(F.hex(i.cast("long")), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(8 - size, 8)))))
+
+
 def as_decimal(halves: Column) -> Column:
     """The unsigned value of a hash in halves, as decimal(20,0)."""
     return (halves["hi"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + halves["lo"]).cast("decimal(20,0)")
@@ -67,10 +72,15 @@ def crc32c_of(data: bytes, crc: int = 0) -> int:
 
 
 def crc32c(data: Column | str) -> Column:
-    """CRC-32C of a binary column. Spark's own crc32 has another polynomial."""
+    """CRC-32C of a binary column, a byte at a time through the table. Spark's own crc32 has another
+    polynomial."""
+    data = F.col(data) if isinstance(data, str) else data
+    digits, n = F.hex(data), F.octet_length(data)
+    table = F.expr(f"array({', '.join(f'{v}L' for v in crc32c_table())})")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    @F.pandas_udf(T.LongType())
-    def of(values: pd.Series) -> pd.Series:
-        return values.map(lambda d: None if d is None else crc32c_of(d)).astype("Int64")
+    def step(crc: Column, i: Column) -> Column:
+        byte = F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+        return F.get(table, crc.bitwiseXOR(byte).bitwiseAND(F.lit(255)).cast("int")).bitwiseXOR(F.shiftright(crc, 8))
 
-    return of(data)
+    return F.aggregate(places, F.lit(WORD).cast("long"), step, lambda crc: crc.bitwiseXOR(F.lit(WORD).cast("long")))

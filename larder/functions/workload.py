@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.hashing import as_decimal, fnv1a64
+from larder.functions.hashing import as_decimal, fnv1a64, little_endian
 
 THETA = 0.99
 SEGMENT_BYTES = 1 << 20
@@ -57,20 +57,19 @@ def zipf_rank(u: Column, n: int, theta: float = THETA, zeta_n: float | None = No
     return F.when(uz < 1, F.lit(0).cast("long")).when(uz < 1 + 0.5**theta, F.lit(1).cast("long")).otherwise(F.least(rest, F.lit(n - 1).cast("long")))
 
 
-def little_endian(i: Column) -> Column:
-    digits = F.lpad(F.hex(i.cast("long")), 16, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(8)))))
-
-
 def scramble(rank: Column, n: int) -> Column:
     """A rank spread over 0 .. n-1 by the hash of its 8 little-endian bytes."""
-    return (as_decimal(fnv1a64(little_endian(rank))) % F.lit(n)).cast("long")
+    return (as_decimal(fnv1a64(little_endian(rank, 8))) % F.lit(n)).cast("long")
 
 
 def choose(u: Column, n: int, distribution: str = "zipfian") -> Column:
     return F.floor(u * n).cast("long") if distribution == "uniform" or n < 2 else scramble(zipf_rank(u, n), n)
 
 
+# The least and the most of each setting of a workload.
+LIMITS = {"records": (2, 2_000_000), "threads": (1, 64), "seconds": (1, 300), "target_ops": (0, None), "most_write_mb": (1, 2048), "value_size": (1, 1 << 20), "operations": (0, None)}
+
+
 @dataclass(frozen=True)
 class Workload:
     mix: str = "A"
@@ -78,20 +77,46 @@ class Workload:
     operations: int = 10_000
     distribution: str = "zipfian"
     seed: int = 0
+    threads: int = 4
+    seconds: int = 10
+    target_ops: int = 0  # a second; 0: as fast as it goes
+    most_write_mb: int = 512
+    value_size: int = 0  # 0: that of the mix
 
     def __post_init__(self) -> None:
         if self.mix not in MIXES:
             raise ValueError(f"mix is one of {', '.join(MIXES)}, not {self.mix!r}")
-        if self.records < 1 or self.operations < 0:
-            raise ValueError("records must be positive and operations not negative")
         if self.distribution not in ("zipfian", "uniform"):
             raise ValueError(f"distribution is zipfian or uniform, not {self.distribution!r}")
+        if not self.value_size:
+            object.__setattr__(self, "value_size", MIXES[self.mix][2])
+        for name, (least, most) in LIMITS.items():
+            value = getattr(self, name)
+            if value < least or most is not None and value > most:
+                raise ValueError(f"{name} must be {f'at least {least}' if most is None else f'in [{least}, {most}]'}, not {value}")
+
+
+def hit_keys(spark: SparkSession, n: int = 4096) -> DataFrame:
+    """(key, expect_found): keys of loaded ids."""
+    return spark.range(n).select(sha_key(F.col("id")).alias("key"), F.lit(True).alias("expect_found"))
+
+
+def miss_keys(spark: SparkSession, n: int = 4096) -> DataFrame:
+    """(key, expect_found): keys that no id has."""
+    return spark.range(n).select(miss_key(F.col("id")).alias("key"), F.lit(False).alias("expect_found"))
+
+
+def full_segments(spark: SparkSession, segments: int, value_size: int) -> DataFrame:
+    """(gen, pos, key, deleted, value): exactly so many full segments, from 1, of keys in order."""
+    each = math.ceil(SEGMENT_BYTES / (64 + value_size + 13))
+    i = F.col("id")
+    return spark.range(segments * each).select((F.floor(i / each) + 1).cast("long").alias("gen"), i.alias("pos"), sha_key(i).cast("binary").alias("key"), F.lit(False).alias("deleted"), value_bytes(value_size).alias("value"))
 
 
 def load_phase(spark: SparkSession, w: Workload, batch: int = 500) -> DataFrame:
     """(pos, batch_id, key, value): the records a workload starts from."""
     i = F.col("id")
-    return spark.range(w.records).select(i.alias("pos"), F.floor(i / batch).cast("long").alias("batch_id"), sha_key(i).cast("binary").alias("key"), value_bytes(MIXES[w.mix][2]).alias("value"))
+    return spark.range(w.records).select(i.alias("pos"), F.floor(i / batch).cast("long").alias("batch_id"), sha_key(i).cast("binary").alias("key"), value_bytes(w.value_size).alias("value"))
 
 
 def operations(spark: SparkSession, w: Workload) -> DataFrame:

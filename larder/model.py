@@ -61,7 +61,7 @@ class ClosedError(StoreError):
 
 
 class SyncMode(Enum):
-    """When a commit counts as durable. Parquet commits are durable once published either way."""
+    """Whether a commit waits until its manifest is on stable storage, where the file system can tell."""
 
     ALWAYS = "always"
     NEVER = "never"
@@ -75,11 +75,14 @@ class Options:
     memtable_size: int = 1 << 20
     sync: SyncMode = SyncMode.ALWAYS
     false_positive_rate: float = 0.01
+    retain: int = 16  # versions whose files stay readable
 
     def __post_init__(self) -> None:
         if self.memtable_size <= 0:
             raise ValueError(f"memtable_size must be positive, not {self.memtable_size}")
         if not 0 < self.false_positive_rate < 1:
             raise ValueError(f"false_positive_rate must lie between 0 and 1, not {self.false_positive_rate}")
+        if self.retain < 0:
+            raise ValueError(f"retain must not be negative, not {self.retain}")
         if not isinstance(self.sync, SyncMode):
             raise ValueError(f"unknown sync mode {self.sync!r}")

@@ -10,9 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.hashing import crc32c, little_endian
 from larder.model import MAX_RECORD, RECORD_OVERHEAD
 
 VERSION = ("gen", "pos")
+EMPTY_KEY, TOO_LARGE = "empty key", f"record exceeds {MAX_RECORD} bytes"
 
 
 def newest(log: DataFrame, by: tuple[str, ...] = ("key",), version: tuple[str, ...] = VERSION) -> DataFrame:
@@ -44,8 +46,8 @@ def record_bytes(key: Column, value: Column) -> Column:
 def checked(log: DataFrame) -> DataFrame:
     """The log, failing on the first empty key or oversized record when it is read."""
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    bad = F.when(F.col("key").isNull() | (F.octet_length("key") == 0), F.raise_error(F.lit("empty key")).cast("binary"))
-    bad = bad.when(size > MAX_RECORD, F.raise_error(F.lit(f"record exceeds {MAX_RECORD} bytes")).cast("binary"))
+    bad = F.when(F.col("key").isNull() | (F.octet_length("key") == 0), F.raise_error(F.lit(EMPTY_KEY)).cast("binary"))
+    bad = bad.when(size > MAX_RECORD, F.raise_error(F.lit(TOO_LARGE)).cast("binary"))
     return log.withColumn("key", bad.otherwise(F.col("key")))
 
 
@@ -131,3 +133,11 @@ def as_of(log: DataFrame, gen: int) -> DataFrame:
 def key_range(log: DataFrame, low: Column, high: Column) -> DataFrame:
     """Extension: current rows with low <= key < high; the predicate reaches the scan."""
     return visible(log.where((F.col("key") >= low) & (F.col("key") < high)))
+
+
+def encode_record(key: Column, value: Column, deleted: Column, pending: Column) -> Column:
+    """A record of the binary formats (see sources/records.py) as a binary column."""
+    flags = F.when(deleted, 1).otherwise(0) + F.when(pending, 2).otherwise(0)
+    value = F.when(deleted | value.isNull(), F.lit(b"")).otherwise(value)
+    body = F.concat(little_endian(flags, 1), little_endian(F.octet_length(key), 4), little_endian(F.octet_length(value), 4), key, value)
+    return F.concat(little_endian(crc32c(body), 4), body)

@@ -14,14 +14,16 @@ def percentile(p: float, ns: str) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {ns})")
 
 
-def summary(samples: DataFrame, by: str = "kind", ns: str = "ns") -> DataFrame:
-    """Per kind: n, mean, p50, p95, p99, p999 and max in microseconds."""
-    return samples.groupBy(by).agg(
+def summary(samples: DataFrame, by: str = "kind", ns: str = "ns", seconds: float | None = None) -> DataFrame:
+    """Per kind: n, mean, p50, p95, p99, p999 and max in microseconds; and, if it is known how many seconds
+    were measured, ops_per_sec."""
+    out = samples.groupBy(by).agg(
         F.count("*").alias("n"),
         F.round(F.avg(ns) / 1e3, 3).alias("mean_us"),
         *((percentile(p, ns) / 1e3).alias(f"{name}_us") for name, p in PERCENTILES.items()),
         (F.max(ns) / 1e3).alias("max_us"),
     )
+    return out if seconds is None else out.withColumn("ops_per_sec", F.col("n") / F.lit(float(seconds)))
 
 
 def throughput(samples: DataFrame, seconds: int, capped: bool = False) -> DataFrame:
@@ -30,23 +32,40 @@ def throughput(samples: DataFrame, seconds: int, capped: bool = False) -> DataFr
     return samples.agg((F.count("*") / ran).alias("ops_per_sec"))
 
 
-def series(samples: DataFrame, gauges: DataFrame, seconds: int) -> DataFrame:
-    """One row per second from 0, empty ones included: reads, writes, read percentiles, the write p99 and
-    the segment count (gauges: sec, segments), carried forward over seconds without one."""
+def series(samples: DataFrame, gauges: DataFrame, seconds: int, compactions: DataFrame | None = None) -> DataFrame:
+    """One row per second from 0, empty ones included: reads, writes, percentiles and maxima of either, the
+    segment count (gauges: sec, segments), carried forward over seconds without one, and the milliseconds
+    of the compactions (sec, ms) that began in it."""
     of = {k: F.col("kind") == k for k in ("read", "write")}
 
     def when(kind: str, p: float) -> Column:
         return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ns) FILTER (WHERE kind = '{kind}')")
 
-    per = samples.groupBy("sec").agg(F.count_if(of["read"]).alias("reads"), F.count_if(of["write"]).alias("writes"), when("read", 0.5).alias("rp50"), when("read", 0.99).alias("rp99"), F.max(F.when(of["read"], F.col("ns"))).alias("rmax"), when("write", 0.99).alias("wp99"))
+    per = samples.groupBy("sec").agg(
+        *(F.count_if(of[k]).alias(f"{k}s") for k in of),
+        when("read", 0.5).alias("read_p50"),
+        *(when(k, 0.99).alias(f"{k}_p99") for k in of),
+        *(F.max(F.when(of[k], F.col("ns"))).alias(f"{k}_max") for k in of),
+    )
     spine = samples.sparkSession.range(seconds).select(F.col("id").cast("int").alias("second"))
     known = gauges.groupBy("sec").agg(F.max("segments").alias("segments"))
     filled = spine.join(known, F.col("second") == known.sec, "left").drop("sec")
     carried = F.last(F.nullif(F.col("segments"), F.lit(0)), ignorenulls=True).over(Window.orderBy("second").rowsBetween(Window.unboundedPreceding, 0))
     filled = filled.withColumn("segments", F.coalesce(carried, F.lit(0)).cast("int"))  # one row per second of a run
-    out = filled.join(per, F.col("second") == per.sec, "left")
-    micro = {c: F.coalesce(F.col(s) / 1e3, F.lit(0.0)).alias(c) for c, s in (("read_p50_us", "rp50"), ("read_p99_us", "rp99"), ("read_max_us", "rmax"), ("write_p99_us", "wp99"))}
-    return out.select("second", F.coalesce("reads", F.lit(0)).alias("reads"), F.coalesce("writes", F.lit(0)).alias("writes"), *micro.values(), "segments")
+    out = filled.join(per, F.col("second") == per.sec, "left").drop("sec")
+    if compactions is None:
+        out = out.withColumn("ms", F.lit(0).cast("long"))
+    else:
+        spent = compactions.groupBy("sec").agg(F.sum("ms").cast("long").alias("ms"))
+        out = out.join(spent, F.col("second") == spent.sec, "left")
+    micro = [F.coalesce(F.col(c) / 1e3, F.lit(0.0)).alias(f"{c}_us") for c in ("read_p50", "read_p99", "read_max", "write_p99", "write_max")]
+    return out.select("second", *(F.coalesce(f"{k}s", F.lit(0)).alias(f"{k}s") for k in of), *micro, "segments", F.coalesce("ms", F.lit(0)).cast("long").alias("compaction_ms"))
+
+
+def compaction_times(compactions: DataFrame) -> DataFrame:
+    """One row over compactions (ms): how many, their sum and the longest."""
+    total, longest = (F.coalesce(f("ms"), F.lit(0)).cast("long") for f in (F.sum, F.max))
+    return compactions.agg(F.count("*").alias("compactions"), total.alias("total_ms"), longest.alias("longest_ms"))
 
 
 def reclaimed(before: Column, after: Column) -> Column:
@@ -94,6 +113,15 @@ def write_series(table: DataFrame, path: str) -> None:
     table.coalesce(1).sortWithinPartitions("second").write.option("header", True).csv(path)
 
 
-def describe(table: DataFrame) -> list[str]:
-    """The lines of a summary for people."""
-    return [f"{r['kind']}: n {r['n']}, mean {r['mean_us']:.1f} us, " + ", ".join(f"{p} {r[f'{p}_us']:.1f}" for p in (*PERCENTILES, "max")) for r in table.orderBy("kind").collect()]  # one row per kind
+def describe(table: DataFrame, kinds: tuple[str, ...] = ()) -> list[str]:
+    """The lines of a summary for people; a kind that is asked for and has no operations says so."""
+    rows = {r["kind"]: r.asDict() for r in table.collect()}  # one row per kind
+    out = []
+    for kind in sorted({*rows, *kinds}):
+        if kind not in rows:
+            out.append(f"{kind}: no operations")
+            continue
+        r = rows[kind]
+        rate = f"ops/s {r['ops_per_sec']:.0f}, " if "ops_per_sec" in r else ""
+        out.append(f"{kind}: n {r['n']}, {rate}mean {r['mean_us']:.1f} us, " + ", ".join(f"{p} {r[f'{p}_us']:.1f}" for p in (*PERCENTILES, "max")))
+    return out

@@ -279,10 +279,10 @@ SAMPLES = """samples AS (
 
 @query(
     f"""WITH {SAMPLES} SELECT kind, count(*) AS n, round(avg(ns) / 1e3, 3) AS mean_us, quantile_disc(ns, 0.5) / 1e3 AS p50_us, quantile_disc(ns, 0.95) / 1e3 AS p95_us,
-    quantile_disc(ns, 0.99) / 1e3 AS p99_us, quantile_disc(ns, 0.999) / 1e3 AS p999_us, max(ns) / 1e3 AS max_us FROM samples GROUP BY kind"""
+    quantile_disc(ns, 0.99) / 1e3 AS p99_us, quantile_disc(ns, 0.999) / 1e3 AS p999_us, max(ns) / 1e3 AS max_us, count(*) / 240.0::DOUBLE AS ops_per_sec FROM samples GROUP BY kind"""
 )
 def latency_summary(spark, sf_dir):
-    return metrics.summary(samples(spark, sf_dir))
+    return metrics.summary(samples(spark, sf_dir), seconds=240)
 
 
 BUCKETS = 240
@@ -304,14 +304,25 @@ BUCKETED = f"{SAMPLES}, bucketed AS (SELECT CAST((us - low) * {BUCKETS} // (high
     filled AS (SELECT second, CAST(coalesce(last_value(nullif(segments, 0) IGNORE NULLS) OVER (ORDER BY second ROWS UNBOUNDED PRECEDING), 0) AS INTEGER) AS segments FROM spine LEFT JOIN gauges ON sec = second),
     per AS (SELECT sec, count(*) FILTER (WHERE kind = 'read') AS reads, count(*) FILTER (WHERE kind = 'write') AS writes,
             quantile_disc(ns, 0.5) FILTER (WHERE kind = 'read') AS rp50, quantile_disc(ns, 0.99) FILTER (WHERE kind = 'read') AS rp99, max(ns) FILTER (WHERE kind = 'read') AS rmax,
-            quantile_disc(ns, 0.99) FILTER (WHERE kind = 'write') AS wp99 FROM bucketed GROUP BY sec)
+            quantile_disc(ns, 0.99) FILTER (WHERE kind = 'write') AS wp99, max(ns) FILTER (WHERE kind = 'write') AS wmax FROM bucketed GROUP BY sec),
+    spent AS (SELECT sec, CAST(sum(ns % 97) AS BIGINT) AS ms FROM bucketed WHERE sec % 11 = 5 GROUP BY sec)
     SELECT second, coalesce(reads, 0) AS reads, coalesce(writes, 0) AS writes, coalesce(rp50 / 1e3, 0.0::DOUBLE) AS read_p50_us, coalesce(rp99 / 1e3, 0.0::DOUBLE) AS read_p99_us,
-           coalesce(rmax / 1e3, 0.0::DOUBLE) AS read_max_us, coalesce(wp99 / 1e3, 0.0::DOUBLE) AS write_p99_us, segments FROM filled LEFT JOIN per ON sec = second"""
+           coalesce(rmax / 1e3, 0.0::DOUBLE) AS read_max_us, coalesce(wp99 / 1e3, 0.0::DOUBLE) AS write_p99_us, coalesce(wmax / 1e3, 0.0::DOUBLE) AS write_max_us,
+           segments, coalesce(ms, 0) AS compaction_ms FROM filled LEFT JOIN per ON per.sec = second LEFT JOIN spent ON spent.sec = second"""
 )
 def per_second_series(spark, sf_dir):
     s = bucketed(spark, sf_dir)
     gauges = s.where("sec % 7 = 3").groupBy("sec").agg(F.max(F.col("ns") % 5).cast("int").alias("segments"))
-    return metrics.series(s, gauges, BUCKETS)
+    return metrics.series(s, gauges, BUCKETS, compactions(s))
+
+
+def compactions(s):
+    return s.where("sec % 11 = 5").select("sec", (F.col("ns") % 97).alias("ms"))
+
+
+@query(f"WITH {BUCKETED}, spent AS (SELECT ns % 97 AS ms FROM bucketed WHERE sec % 11 = 5) SELECT count(*) AS compactions, CAST(coalesce(sum(ms), 0) AS BIGINT) AS total_ms, CAST(coalesce(max(ms), 0) AS BIGINT) AS longest_ms FROM spent")
+def compaction_times(spark, sf_dir):
+    return metrics.compaction_times(compactions(bucketed(spark, sf_dir)))
 
 
 @query(f"WITH {BUCKETED} SELECT count(*) / (max(sec) + 1)::DOUBLE AS ops_per_sec FROM bucketed")
@@ -408,6 +419,144 @@ def table_round_trip(spark, sf_dir):
     return store.state().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+OPERATIONS = """operations AS (
+    SELECT event_id AS op_id, event_id * 1000003 AS start_ns, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS kind,
+           user_id % 7 <> 0 AS found, event_id % 997 = 5 AS failed, CAST(strlen(props) AS BIGINT) AS bytes FROM events)"""
+
+
+def operations(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    return e.select(i.alias("op_id"), (i * 1000003).alias("start_ns"), F.when(F.col("event_type") == "purchase", "write").otherwise("read").alias("kind"), (F.col("user_id") % 7 != 0).alias("found"), (i % 997 == 5).alias("failed"), F.octet_length("props").cast("long").alias("bytes"))
+
+
+@query(
+    f"""WITH {OPERATIONS} SELECT count(*) AS operations, count(*) FILTER (WHERE kind = 'read' AND NOT failed AND NOT found) AS misses,
+    count(*) FILTER (WHERE kind = 'read' AND failed) AS read_errors, CAST(coalesce(sum(bytes) FILTER (WHERE kind <> 'read' AND NOT failed), 0) AS BIGINT) AS bytes_written FROM operations"""
+)
+def operation_counters(spark, sf_dir):
+    return metrics.counters(operations(spark, sf_dir))
+
+
+@query(f"WITH {OPERATIONS} SELECT op_id, CAST((start_ns - 1000000000) // 1000000000 AS INTEGER) AS sec FROM operations WHERE start_ns >= 1000000000 AND start_ns < 7000000000")
+def measured_window(spark, sf_dir):
+    return metrics.measured(operations(spark, sf_dir), F.lit(1_000_000_000), F.lit(7_000_000_000)).select("op_id", "sec")
+
+
+@query(
+    f"""WITH {OPERATIONS}, summed AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT sum(bytes) FROM operations) AS whole FROM operations)
+    SELECT op_id FROM summed WHERE op_id < 900000 AND before < whole // 3"""
+)
+def stop_at_limit(spark, sf_dir):
+    """The operations up to the one that reaches a third of all bytes."""
+    ops_ = operations(spark, sf_dir)
+    third = ops_.agg(F.expr("sum(bytes) div 3")).first()[0]
+    return metrics.up_to(ops_, 900_000, third).select("op_id")
+
+
+@query(
+    """WITH ranks AS (SELECT c_custkey AS rank FROM customer), bytes AS (SELECT rank, list_transform(range(0, 8), lambda k: ((rank >> k::INT * 8) & 255)::HUGEINT) AS b FROM ranks),
+    hashed AS (SELECT rank, list_reduce(list_prepend(14695981039346656037::HUGEINT, b), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM bytes)
+    SELECT CAST(rank AS BIGINT) AS rank, CAST(h % 1000 AS BIGINT) AS item, CAST(floor(((rank % 1000 + 0.5::DOUBLE) / 1000) * 250) AS BIGINT) AS uniform FROM hashed"""
+)
+def scrambled_choice(spark, sf_dir):
+    rank = F.col("c_custkey").cast("long")
+    u = (rank % 1000 + 0.5) / 1000
+    return table(spark, sf_dir, "customer").select(rank.alias("rank"), workload.scramble(rank, 1000).alias("item"), workload.choose(u, 250, "uniform").alias("uniform"))
+
+
+@query(
+    """WITH ids AS (SELECT i AS pos, unhex(lpad(to_hex(i), 16, '0')) AS b FROM range(5000) AS t(i))
+    SELECT CAST(pos AS BIGINT) AS pos, CAST(pos // 500 AS BIGINT) AS batch_id, sha256(b) AS key, 256 AS value_bytes,
+           sha256(unhex(array_to_string(list_transform(range(0, 256), lambda i: lpad(to_hex((31 * i + 7) % 256), 2, '0')), ''))) AS value_sha FROM ids"""
+)
+def loaded_records(spark, sf_dir):
+    rows = workload.load_phase(spark, workload.Workload(mix="cache-fill", records=5000))
+    return rows.select("pos", "batch_id", F.col("key").cast("string").alias("key"), F.octet_length("value").alias("value_bytes"), F.sha2("value", 256).alias("value_sha"))
+
+
+@query("SELECT CAST(i // 953 + 1 AS BIGINT) AS gen, count(*) AS entries, CAST(min(i) AS BIGINT) AS low, CAST(max(i) AS BIGINT) AS high FROM range(25 * 953) AS t(i) GROUP BY 1")
+def full_segments(spark, sf_dir):
+    return workload.full_segments(spark, 25, 1024).groupBy("gen").agg(F.count("*").alias("entries"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+
+
+@query(
+    """SELECT sha256(unhex(lpad(to_hex(i), 16, '0'))) AS key, true AS expect_found FROM range(4096) AS t(i)
+    UNION ALL SELECT sha256('miss'::BLOB || unhex(lpad(to_hex(i), 16, '0'))), false FROM range(4096) AS t(i)"""
+)
+def lookup_key_sets(spark, sf_dir):
+    return workload.hit_keys(spark).unionAll(workload.miss_keys(spark))
+
+
+@query("SELECT CAST(4 * i AS BIGINT) AS keys, CAST(i * 4 AS BIGINT) AS live_and_gone, CAST(17 * i AS BIGINT) AS writes FROM range(1, 6) AS t(i)")
+def churn_accounts(spark, sf_dir):
+    """Whatever the draws of a churn: every key is live or gone, and four writes and a quarter come per key."""
+    out = None
+    for i in range(1, 6):
+        log = workload.churn(spark, 4 * i).select("key", F.floor(F.col("pos") / 5).alias("gen"), "pos", "deleted")
+        one = ops.newest(log).agg(F.count("*").alias("live_and_gone")).crossJoin(log.agg(F.count("*").alias("writes"))).select(F.lit(4 * i).cast("long").alias("keys"), "live_and_gone", "writes")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(hex) // 2), lambda i: ('0x' || substr(hex, 2 * i::INT + 1, 2))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 2197175160) ELSE x >> 1 END))"""
+LITTLE = "lpad(to_hex({0} & 255), 2, '0') || lpad(to_hex({0} >> 8 & 255), 2, '0') || lpad(to_hex({0} >> 16 & 255), 2, '0') || lpad(to_hex({0} >> 24 & 255), 2, '0')"
+
+
+@query(f"WITH names AS (SELECT DISTINCT p_name AS name, hex(encode(p_name)) AS hex FROM part UNION SELECT '', '') SELECT name, xor({CRC}, 4294967295) AS crc FROM names")
+def crc32c_names(spark, sf_dir):
+    from larder.functions.hashing import crc32c
+
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().unionAll(spark.createDataFrame([("",)], "name string"))
+    return names.select("name", crc32c(F.col("name").cast("binary")).alias("crc"))
+
+
+@query(
+    f"""WITH {LOG}, last AS (SELECT * FROM log WHERE gen = (SELECT max(gen) FROM log)), shaped AS (
+        SELECT pos, lpad(to_hex(deleted::INT + 2 * pending::INT), 2, '0') || {LITTLE.format("strlen(key)")} || {LITTLE.format("coalesce(strlen(value), 0)")} || hex(encode(key)) || hex(encode(coalesce(value, ''))) AS hex FROM last),
+    crcs AS (SELECT pos, hex, xor({CRC}, 4294967295) AS crc FROM shaped)
+    SELECT pos, upper({LITTLE.format("crc")} || hex) AS record FROM crcs"""
+)
+def encoded_records(spark, sf_dir):
+    """The newest generation's mutations as records of the binary log."""
+    log = mutation_log(spark, sf_dir)
+    last = log.join(F.broadcast(log.agg(F.max("gen").alias("last"))), F.col("gen") == F.col("last"))
+    record = ops.encode_record(F.col("key").cast("binary"), F.col("value").cast("binary"), F.col("deleted"), F.col("pending"))
+    return last.select("pos", F.hex(record).alias("record"))
+
+
+@query(
+    """WITH kept AS (SELECT n_name AS key, 'nation ' || n_nationkey AS value FROM nation WHERE n_regionkey NOT IN (1, 3))
+    SELECT key, value, (SELECT count(*) + count(*) FILTER (WHERE n_regionkey IN (1, 3)) FROM nation) AS applied, 'torn' AS cause
+    FROM kept UNION ALL SELECT r_name, 'old segment', (SELECT count(*) + count(*) FILTER (WHERE n_regionkey IN (1, 3)) FROM nation), 'torn' FROM region WHERE r_regionkey <> 4"""
+)
+def imported_files(spark, sf_dir):
+    """A binary log with a torn batch at its end and a segment of the old kind, taken over by a table."""
+    return import_of(spark, sf_dir)
+
+
+def import_of(spark, sf_dir):
+    from larder.plans.table import KVTable
+    from larder.sources import records
+    from larder.sources.scratch import folder, write_file
+
+    nations = [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]  # 25 rows
+    regions = [tuple(r) for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()]  # 5 rows
+    put = [records.encode_record(name.encode(), f"nation {k}".encode()) for k, name, r in nations if r != 2]
+    gone = [records.encode_record(name.encode(), None, deleted=True) for k, name, r in nations if r in (1, 3)]
+    early = [records.encode_record(name.encode(), f"nation {k}".encode()) for k, name, r in nations if r == 2]
+    torn = [records.encode_record(name.encode(), b"never", pending=i + 1 < len(nations)) for i, (k, name, r) in enumerate(nations)]
+    root = folder(spark, "imported")
+    write_file(spark, f"{root}/log/wal", records.encode_log(early + put + gone + torn)[:-7])
+    old = b"".join(records.encode_old_record(name.encode(), b"old segment", deleted=k == 4) for k, name in regions)
+    write_file(spark, f"{root}/segments/12.seg", old)
+    store = KVTable.open(spark, f"{root}/table")
+    report = store.import_files(f"{root}/log", f"{root}/segments")
+    both = store.state().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return both.crossJoin(F.broadcast(report.select(F.col("records_applied").alias("applied"), "cause")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible_state(spark, sf_dir)
 

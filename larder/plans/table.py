@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.model import TAIL_GEN, ClosedError, EmptyKeyError, Options
+from larder.model import MAX_RECORD, TAIL_GEN, ClosedError, EmptyKeyError, Options, RecordTooLargeError, SyncMode
 from larder.operators import log as ops
-from larder.sources import segments
+from larder.operators import recovery
+from larder.sources import records, segments
 from larder.sources.manifest import Manifest, ManifestStore, Part, PublishConflict
 
-STATS = "segments int, segment_entries long, memtable_keys long, memtable_bytes long, legacy_segments int, version long"
+STATS = "segments int, segment_entries long, memtable_keys long, memtable_bytes long, legacy_segments int, version long, records_applied long, discarded_bytes long, cause string"
 COMPACTED = "segments_in int, records_in long, records_out long, tombstones_purged long, bytes_in long, bytes_out long"
 
 
@@ -32,6 +34,8 @@ class Batch:
     def _add(self, key: bytes, deleted: bool, value: bytes | None) -> Batch:
         if not key:
             raise EmptyKeyError("empty key")
+        if len(key) + len(value or b"") > MAX_RECORD:
+            raise RecordTooLargeError(f"record exceeds {MAX_RECORD} bytes")
         self.rows.append((bytearray(key), len(self.rows), deleted, None if value is None else bytearray(value)))
         return self
 
@@ -69,6 +73,11 @@ class KVTable:
             segments.verify(spark, current.segments + current.log)
         return table
 
+    def sync(self) -> None:
+        """Returns when what was committed is durable. A commit is once it is published, so this only
+        checks that the table is open and its manifest can be read."""
+        self.manifest()
+
     def close(self) -> None:
         """Ends this handle. What was committed stays; nothing is flushed."""
         self.closed = True
@@ -88,7 +97,7 @@ class KVTable:
             if new is None:
                 return None
             try:
-                self.store.publish(new)
+                self.store.publish(new, self.options.sync is SyncMode.ALWAYS)
                 return new
             except PublishConflict:
                 continue
@@ -104,24 +113,30 @@ class KVTable:
             return False
         if "pos" not in rows.columns:
             rows = rows.withColumn("pos", F.monotonically_increasing_id())
-        part = segments.write(ops.checked(rows.select("key", "pos", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce("value", F.lit(b"")).alias("value"))), self._path("log"), TAIL_GEN)
+        checked = ops.checked(rows.select("key", "pos", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce("value", F.lit(b"")).alias("value")))
+        try:
+            part, last = segments.write(checked, self._path("log"), TAIL_GEN)
+        except Exception as e:
+            for refused, named in ((EmptyKeyError, ops.EMPTY_KEY), (RecordTooLargeError, ops.TOO_LARGE)):
+                if named in str(e):
+                    raise refused(named) from e
+            raise
         if not part.rows:
             self.store.delete((part,))
             return True
-        last = segments.read_paths(self.spark, [part.path]).agg(F.max("pos")).first()[0]
 
         def add(m: Manifest) -> Manifest | None:
             if epoch and m.epochs.get(epoch[0], -1) >= epoch[1]:
                 return None
             epochs = {**m.epochs, epoch[0]: epoch[1]} if epoch else m.epochs
             # positions inside a commit are its own; the commit's place is its gen-like start position
-            placed = Part(part.path, m.next_pos, part.rows, part.bytes, part.tombstones)
+            placed = replace(part, gen=m.next_pos)
             return m.after(log=(*m.log, placed), next_pos=m.next_pos + last + 1, epochs=epochs)
 
         if self._publish(add) is None:
             self.store.delete((part,))
             return False
-        if self._tail_bytes() >= self.options.memtable_size:
+        if self._is_full():
             self.flush()
         return True
 
@@ -188,8 +203,69 @@ class KVTable:
 
     # upkeep
 
-    def _tail_bytes(self) -> int:
-        return ops.memtable_size(self._tail(self.manifest())).first()["bytes"]
+    def _is_full(self) -> bool:
+        """Whether the unflushed data reach the limit. The manifest has each commit's bytes, which are
+        more than what a memtable holds where commits overwrite one another; only between the limit and
+        four times as much are the rows looked at."""
+        m, limit = self.manifest(), self.options.memtable_size
+        logged = sum(p.bytes for p in m.log)
+        return logged >= limit and (logged >= 4 * limit or ops.memtable_size(self._tail(m)).first()["bytes"] >= limit)
+
+    def vacuum(self, keep: int | None = None) -> int:
+        """Delete what only versions older than the last `keep` (else Options.retain) read; the number of
+        folders that went. Readers of newer versions are not disturbed."""
+        keep, gone = self.options.retain if keep is None else keep, []
+
+        def change(m: Manifest) -> Manifest | None:
+            gone[:] = [path for v, path in m.retired if v <= m.version - keep]
+            return replace(m.after(), retired=tuple(r for r in m.retired if r[1] not in set(gone))) if gone else None
+
+        done = self._publish(change)
+        if done is not None:
+            self.store.forget(done.version - 1 - keep)
+            self.store.delete_paths(gone)
+        return len(gone) if done is not None else 0
+
+    def rewrite_log(self) -> bool:
+        """The unflushed commits become one, without what newer ones hide."""
+        before = self.manifest()
+        if len(before.log) < 2:
+            return False
+        done, _ = segments.write(ops.newest(self._tail(before)), self._path("log"), TAIL_GEN)
+
+        def swap(m: Manifest) -> Manifest | None:
+            if m.log[: len(before.log)] != before.log:
+                return None
+            # its positions are the table's own already
+            return m.after(retire=before.log, log=(replace(done, gen=0), *m.log[len(before.log) :]))
+
+        if self._publish(swap) is None:
+            self.store.delete((done,))
+            return False
+        return True
+
+    def import_files(self, log: str | None = None, segment_files: str | None = None) -> DataFrame:
+        """Take over binary segment files and a binary log, of the current or the old kind: first the
+        segments' newest records, as one segment, then what recovery applies of the log, as one commit.
+        One row: records_applied, discarded_bytes and cause of the log; stats() has it too."""
+        if segment_files is not None:
+            found = records.read_segments(self.spark, segment_files).withColumn("pos", F.lit(0).cast("long"))
+            before = self.manifest()
+            done, _ = segments.write(ops.newest(found), self._path("segments"), before.next_gen, self.options.false_positive_rate, 1 << 20)
+
+            def add(m: Manifest) -> Manifest | None:
+                return m.after(segments=(*m.segments, done), next_gen=m.next_gen + 1) if m.next_gen == before.next_gen else None
+
+            if done.rows and self._publish(add) is None:
+                self.store.delete((done,))
+                raise PublishConflict("another writer added a segment during the import")
+        report = {"records_applied": 0, "discarded_bytes": 0, "cause": None}
+        if log is not None:
+            found = records.read_log(self.spark, log)
+            report = recovery.report(found).first().asDict()
+            self.commit(recovery.committed(found).select("key", "pos", "deleted", "value"))
+        self._publish(lambda m: m.after(recovery=report))
+        return self.spark.createDataFrame([tuple(report.values())], "records_applied long, discarded_bytes long, cause string")
 
     def flush(self) -> bool:
         """The unflushed rows become one segment; nothing to flush is no change."""
@@ -197,45 +273,60 @@ class KVTable:
         if not before.log:
             return False
         rows = ops.newest(self._tail(before))
-        done = segments.write(rows, self._path("segments"), before.next_gen, self.options.false_positive_rate, sum(p.rows for p in before.log))
+        done, _ = segments.write(rows, self._path("segments"), before.next_gen, self.options.false_positive_rate, sum(p.rows for p in before.log))
 
         def swap(m: Manifest) -> Manifest | None:
             if m.log[: len(before.log)] != before.log or m.next_gen != before.next_gen:
                 return None  # flushed by another writer
-            return m.after(segments=(*m.segments, done), log=m.log[len(before.log) :], next_gen=m.next_gen + 1)
+            return m.after(retire=before.log, segments=(*m.segments, done), log=m.log[len(before.log) :], next_gen=m.next_gen + 1)
 
         if self._publish(swap) is None:
             self.store.delete((done,))
             return False
-        self.store.delete(before.log)
         return True
 
     def compact(self, force: bool = False) -> DataFrame:
         """Merge all segments into one and drop tombstones; one row of counters. Fewer than two segments
-        are left alone, with zero counters, unless forced."""
+        are left alone, with zero counters, unless forced. What is replaced goes with a later vacuum."""
         self.flush()
         before = self.manifest()
         if len(before.segments) < (1 if force else 2):
             return self.spark.createDataFrame([(0,) * 6], COMPACTED)
         old = segments.read_paths(self.spark, [p.path for p in before.segments])
-        done = segments.write(ops.visible(old), self._path("segments"), before.next_gen, self.options.false_positive_rate, max(p.rows for p in before.segments))
+        done, _ = segments.write(ops.visible(old), self._path("segments"), before.next_gen, self.options.false_positive_rate, max(p.rows for p in before.segments))
 
         def swap(m: Manifest) -> Manifest | None:
             if m.segments[: len(before.segments)] != before.segments:
                 return None
             gen = m.next_gen
-            return m.after(segments=(done, *m.segments[len(before.segments) :]), next_gen=gen + 1)
+            return m.after(retire=before.segments, segments=(done, *m.segments[len(before.segments) :]), next_gen=gen + 1)
 
-        keys = old.select("key").distinct().count()
+        # keys alone, and only if there are tombstones at all
+        purged = ops.tombstoned(old.select("key", "gen", "pos", "deleted")).count() if any(p.tombstones for p in before.segments) else 0
         if self._publish(swap) is None:
             self.store.delete((done,))
             raise PublishConflict("the segments changed during compaction")
-        self.store.delete(before.segments)
-        counters = (len(before.segments), sum(p.rows for p in before.segments), done.rows, keys - done.rows, sum(p.bytes for p in before.segments), done.bytes)
+        self.vacuum()
+        counters = (len(before.segments), sum(p.rows for p in before.segments), done.rows, purged, sum(p.bytes for p in before.segments), done.bytes)
         return self.spark.createDataFrame([counters], COMPACTED)
 
     def stats(self) -> DataFrame:
-        """One row: the table's shape."""
+        """One row: the table's shape, and what the last import of a log found. Segments of the old kind
+        are rewritten when they are imported, so the table has none; file_stats() counts those of a store's
+        own files."""
         m = self.manifest()
         size = ops.memtable_size(self._tail(m)).first()
-        return self.spark.createDataFrame([(len(m.segments), sum(p.rows for p in m.segments), size["keys"], size["bytes"], 0, m.version)], STATS)
+        recovered = m.recovery or {"records_applied": 0, "discarded_bytes": 0, "cause": None}
+        return self.spark.createDataFrame([(len(m.segments), sum(p.rows for p in m.segments), size["keys"], size["bytes"], 0, m.version, *recovered.values())], STATS)
+
+
+def file_stats(spark: SparkSession, segment_files: str, log: str | None = None) -> DataFrame:
+    """One row, STATS without a version, over a store's own binary files as they are."""
+    shape = records.read_segments(spark, segment_files).agg(F.countDistinct("gen").cast("int").alias("segments"), F.count("*").alias("segment_entries"), F.countDistinct(F.when(F.col("old"), F.col("gen"))).cast("int").alias("legacy_segments"))
+    if log is None:
+        none = spark.createDataFrame([(0, 0, 0, 0, None)], "memtable_keys long, memtable_bytes long, records_applied long, discarded_bytes long, cause string")
+        return shape.crossJoin(none)
+    found = records.read_log(spark, log)
+    tail = recovery.committed(found).withColumn("gen", F.lit(TAIL_GEN))
+    size = ops.memtable_size(tail).select(F.col("keys").alias("memtable_keys"), F.col("bytes").alias("memtable_bytes"))
+    return shape.crossJoin(size).crossJoin(recovery.report(found))  # one row each

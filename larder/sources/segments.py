@@ -12,9 +12,10 @@ from larder.sources.manifest import Part
 ROWS = schema("key binary, gen long, pos long, deleted boolean, value binary")
 
 
-def write(df: DataFrame, path: str, gen: int, rate: float | None = None, rows: int = 0) -> Part:
+def write(df: DataFrame, path: str, gen: int, rate: float | None = None, rows: int = 0) -> tuple[Part, int]:
     """Write rows under path. With a rate, as a segment: sorted by key across files, so that footers
-    prune key ranges, and with Parquet Bloom filters on the key sized to `rows`."""
+    prune key ranges, and with Parquet Bloom filters on the key sized to `rows`. Returns the part and its
+    highest position, out of one look at what was written."""
     out = df.select("key", F.lit(gen).cast("long").alias("gen"), "pos", "deleted", F.when(~F.col("deleted"), F.col("value")).alias("value"))
     writer = out.write
     if rate is not None:
@@ -22,8 +23,8 @@ def write(df: DataFrame, path: str, gen: int, rate: float | None = None, rows: i
         writer = out.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(rate)).option("parquet.bloom.filter.expected.ndv#key", str(max(1, rows)))
     writer.option("parquet.page.write-checksum.enabled", "true").parquet(path)
     spark = df.sparkSession
-    n = read_paths(spark, [path]).agg(F.count("*"), F.coalesce(F.sum(record_bytes(F.col("key"), F.col("value"))), F.lit(0)), F.count_if("deleted")).first()
-    return Part(path, gen, *map(int, n))
+    *n, last = read_paths(spark, [path]).agg(F.count("*"), F.coalesce(F.sum(record_bytes(F.col("key"), F.col("value"))), F.lit(0)), F.count_if("deleted"), F.coalesce(F.max("pos"), F.lit(-1))).first()
+    return Part(path, gen, *map(int, n)), int(last)
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -34,9 +35,13 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def verify(spark: SparkSession, parts: tuple[Part, ...]) -> None:
-    """Every listed part has the rows its manifest says."""
+    """Every listed part has the rows its manifest says; one job, whatever the number of parts."""
+    if not parts:
+        return
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    found = {r["name"]: r["n"] for r in read_paths(spark, [p.path for p in parts]).groupBy(name.alias("name")).agg(F.count("key").alias("n")).collect()}
     for p in parts:
-        n = read_paths(spark, [p.path]).select("key").count()
+        n = found.get(p.path.rsplit("/", 1)[1], 0)
         if n != p.rows:
             raise CorruptError(f"{p.path} has {n} rows; its manifest says {p.rows}")
 
@@ -45,3 +50,11 @@ def directory_size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below a folder, from their listing: no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def copy_directory(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a folder with all it holds, through Hadoop's file system API."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf):
+        raise OSError(f"could not copy {source} to {target}")

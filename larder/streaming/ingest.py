@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.model import RECORD_OVERHEAD
+from larder.plans.load import Compactor
 from larder.plans.table import KVTable
 
 
@@ -18,8 +19,8 @@ def ingest(stream: DataFrame, table: KVTable, checkpoint: str, name: str = "inge
     With compact_at, the table is compacted whenever it has that many segments."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        if table.commit(batch, epoch=(name, number)) and compact_at and len(table.manifest().segments) >= compact_at:
-            table.compact()
+        if table.commit(batch, epoch=(name, number)):
+            Compactor(table, compact_at).poll()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
