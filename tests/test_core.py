@@ -9,10 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larder.functions import bloom, hashing, workload
-from larder.model import CorruptError, EmptyKeyError, Options, UnknownVersionError
+from larder.model import CorruptError, EmptyKeyError, Options, RecordTooLargeError, UnknownVersionError
 from larder.operators import log as ops
 from larder.operators import metrics, recovery
-from larder.plans.table import KVTable
+from larder.plans import load
+from larder.plans.table import KVTable, file_stats
 from larder.sources import records, segments
 from larder.sources.manifest import Manifest, PublishConflict
 
@@ -261,3 +262,124 @@ def test_windows_counters_and_limits(spark, tmp_path):
     assert segments.directory_size(spark, str(tmp_path / "csv")) >= file.stat().st_size
     line = metrics.describe(metrics.summary(spark.createDataFrame([(0, "read", 2000)], "sec int, kind string, ns long")))
     assert line == ["read: n 1, mean 2.0 us, p50 2.0, p95 2.0, p99 2.0, p999 2.0, max 2.0"]
+
+
+def test_readers_go_on_while_a_table_changes(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), Options(retain=3))
+    t.put(b"a", b"1")
+    t.flush()
+    t.put(b"a", b"2")
+    before, version = t.state(), t.manifest().version
+    t.flush()
+    t.compact()
+    assert [bytes(r.value) for r in before.collect()] == [b"2"]  # opened before the compaction
+    assert [bytes(r.value) for r in t.version(version).select("value").collect()] == [b"2"]
+    assert t.manifest().retired and t.vacuum(keep=0) > 0 and not t.manifest().retired
+    assert state(t) == {b"a": b"2"} and t.vacuum(keep=0) == 0
+    with pytest.raises(Exception):
+        t.version(version).collect()
+    assert len(t.store.versions()) <= 2
+
+
+def test_a_commit_overwrites_without_filling_the_memtable(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), Options(memtable_size=100))
+    for i in range(3):
+        t.put(b"k", b"x" * 40)  # 54 bytes each, one key
+    assert len(t.manifest().log) == 3 and not t.manifest().segments
+    assert t.rewrite_log() and not t.rewrite_log() and len(t.manifest().log) == 1
+    t.put(b"k", b"new")
+    t.put(b"l", b"y" * 90)
+    assert len(t.manifest().segments) == 1 and state(t) == {b"k": b"new", b"l": b"y" * 90}
+
+
+def test_bulk_refusals_are_typed(spark, tmp_path, monkeypatch):
+    t = KVTable.open(spark, str(tmp_path))
+    with pytest.raises(EmptyKeyError):
+        t.put_many(spark.createDataFrame([(bytearray(b""), bytearray(b"v"))], "key binary, value binary"))
+    monkeypatch.setattr(ops, "MAX_RECORD", 10)
+    with pytest.raises(RecordTooLargeError):
+        t.put_many(spark.createDataFrame([(bytearray(b"k" * 6), bytearray(b"v" * 5))], "key binary, value binary"))
+    monkeypatch.setattr("larder.plans.table.MAX_RECORD", 10)
+    with pytest.raises(RecordTooLargeError):
+        t.batch().put(b"k" * 6, b"v" * 5)
+    assert t.manifest().version == 0
+
+
+def test_creation_on_condition_refuses_an_existing_name(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path))
+    target = t.store._path(f"{tmp_path}/_manifest/{1:020d}.json")
+    t.store.create_new(target, Manifest(version=1).dumps())
+    with pytest.raises(PublishConflict):
+        t.store.create_new(target, "other")
+    assert t.manifest().version == 1
+
+
+def test_binary_stores_are_taken_over(spark, tmp_path):
+    (tmp_path / "segments").mkdir()
+    old = b"".join(records.encode_old_record(*r) for r in ((b"a", b"old", False), (b"b", b"old", False), (b"c", None, True)))
+    (tmp_path / "segments" / "3.seg").write_bytes(old)
+    (tmp_path / "segments" / f"{4:020d}.seg").write_bytes(records.encode_segment([(b"b", b"new", False), (b"d", b"1", False)]))
+    log = records.encode_log([records.encode_record(b"a", None, deleted=True), records.encode_record(b"e", b"1"), *(records.encode_record(b"x%d" % i, b"-", pending=i < 49) for i in range(50))])
+    (tmp_path / "wal").write_bytes(log[:-10])
+    shape = file_stats(spark, str(tmp_path / "segments"), str(tmp_path / "wal")).first()
+    assert (shape.segments, shape.segment_entries, shape.legacy_segments, shape.memtable_keys, shape.records_applied, shape.cause) == (2, 5, 1, 2, 2, "torn")
+    assert file_stats(spark, str(tmp_path / "segments")).first().records_applied == 0
+    t = KVTable.open(spark, str(tmp_path / "table"))
+    report = t.import_files(str(tmp_path / "wal"), str(tmp_path / "segments")).first()
+    assert report.records_applied == 2 and report.cause == "torn" and report.discarded_bytes > 0
+    assert state(t) == {b"b": b"new", b"d": b"1", b"e": b"1"}
+    s = KVTable.open(spark, str(tmp_path / "table")).stats().first()
+    assert (s.records_applied, s.cause, s.legacy_segments) == (2, "torn", 0)
+    whole, found, (m, k, bits) = records.decode_segment(old)
+    assert whole and len(found) == 3 and (m, k) == (512, 7) and bits == records.filter_of([b"a", b"b", b"c"], 0.01)[2]
+    old_log = records.encode_old_record(b"alpha", b"1") + records.encode_old_record(b"beta", b"2") + b"\0\0"
+    is_old, now = records.decode_log(records.current_log(old_log))
+    assert not is_old and [(f.status, f.key, f.value) for f in now] == [("ok", b"alpha", b"1"), ("ok", b"beta", b"2")]
+    segments.copy_directory(spark, str(tmp_path / "segments"), str(tmp_path / "copy"))
+    assert (tmp_path / "copy" / "3.seg").read_bytes() == old
+
+
+def test_throttle_drops_a_backlog():
+    now, slept = [0.0], []
+    t = load.Throttle(1.0, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    t.wait()
+    now[0] += 0.6  # a step that takes part of the interval
+    t.wait()
+    assert [round(s, 6) for s in slept] == [1.0, 0.4]
+    now[0] += 10  # a stall
+    assert t.wait() == 0 and t.next == now[0]
+    assert load.Throttle(0, lambda: 0.0).wait() == 0
+
+
+def test_load_run_measures_and_compacts(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), Options(memtable_size=1))
+    w = workload.Workload(mix="A", records=40, operations=60, seconds=300, value_size=8)
+    load.load(t, w)
+    done = load.run(t, w, step=30, compact_at=2)
+    assert (done.operations, done.misses, done.stopped) == (60, 0, "operations done")
+    assert done.samples.count() == 60 and t.state().count() == 40 and len(t.manifest().segments) == 1
+    assert metrics.compaction_times(done.compactions).first().compactions >= 1
+    assert done.gauges.count() >= 1
+    assert load.run(t, workload.Workload(mix="A", records=40, operations=60, seconds=1), clock=iter(range(0, 1000, 5)).__next__).stopped == "seconds over"
+    assert not load.should_compact(9, None) and not load.should_compact(1, 2) and load.should_compact(2, 2)
+
+
+def test_fixture_has_exactly_its_segments(spark, tmp_path):
+    t = load.build_fixture(spark, str(tmp_path), 2, 8192)
+    assert [p.rows for p in t.manifest().segments] == [127, 127] and not t.manifest().log
+
+
+@pytest.mark.parametrize("bad", [{"threads": 65}, {"seconds": 0}, {"records": 1}, {"records": 2_000_001}, {"most_write_mb": 4096}, {"target_ops": -1}, {"value_size": -1}])
+def test_workload_settings_are_bounded(bad):
+    with pytest.raises(ValueError):
+        workload.Workload(**bad)
+
+
+def test_summary_lines_name_rates_and_absent_kinds(spark):
+    s = spark.createDataFrame([(0, "read", 2000)] * 4, "sec int, kind string, ns long")
+    assert metrics.describe(metrics.summary(s, seconds=2), ("read", "write")) == ["read: n 4, ops/s 2, mean 2.0 us, p50 2.0, p95 2.0, p99 2.0, p999 2.0, max 2.0", "write: no operations"]
+    spent = spark.createDataFrame([(1, 5), (1, 7)], "sec int, ms long")
+    gauges = spark.createDataFrame([(1, 3)], "sec int, segments int")
+    out = metrics.series(s, gauges, 3, spent)
+    assert out.columns == ["second", "reads", "writes", "read_p50_us", "read_p99_us", "read_max_us", "write_p99_us", "write_max_us", "segments", "compaction_ms"]
+    assert rows(out, "second", "compaction_ms") == [(0, 0), (1, 12), (2, 0)]
