@@ -9,16 +9,15 @@ end token, which is also the history of its first word. Every word and every big
 
 with d the Good-Turing discount for counts up to 5 (Katz), taken from the counts of counts of all
 training texts at each level. Each distribution sums to one over the training words and one unknown
-word. If `frequent` is set, words beyond that many of the most frequent, unknown ones included, are one
-class at bigram level, and p(w | h) = p(class of w | class of h) p1(w) / p1(class of w).
+word.
 
-What is broadcast is bounded: the ids of at most `cached` (or `frequent`) words, those with the highest
-counts, one number per such history, and the values of at most `hot_pairs` bigrams (the same). The
-cached words have no part in the results. Counts are gathered in buckets: a worker sends, per run of
+What is broadcast is bounded: the ids of at most `cached` words, those with the highest counts, one
+number per such history, and the values of at most `hot_pairs` bigrams (the same). They are a cache and
+have no part in the results. Counts are gathered in buckets: a worker sends, per run of
 texts and bucket, its distinct keys and their counts packed into one row; a bucket's table is one row of
 sorted keys and counts. There are four levels of them:
 
-    1  words, by the word; asked of only if `frequent` is set, else level 3 has what is asked
+    1  words, by the word; for the counts of counts, and for what is cached
     2  bigrams of two words with ids, by both, so no frequent history or pair fills a bucket
     3  bigrams whose word has no id, by that word: all of its bigrams meet, which gives its count
     4  bigrams whose history has no id, by that history: all of its bigrams meet, which gives a(h);
@@ -36,7 +35,7 @@ that of the unknown word, one; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +43,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.scratch import Scratch
-from larder.llm.words import WordHashes, mix
+from larder.llm.words import WordScan, mix
 
-LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # as a table for translate()
 K = 5  # counts above it are not discounted
 END = np.uint64(0x2545F4914F6CDD1D)  # the end token's hash
 RARE, END_ID = 0, 1  # ids of all words without one, and of the end token
+SLOT_BITS = 20
 TOP = np.uint64(1 << 63)  # set in the code of a word without an id
 NONE = np.uint64(RARE)  # in place of the history of what is asked of level 4
 
 
 @dataclass(frozen=True)
 class Katz:
-    frequent: int | None = None  # None: no class, all bigrams
     cached: int = 1 << 18
     hot_pairs: int = 1 << 18
     run_chars: int = 6_000_000
@@ -86,25 +85,34 @@ class Reader:
     """Texts as arrays of word hashes, each with its end token, in runs of about `run_chars`."""
 
     def __init__(self, model: Katz):
-        self.known, self.run_chars = WordHashes(), model.run_chars
+        self.scan, self.run_chars = WordScan(lower=True), model.run_chars
 
     def runs(self, batches, columns: int):
         """(other columns as lists, hashes end to end, lengths) for texts in the first column."""
         held: list[list] = [[] for _ in range(columns)]
-        hashes, size = [], 0
+        texts, size = [], 0
         for batch in batches:
             others = [c.to_pylist() for c in batch.columns[1:]]
             for i, text in enumerate(batch.column(0)):
-                text = text.as_py() or b""
-                hashes.append(np.append(self.known.of(text.translate(LOWER).split()), END))
+                texts.append(text.as_py() or b"")
                 for h, c in zip(held, others):
                     h.append(c[i])
-                size += len(text)
+                size += len(texts[-1])
                 if size >= self.run_chars:
-                    yield held, np.concatenate(hashes), np.array([len(h) for h in hashes])
-                    held, hashes, size = [[] for _ in range(columns)], [], 0
-        if hashes:
-            yield held, np.concatenate(hashes), np.array([len(h) for h in hashes])
+                    yield held, *self.tokens(texts)
+                    held, texts, size = [[] for _ in range(columns)], [], 0
+        if texts:
+            yield held, *self.tokens(texts)
+
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, starts = self.scan.of(b" ".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        upto = np.searchsorted(starts, ends)
+        out = np.full(len(hashes) + len(texts), END)
+        word = np.ones(len(out), bool)
+        word[upto + np.arange(len(texts))] = False
+        out[word] = hashes
+        return out, np.diff(upto, prepend=0) + 1
 
 
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -113,27 +121,38 @@ def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 @dataclass
 class Words:
-    """What all workers need of the words: bounded by Katz.cached, or by Katz.frequent."""
+    """What all workers need of the words: bounded by Katz.cached."""
 
     hashes: np.ndarray  # sorted
     counts: np.ndarray
     ids: np.ndarray
-    log_p: np.ndarray  # of p1, by id; at RARE that of the class
+    log_p: np.ndarray  # of p1, by id; 0 at RARE
     n_by_id: np.ndarray
     total: int
     distinct: int
     d: np.ndarray
     kept: float
     log_unknown: float  # of p1 of the unknown word
-    whole: bool  # words without an id are not one class
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Where the keys with each value of the hash's first SLOT_BITS start."""
+        return np.searchsorted(self.hashes >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count); RARE and -1 for a word without an id."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        found = self.hashes[at] == hashes
-        return np.where(found, self.ids[at], RARE), np.where(found, self.counts[at], -1)
+        ids, counts = np.full(len(hashes), RARE), np.full(len(hashes), -1)
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        left = np.flatnonzero(at < end)  # hashes are even, so a slot has a key or two
+        while len(left):
+            here = at[left]
+            found = self.hashes[here] == hashes[left]
+            ids[left[found]], counts[left[found]] = self.ids[here[found]], self.counts[here[found]]
+            left = left[~found]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return ids, counts
 
     def log_p1(self, counts: np.ndarray) -> np.ndarray:
         """log10 p1 of words seen so often."""
@@ -143,7 +162,7 @@ class Words:
 def learn_words(table: DataFrame, model: Katz) -> Words:
     total, distinct, n, scale = summary(table)
     d = discounts(n, total)
-    keys, counts = highest(table, scale, model.cached if model.frequent is None else model.frequent, END)
+    keys, counts = highest(table, scale, model.cached, END)
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     ids = np.arange(len(keys)) + 2
@@ -155,8 +174,7 @@ def learn_words(table: DataFrame, model: Katz) -> Words:
     n_by_id = np.ones(len(keys) + 2, np.int64)
     p[ids] = apply(d, counts) * kept / max(total, 1)
     n_by_id[ids] = counts
-    p[RARE], n_by_id[RARE] = max(1 - p[ids].sum(), unknown), max(1, total - counts.sum())
-    return Words(keys, counts, ids, np.log10(p), n_by_id, total, distinct, d, kept, float(np.log10(unknown)), model.frequent is None)
+    return Words(keys, counts, ids, np.log10(p), n_by_id, total, distinct, d, kept, float(np.log10(unknown)))
 
 
 SHIFT = np.uint64(24)
@@ -181,8 +199,6 @@ def codes_of(hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[
 def pair_keys(hashes: np.ndarray, lengths: np.ndarray, words: Words) -> list[tuple]:
     """(level, keys, minor keys or None) of the bigrams of a run."""
     keys, ids, _ = keys_of(hashes, lengths, words)
-    if not words.whole:
-        return [(2, keys, None)]
     h, w = codes_of(hashes, lengths, ids)
     three, four = w >= TOP, (w < TOP) & (h >= TOP)
     return [(2, keys[~three & ~four], None), (3, w[three], h[three]), (4, h[four], w[four])]
@@ -439,18 +455,17 @@ def score_texts(docs: DataFrame, training: Column, model: Katz = Katz()) -> Data
     table1 = scratch.keep(count_table(learned, lambda hashes, lengths: [(1, hashes, None)], model, buckets))
     words = learn_words(table1, model)
     sent = spark.sparkContext.broadcast(words)
-    if words.whole:
-        scratch.drop(table1)  # level 3 has the counts of the words without ids
+    scratch.drop(table1)  # level 3 has the counts of the words without ids
     table2 = scratch.keep(count_table(learned, lambda hashes, lengths: pair_keys(hashes, lengths, sent.value), model, buckets))
     pairs = learn_pairs(table2, words, sent, model)
     sent2 = spark.sparkContext.broadcast(pairs)
     first = scratch.keep(texts.mapInArrow(ask_tables(sent, sent2, model, buckets), f"{RUN}, {ASK}"))
     columns = ("level", "bucket", "run", "size", "keys", "minor", "at", "word_counts")
     none = F.lit(None).cast("binary").alias("word_counts")
-    tables = [t.select("level", "bucket", F.lit(-1).cast("long").alias("run"), "size", "keys", "minor", F.col("counts").alias("at"), none) for t in ([table2] if words.whole else [table1, table2])]
+    tables = table2.select("level", "bucket", F.lit(-1).cast("long").alias("run"), "size", "keys", "minor", F.col("counts").alias("at"), none)
     on = table2.where("level = 3").select(*PACKED).mapInArrow(rare_bigrams(buckets), MOVED)
     asked = first.where("level > 0").select(*columns[:-1], none)
-    met = reduce(DataFrame.unionAll, [*tables, on.select(*columns), asked])
+    met = tables.unionAll(on.select(*columns)).unionAll(asked)
     met = met.repartition(2 * buckets, "level", "bucket").sortWithinPartitions("level", "bucket", "run")
     answers = met.mapInArrow(answer_runs(sent, sent2), ANSWER)
     own = first.where("level = 0")
@@ -506,11 +521,8 @@ def ask_tables(sent, sent2, model: Katz, buckets: int):
                 score += np.where(cold, 0.0, p.hot_values[place])
             sums = [np.bincount(at, v, n).tolist() for v in ((counts > 0).astype(float), base, score)]
             out = [(name, doc_id, [not t for t in trains], lengths.tolist(), *sums, 0, None, None, None, None, None)]
-            if w.whole:
-                h, own = codes_of(hashes, lengths, ids)
-                asks = [(2, keys, None, cold & (h < TOP) & (own < TOP)), (3, own, np.where(h < TOP, h, NONE), own >= TOP), (4, h, own, h >= TOP)]
-            else:
-                asks = [(1, hashes, None, ~common), (2, keys, None, cold)]
+            h, own = codes_of(hashes, lengths, ids)
+            asks = [(2, keys, None, cold & (h < TOP) & (own < TOP)), (3, own, np.where(h < TOP, h, NONE), own >= TOP), (4, h, own, h >= TOP)]
             for level, k, minor, some in asks:
                 k, places = k[some], at[some]
                 order = np.argsort(k, kind="stable")
@@ -532,9 +544,7 @@ class Bucket:
         if not parts:
             return
         self.keys, minor, counts, word_counts = (None if c[0] is None else np.concatenate(c) for c in zip(*parts))
-        if level == 1:
-            self.every, self.n = self.keys, counts
-        elif level == 2:
+        if level == 2:
             self.values = pairs.value(words, self.keys, counts)
         elif level == 3:
             w, n = self.keys, totals(self.keys, counts)
@@ -569,15 +579,14 @@ class Bucket:
     def answer(self, k: np.ndarray, minor: np.ndarray | None, at: np.ndarray) -> tuple | None:
         """(places, known, base, score) to be added, known and base None for nothing; or None."""
         score = np.zeros(len(k))
-        if self.level > 1:
-            found, place = self.find(k, minor)
-            score[found] = self.values[place[found]]
-        if self.level in (1, 3):
+        found, place = self.find(k, minor)
+        score[found] = self.values[place[found]]
+        if self.level == 3:
             w, n = self.words, np.zeros(len(k), np.int64)
             if len(self.every):
                 place = np.minimum(np.searchsorted(self.every, k), len(self.every) - 1)
                 n = np.where(self.every[place] == k, self.n[place], 0)
-            score += np.where(n > 0, w.log_p1(np.maximum(n, 1)), w.log_unknown) - w.log_p[RARE]
+            score += np.where(n > 0, w.log_p1(np.maximum(n, 1)), w.log_unknown)
             return at, (n > 0).astype(float), np.log10((n + 1) / (w.total + w.distinct + 1)), score
         if self.level == 4 and len(self.keys):
             place = np.minimum(np.searchsorted(self.histories, k), len(self.histories) - 1)

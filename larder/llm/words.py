@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 
 MASK = (1 << 64) - 1
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class WordHashes(dict):
@@ -60,6 +63,37 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+class WordScan:
+    """64-bit hashes of all words of a text at once, without a Python object for each: a polynomial over
+    a random number per byte, by prefix sums modulo 2^64. With `lower`, A-Z count as a-z."""
+
+    PIECE = 4 << 20  # bytes that are looked at at once, and the rest of the last word
+
+    def __init__(self, lower: bool = False):
+        self.table = np.array([xxhash.xxh3_64_intdigest(bytes([b + 32 if lower and 65 <= b <= 90 else b])) for b in range(256)], np.uint64)
+        self.space = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+        self.powers = Powers()
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, starts) of the words in order."""
+        hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        while at < len(text):
+            end = at + self.PIECE
+            last = SPACE.search(text, end)
+            piece = np.frombuffer(text, np.uint8, (last.start() if last else len(text)) - at, at)
+            up, down = self.powers.get(len(piece) + 1)
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], self.space[piece], [True]])))
+            first, after = edge[::2], edge[1::2]
+            with np.errstate(over="ignore"):
+                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.table[piece] * up[:-1], dtype=np.uint64)])
+                hashes.append(mix((prefix[after] - prefix[first]) * down[first] + (after - first).astype(np.uint64)))
+            starts.append(first + at)
+            at += len(piece)
+            if last:
+                at += 1
+        return np.concatenate(hashes), np.concatenate(starts)
+
+
 class RollingHash:
     """Hashes of word ranges: a polynomial over the word hashes, by prefix sums modulo 2^64."""
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import chosen_path, html_wrapper, katz, multi_index, packing, queries, substring, tiling, toxicity
+from larder.llm import chosen_path, html_wrapper, katz, multi_index, packing, queries, substring, tiling, toxicity, words
 from larder.llm.chat import joined, preference_pairs, render, stale_replies
 from larder.llm.components import components
 from larder.llm.licenses import TEMPLATES, scan, templates_of
@@ -514,66 +514,7 @@ def test_repeated_rows_take_no_neighbours_place(spark):
 # language model
 
 
-def test_katz_scores_and_sums_to_one(spark):
-    rows = corpus(7, 40)
-    df = docs(spark, rows)
-    small = katz.Katz(frequent=64, hot_pairs=32, run_chars=3000, bucket_chars=5000)
-    training = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
-    got = katz.score_texts(df, training, small).collect()
-    assert len(got) == len(rows)
-
-    def toks(t):
-        return [*(t or "").encode().translate(katz.LOWER).split(), None]
-
-    train = [toks(t) for i, t in rows if i is not None and i % 3]
-    c1 = Counter(w for t in train for w in t)
-    total, distinct = sum(c1.values()), len(c1)
-    d1 = katz.discounts([0, *(sum(v == r for v in c1.values()) for r in range(1, 7))], total)
-    scale = next(s for s in range(48, -1, -1) if sum(v >= 1 << s for v in c1.values()) > 64) + 1
-    ids = {w: w if v >= 1 << scale or w is None else "rare" for w, v in c1.items()}
-    cls = lambda w: ids.get(w, "rare")
-    lost = sum(v * (1 - d1[v]) for v in c1.values() if v <= 5)
-    unknown, kept = max(lost / total, 1e-9), 1.0 if lost else 1 - 1e-9
-    p1 = {w: v * (d1[v] if v <= 5 else 1) * kept / total for w, v in c1.items()}
-    pc = defaultdict(float)
-    for w, p in p1.items():
-        pc[cls(w)] += p
-    pc["rare"] += unknown
-    c2, ch = Counter(), Counter()
-    for t in train:
-        for h, w in zip([None, *t], t):
-            c2[(cls(h), cls(w))] += 1
-            ch[cls(h)] += 1
-    d2 = katz.discounts([0, *(sum(v == r for v in c2.values()) for r in range(1, 7))], total)
-    p2 = {k: v * (d2[v] if v <= 5 else 1) / ch[k[0]] for k, v in c2.items()}
-    alpha = {}
-    for h in ch:
-        seen = {w: p for (g, w), p in p2.items() if g == h}
-        left = 1 - sum(pc[w] for w in seen)
-        mass = 1.0 if left < 1e-10 else min(sum(seen.values()), 1 - 1e-6)
-        for w in seen:
-            p2[(h, w)] *= mass / sum(seen.values())
-        alpha[h] = 1.0 if left < 1e-10 else (1 - mass) / left
-        assert math.isclose(mass + alpha[h] * sum(p for w, p in pc.items() if w not in seen), 1)
-
-    def prob(h, w):
-        h, v = cls(h), cls(w)
-        p = p2.get((h, v), alpha.get(h, 1.0) * pc[v])
-        return p * (p1.get(w, unknown) / pc["rare"] if v == "rare" else 1)
-
-    assert math.isclose(sum(p1.values()) + unknown, 1)
-    by_id = {r.doc_id: r for r in got}
-    for i, t in rows:
-        w, r = toks(t), by_id[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c1[x] > 0 for x in w), total)
-        assert math.isclose(r.base_score, sum(math.log10((c1[x] + 1) / (total + distinct + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(prob(h, x)) for h, x in zip([None, *w], w)), rel_tol=1e-6)
-    none = katz.score_texts(df, F.lit(False), small).agg(F.max(F.abs("score")), F.max("train_tokens")).first()
-    assert none[0] == 0 and none[1] == 0
-    assert katz.score_texts(empty(spark), F.lit(True)).count() == 0
-
-
-def test_katz_keeps_bigrams_of_words_without_ids(spark):
+def test_katz_is_brute_force_whatever_is_cached(spark):
     rows = corpus(8, 40) + [(900, "only here once"), (901, "Once only here"), (902, "here once never")]
     df = docs(spark, rows)
     training = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
@@ -601,10 +542,33 @@ def test_katz_keeps_bigrams_of_words_without_ids(spark):
     small = katz.score_texts(df, training, katz.Katz(cached=64, hot_pairs=32, run_chars=3000, bucket_chars=5000)).collect()
     assert len(small) == len(rows)
     assert len(c1) > 4 * 64
+    by_id = {r.doc_id: r for r in small}
+    for i, t in rows:
+        w, r = toks(t), by_id[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i is None or i % 3 == 0, len(w), sum(c1[x] > 0 for x in w), total)
+        assert math.isclose(r.base_score, sum(math.log10((c1[x] + 1) / (total + len(c1) + 1)) for x in w), rel_tol=1e-9)
+    none = katz.score_texts(df, F.lit(False)).agg(F.max(F.abs("score")), F.max("train_tokens")).first()
+    assert none[0] == 0 and none[1] == 0
+    assert katz.score_texts(empty(spark), F.lit(True)).count() == 0
     for r in [*small, *katz.score_texts(df, training).collect()]:  # what is cached makes no difference
         assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9)
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    r = random.Random(9)
+    monkeypatch.setattr(words.WordScan, "PIECE", 50)
+    scan = words.WordScan(lower=True)
+    text = "".join(r.choice(["a", "B", "cd ", "É", "\x1c", " ", "\t", "\n", "x" * 70]) for _ in range(5000)).encode()
+    hashes, starts = scan.of(text)
+    split = text.translate(katz.LOWER).split()
+    assert len(hashes) == len(split) and all(text.translate(katz.LOWER)[s:].startswith(w) for s, w in zip(starts.tolist(), split))
+    by_word = defaultdict(set)
+    for h, w in zip(hashes.tolist(), split):
+        by_word[w].add(h)
+    assert all(len(h) == 1 for h in by_word.values()) and len(set(hashes.tolist())) == len(by_word)
+    assert all(len(scan.of(t)[0]) == len(t.split()) for t in (b"", b" ", b"a", b" a", b"a ", b"\x0b\x0c"))
+
+
 # tiling
 
 
