@@ -15,9 +15,12 @@ below the threshold; a bucket that stays large is compared block against block,
 size. What is left is cut into components of plausible pairs, and in each component the whole sets
 are compared exactly, again block against block.
 
+A set goes by the first half of its 128-bit signature.
+
 Defined cases: a text without words (or null) has no set, is in a class of its own and has no link; a
-null doc_id is kept and is a class of its own; rows that repeat a doc_id share one result if their
-texts agree; an empty table gives an empty result; other columns are ignored.
+null doc_id is kept and is a class of its own; of rows that repeat a doc_id each has its own text's
+result; texts of any length are compared whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
@@ -36,6 +39,8 @@ from larder.llm.scratch import Scratch
 from larder.llm.words import Powers, RollingHash, WordHashes, grouped, mix
 
 BINS = 64
+BROADCAST_BYTES = 32 << 20  # of the table that picks the texts to compare; a larger one is joined by shuffle
+MEMBER_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -46,7 +51,8 @@ class ChosenPath:
     depth: int = 2
     limit: int = 512
     block: int = 4096  # sketches a side in one task
-    exact_block: int = 1024  # whole sets a side in one task
+    exact_block: int = 1024  # whole sets a side in one task, and
+    exact_tokens: int = 1 << 20  # their tokens, unless one set has more
 
     @property
     def runs(self) -> int:
@@ -115,6 +121,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def signature(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set's tokens in order, in halves."""
+    digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return signed(digest >> 64), signed(digest & (1 << 64) - 1)
+
+
 def node_lists(levels: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.Array:
     """One list of nodes per set."""
     sizes = [0 if x is None else len(x[0]) for x in levels]
@@ -140,8 +152,7 @@ def describe(docs: DataFrame, p: ChosenPath) -> DataFrame:
                             rows.append((None, None, 0, None))
                             levels.append([None] * p.depth)
                             continue
-                        digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
-                        rows.append((signed(digest >> 64), signed(digest & (1 << 64) - 1), len(tokens), sketch(tokens).tobytes()))
+                        rows.append((*signature(tokens), len(tokens), sketch(tokens).tobytes()))
                         levels.append(tree.paths(tokens))
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays([part.column(0), *columns, *(node_lists([x[k] for x in levels]) for k in range(p.depth))], names=names)
@@ -171,14 +182,13 @@ def buckets(reps: DataFrame, p: ChosenPath, scratch: Scratch) -> DataFrame:
     return out.join(reps.select("rep", "size", "sketch"), "rep")
 
 
-def in_blocks(df: DataFrame, key: str, block: int) -> DataFrame:
-    """Deal the `members` rows of each key into ceil(members / block) blocks by rep, and send each
-    row to the pairs of blocks it is in: (key, block_a, block_b, side...)."""
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
+def in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
+    """Deal the rows of each key into that many blocks by rep, and send each row to the pairs of blocks
+    it is in: (block_a, block_b, own, ...)."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    df = df.withColumn("blocks", blocks).withColumn("own", own)
+    df = df.withColumn("blocks", blocks.cast("int")).withColumn("own", own)
     df = df.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return df.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other")).drop("blocks", "other", "members")
+    return df.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other")).drop("blocks", "other")
 
 
 def in_groups(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
@@ -250,7 +260,7 @@ def plausible_edges(members: DataFrame, p: ChosenPath, partitions: int) -> DataF
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=EDGES)
 
     cols = ("node", "block_a", "block_b", "own", "rep", "size", "sketch")
-    rows = in_groups(in_blocks(members, "node", p.block).select(*cols), ["node", "block_a", "block_b"], partitions)
+    rows = in_groups(in_blocks(members, F.ceil(F.col("members") / F.lit(p.block))).select(*cols), ["node", "block_a", "block_b"], partitions)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -265,8 +275,10 @@ def exact_links(sets: DataFrame, p: ChosenPath, partitions: int) -> DataFrame:
         rows: list = []
         for (_, block_a, block_b), parts in grouped(batches, 3):
             t = pa.Table.from_batches(parts)
-            rep, own = t.column("rep").to_numpy(), t.column("own").to_numpy()
-            raw = [np.frombuffer(s, np.uint64) for s in t.column("tokens").to_pylist()]
+            rep, first = np.unique(t.column("rep").to_numpy(), return_index=True)  # rows may repeat a doc_id and a set
+            own = t.column("own").to_numpy()[first]
+            sets_here = t.column("tokens")
+            raw = [np.frombuffer(sets_here[i].as_py(), np.uint64) for i in first.tolist()]
             size = np.array([len(r) for r in raw])
             tokens, at = np.unique(np.concatenate(raw), return_inverse=True)
             where = np.repeat(np.arange(len(raw)), size)
@@ -317,7 +329,8 @@ def exact_links(sets: DataFrame, p: ChosenPath, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), LINKS)], schema=LINKS)
 
     cols = ("root", "block_a", "block_b", "own", "rep", "tokens")
-    return in_groups(in_blocks(sets, "root", p.exact_block).select(*cols), ["root", "block_a", "block_b"], partitions).mapInArrow(run, "rep long, links long, to long")
+    blocks = F.ceil(F.greatest(F.col("members") / p.exact_block, F.col("all_tokens") / p.exact_tokens))
+    return in_groups(in_blocks(sets, blocks).select(*cols), ["root", "block_a", "block_b"], partitions).mapInArrow(run, "rep long, links long, to long")
 
 
 def similarity_join(docs: DataFrame, p: ChosenPath = ChosenPath()) -> DataFrame:
@@ -331,29 +344,37 @@ def similarity_join(docs: DataFrame, p: ChosenPath = ChosenPath()) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     described = scratch.keep(describe(docs, p))
     classes = scratch.keep(described.where("size > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("copy_id")))
-    first = classes.select(F.col("copy_id").alias("rep"), F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
-    reps = described.join(first, (F.col("doc_id") == F.col("rep")) & (F.col("sig_a") == F.col("a")) & (F.col("sig_b") == F.col("b")))
-    reps = scratch.keep(reps.drop("doc_id", "a", "b").dropDuplicates(["rep", "sig_a", "sig_b"]))
+    one = described.where("size > 0").select(F.col("sig_a").alias("rep"), "doc_id", "sig_b", "size", "sketch", *(f"level_{k + 1}" for k in range(p.depth)))
+    first = classes.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "copy_id")
+    reps = one.join(first, (F.col("rep") == F.col("a")) & (F.col("sig_b") == F.col("b")) & (F.col("doc_id") == F.col("copy_id")))
+    reps = scratch.keep(reps.drop("a", "b", "doc_id").dropDuplicates(["rep"]))
     edges = plausible_edges(buckets(reps, p, scratch), p, parts)
     rooted = components(edges, scratch)
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("members"))
-    members = scratch.keep(rooted.join(sizes, "root").select(F.col("id").alias("rep"), "root", "members"))
+    placed = rooted.join(reps.select("rep", "sig_b", "size", F.col("copy_id").alias("of")), F.col("id") == F.col("rep"))
+    sizes = placed.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("members"), F.sum("size").alias("all_tokens"))
+    members = scratch.keep(placed.join(sizes, F.col("root") == F.col("r")).select("rep", "sig_b", "of", "root", "members", "all_tokens"))
 
     def tokens(batches):
         shingles = Shingles(p.n)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = pa.array([shingles.of(t.as_py()).tobytes() for t in part.column(3)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], found], names=["rep", "root", "members", "tokens"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").cast("binary").alias("text"))
-    sets = members.join(texts, "rep").select("rep", "root", "members", "text").dropDuplicates(["rep", "text"]).mapInArrow(tokens, "rep long, root long, members long, tokens binary")
+                found = [shingles.of(t.as_py()) for t in part.column(5)]
+                sigs = [signature(t) if len(t) else None for t in found]
+                own = pa.array([s == x for s, x in zip(sigs, zip(part.column(0).to_pylist(), part.column(1).to_pylist()))])  # else another text of that doc_id
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:5], pa.array([t.tobytes() for t in found], pa.binary())], names=["rep", "root", "members", "all_tokens", "tokens"]).filter(own)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    small = members.count() * MEMBER_BYTES <= BROADCAST_BYTES
+    sets = texts.join(F.broadcast(members) if small else members, F.col("of") == F.col("doc_id")).select("rep", "sig_b", "root", "members", "all_tokens", "text")
+    sets = sets.mapInArrow(tokens, "rep long, root long, members long, all_tokens long, tokens binary")
     links = scratch.keep(exact_links(sets, p, parts))
-    groups = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")), scratch)
-    least = groups.groupBy("root").agg(F.min("id").alias("class_id"))
-    groups = groups.join(least, "root").select(F.col("id").alias("copy_id"), "class_id")
-    counts = links.groupBy(F.col("rep").alias("copy_id")).agg(F.sum("links").alias("n_links"))
-    out = described.select("doc_id", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"], "left").withColumn("copy_id", F.coalesce("copy_id", "doc_id"))
-    out = out.join(counts, "copy_id", "left").join(groups, "copy_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    linked = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")), scratch)
+    names = reps.select("rep", F.col("copy_id").alias("name"))
+    linked = scratch.keep(linked.join(names, F.col("id") == F.col("rep")).select("id", "root", "name"))
+    least = linked.groupBy(F.col("root").alias("r")).agg(F.min("name").alias("class_id"))
+    groups = linked.join(least, F.col("root") == F.col("r")).select(F.col("id").alias("g"), "class_id")
+    counts = links.groupBy(F.col("rep").alias("c")).agg(F.sum("links").alias("n_links"))
+    named = classes.join(groups, F.col("sig_a") == F.col("g"), "left").join(counts, F.col("sig_a") == F.col("c"), "left").drop("g", "c")
+    out = described.select("doc_id", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
+    return out.select("doc_id", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

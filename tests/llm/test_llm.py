@@ -177,6 +177,17 @@ def test_blocks_split_large_buckets(spark):
     assert {(r.class_id, r.n_links) for r in out} == {(0, 39)}
 
 
+def test_rows_that_repeat_a_doc_id_have_their_own_texts_result(spark):
+    words = [f"t{i}" for i in range(60)]
+    a, near, b = " ".join(words), " ".join([*words, "more"]), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, a.replace(" ", "  ")), (2, near), (3, b + " tail"), (3, a)]
+    long = [f"v{i}" for i in range(30_000)]
+    rows += [(4, " ".join(long)), (5, " ".join(long[:29_000]))]
+    out = chosen_path.similarity_join(docs(spark, rows)).collect()
+    got = Counter((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in out)
+    assert got == Counter({(1, 1, 1, 1): 3, (2, 1, 1 + 1, 1): 1, (3, 1, 3, 1): 1, (3, 1, 1, 1): 1, (4, 4, 4, 1): 1, (5, 4, 5, 1): 1})
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, j) for j in range(101, 140)] + [(7, 7)]
     got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
