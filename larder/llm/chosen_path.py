@@ -140,7 +140,7 @@ def describe(docs: DataFrame, p: ChosenPath) -> DataFrame:
 
     def run(batches):
         shingles, tree = Shingles(p.n), Tree(p)
-        names = ["doc_id", "sig_a", "sig_b", "size", "sketch", *(f"level_{k + 1}" for k in range(p.depth))]
+        names = ["doc_id", "text_hash", "sig_a", "sig_b", "size", "sketch", *(f"level_{k + 1}" for k in range(p.depth))]
         with np.errstate(over="ignore"):
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
@@ -155,10 +155,11 @@ def describe(docs: DataFrame, p: ChosenPath) -> DataFrame:
                         rows.append((*signature(tokens), len(tokens), sketch(tokens).tobytes()))
                         levels.append(tree.paths(tokens))
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays([part.column(0), *columns, *(node_lists([x[k] for x in levels]) for k in range(p.depth))], names=names)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns, *(node_lists([x[k] for x in levels]) for k in range(p.depth))], names=names)
 
     nodes = "".join(f", level_{k + 1} array<struct<parent: long, node: long>>" for k in range(p.depth))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id long, sig_a long, sig_b long, size int, sketch binary{nodes}")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.cast("binary"), F.xxhash64(text)).mapInArrow(run, f"doc_id long, text_hash long, sig_a long, sig_b long, size int, sketch binary{nodes}")
 
 
 def buckets(reps: DataFrame, p: ChosenPath, scratch: Scratch) -> DataFrame:
@@ -334,9 +335,9 @@ def exact_links(sets: DataFrame, p: ChosenPath, partitions: int) -> DataFrame:
 
 
 def similarity_join(docs: DataFrame, p: ChosenPath = ChosenPath()) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links: one row per row of docs.
+    """doc_id, text_hash, class_id, copy_id, n_links: one row per row of docs.
 
-    copy_id: the least doc_id with the same set. n_links: the other sets (copies count once) that are
+    text_hash: Spark's xxhash64 of the text, which tells rows apart that repeat a doc_id. copy_id: the least doc_id with the same set. n_links: the other sets (copies count once) that are
     similar. class_id: the least copy_id that a chain of links leads to.
     """
     spark = docs.sparkSession
@@ -376,5 +377,5 @@ def similarity_join(docs: DataFrame, p: ChosenPath = ChosenPath()) -> DataFrame:
     groups = linked.join(least, F.col("root") == F.col("r")).select(F.col("id").alias("g"), "class_id")
     counts = links.groupBy(F.col("rep").alias("c")).agg(F.sum("links").alias("n_links"))
     named = classes.join(groups, F.col("sig_a") == F.col("g"), "left").join(counts, F.col("sig_a") == F.col("c"), "left").drop("g", "c")
-    out = described.select("doc_id", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = described.select("doc_id", "text_hash", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
+    return out.select("doc_id", "text_hash", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -37,7 +37,7 @@ def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.chosen_path import similarity_join
 
-    return similarity_join(table(spark, sf_dir, "documents"))
+    return similarity_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from larder.llm.scratch import Scratch
 from larder.llm.words import Powers, RollingHash, WordHashes
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered_words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])))])
-FOUND_DDL = "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles array<struct<item_start: long, doc_start: long, length: long>>"
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered_words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])))])
+FOUND_DDL = "doc_id long, text_hash long, item_id long, item_words long, covered_words long, coverage double, tiles array<struct<item_start: long, doc_start: long, length: long>>"
 
 
 class NormalHashes(WordHashes):
@@ -189,17 +189,19 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[i
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, item_words, covered_words, coverage, tiles: one row per document and item whose
-    coverage reaches the threshold. Tiles give word positions among the normalised words."""
+    """doc_id, text_hash, item_id, item_words, covered_words, coverage, tiles: one row per document and
+    item whose coverage reaches the threshold. text_hash (Spark's xxhash64 of the text) tells rows apart
+    that repeat a doc_id. Tiles give word positions among the normalised words."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), text.cast("binary"), F.xxhash64(text))
 
     def against(sent):
         def search(batches):
             index, known, powers = ItemIndex(sent.value, min_match), NormalHashes(), Powers()
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for doc_id, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                     words = known.words(text.as_py())
                     if not len(words):
                         continue
@@ -208,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
                         tiles = tile(item, words, min(min_match, len(item)))
                         covered = sum(t[2] for t in tiles)
                         if covered >= threshold * len(item):
-                            rows.append((doc_id, index.ids[k], len(item), covered, covered / len(item), [dict(zip(("item_start", "doc_start", "length"), t)) for t in tiles]))
+                            rows.append((doc_id, text_hash, index.ids[k], len(item), covered, covered / len(item), [dict(zip(("item_start", "doc_start", "length"), t)) for t in tiles]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)
 

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm.words import mix
+
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 
 
@@ -190,20 +192,21 @@ class Labelled:
 
 def mark_tokens(forms: list[str], texts: list[np.ndarray], toxic: np.ndarray, least_docs: int = 3) -> np.ndarray:
     """Which token forms are marked: those, or those whose beginning of 4 or 5 letters, stand in documents
-    that are toxic far beyond chance: nearly all of them, with a log-likelihood ratio of more than the
-    log of the number of forms tried (plus one). Of near copies (the same least word pair by hash) one
-    counts."""
+    that are toxic far beyond chance: over nine tenths of them, with a log-likelihood ratio of more than the
+    log of the number of forms tried (plus one). Of near copies (six of eight min-hashes of word pairs agree)
+    one counts."""
     begins: dict[str, int] = {}
     starts = np.array([[begins.setdefault(f"{n}{w[:n]}", len(begins)) if len(w) > n else -1 for n in (4, 5)] for w in forms]).reshape(-1, 2) + len(forms)
     total, bad = (np.zeros(len(forms) + len(begins), np.int64) for _ in range(2))
-    met = set()
+    salt = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    met, n_met = np.zeros((len(texts), len(salt)), np.uint64), 0
     for words, y in zip(texts, toxic):
+        pairs = np.unique(words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)) if len(words) > 1 else words.astype(np.uint64)
         with np.errstate(over="ignore"):
-            pairs = (words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key = int(pairs.min()) if len(pairs) else -1
-        if key in met:
+            least = np.array([mix(pairs ^ s).min() if len(pairs) else 0 for s in salt], np.uint64)
+        if ((met[:n_met] == least).sum(1) >= 6).any():
             continue
-        met.add(key)
+        met[n_met], n_met = least, n_met + 1
         own = np.unique(words)
         more = np.unique(starts[own])
         seen = np.concatenate([own, more[more >= len(forms)]])
@@ -214,7 +217,7 @@ def mark_tokens(forms: list[str], texts: list[np.ndarray], toxic: np.ndarray, le
     rest = np.maximum(n - k, 1e-9)
     ratio = k * np.log(k / n / share) + np.where(n > k, rest * np.log(rest / n / (1 - share)), 0.0)
     sure = np.log(max(1, int((total >= least_docs).sum()))) + 1
-    good = np.append((bad >= least_docs) & (bad > 0.95 * total) & (ratio >= sure), False)
+    good = np.append((bad >= least_docs) & (bad > 0.9 * total) & (ratio >= sure), False)
     starts[starts < len(forms)] = len(good) - 1
     return good[: len(forms)] | good[starts].any(1)
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import textwrap
 import time
@@ -18,7 +19,7 @@ from larder.llm.chat import joined, preference_pairs, render, stale_replies
 from larder.llm.components import components
 from larder.llm.licenses import TEMPLATES, scan, templates_of
 from larder.llm.queries import byte_bpe
-from larder.llm.scratch import Scratch
+from larder.llm.scratch import Scratch, scope
 
 DOCS = "doc_id long, text string, score string, words int, node long"
 
@@ -629,6 +630,127 @@ def test_contamination(spark):
     assert tiling.contaminated(docs(spark, rows), bench.limit(0)).count() == 0 == tiling.contaminated(empty(spark), bench).count()
 
 
+DIR = "/root/testdata/sf0.001"
+driver_tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
+
+
+@driver_tables
+def test_queries_keep_their_folds_and_columns(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    one = queries.op1_toxic_spans(spark, DIR)
+    assert one.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    assert [one.schema[c].dataType.simpleString() for c in one.columns[:4]] == ["bigint", "boolean", "double", "int"]
+    rows = one.collect()
+    assert len(rows) == len(texts) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    nine = queries.op9_katz_backoff(spark, DIR)
+    assert nine.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = nine.collect()
+    tokens = {i: len((t or "").encode().split()) + 1 for i, t in texts.items()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.n_tokens == tokens[r.doc_id] and r.score < 0 for r in rows)
+    assert {r.train_tokens for r in rows} == {sum(n for i, n in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2)}
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # the model beats its base on texts it has not seen
+
+
+@driver_tables
+def test_queries_keep_their_contracts(spark):
+    five = queries.op5_wrapper_induction(spark, DIR)
+    assert five.columns == ["page_id", "url", "text", "n_chars"] and all(r.n_chars == len(r.text) for r in five.collect())
+    six = queries.op6_best_fit_packing(spark, DIR)
+    assert six.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    eight = queries.op8_inverted_multi_index(spark, DIR).collect()
+    by_query = defaultdict(list)
+    for r in sorted(eight, key=lambda r: (r.query_id, r.rank)):
+        by_query[r.query_id].append(r)
+    assert all(q % 20 == 0 and [r.rank for r in found] == list(range(1, 21)) and [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found) for q, found in by_query.items())
+    ten = queries.op10_string_tiling(spark, DIR)
+    assert ten.columns == ["doc_id", "item_id", "item_words", "covered_words", "coverage"] and all(r.coverage >= 0.5 for r in ten.collect())
+
+
+@driver_tables
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DIR)
+    plain = lambda r: str(tuple(float(f"{v:.9g}") if isinstance(v, float) else v for v in r))
+    want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(plain, want)) == sorted(plain(tuple(r)) for r in df.collect())
+
+
+def test_marked_tokens_are_those_beyond_chance():
+    r = random.Random(2)
+    texts, toxic = [], []
+    for i in range(300):
+        words = [f"w{r.randrange(200)}" for _ in range(30)] + (["vileword"] if i % 6 == 0 else [])
+        texts.append(words)
+        toxic.append(float(i % 6 == 0))
+    for _ in range(40):  # near copies of one harmless text count once
+        texts.append([*texts[1][:-1], "copied"])
+        toxic.append(1.0)
+    labelled = toxicity.Labelled()
+    for t, y in zip(texts, toxic):
+        labelled.add(t, y)
+    forms = list(labelled.number)
+    marked = toxicity.mark_tokens(forms, labelled.texts, np.array(labelled.toxic))
+    assert [w for w, m in zip(forms, marked) if m] == ["vileword"]
+
+
+def test_scores_of_very_long_texts(spark):
+    model = toxicity.Field(word={"vile": 8.0}, bias=-4.0, link=(-5.0, 3.0, 6.0))
+    text = "fine words " * 100_000 + "vile" + " fine words" * 100_000
+    out = toxicity.score(docs(spark, [(1, text), (2, "fine words " * 3)]), model).collect()
+    got = {r.doc_id: r for r in out}
+    assert got[1].score > 0.5 > got[2].score and [(s.start, s.end) for s in got[1].spans] == [(1_100_000, 1_100_004)]
+
+
+def test_scratch_scopes_drop_what_was_made_in_them(spark):
+    with scope():
+        inner = Scratch(spark, "inner")
+        assert inner.keep(spark.range(3)).count() == 3
+        path = inner.root.removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+PIPELINE_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def written(spark, folder, rows, labels=(), benchmark=()):
+    spark.createDataFrame(rows, PIPELINE_DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, [])).count() == 0
+
+
+def test_pipeline_judges_rows_that_repeat_a_doc_id_on_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = [" ".join(f"w{r.randrange(900)}" for _ in range(80)) for _ in range(6)]
+    leak = " ".join(f"b{i}" for i in range(30))
+    rows = [(1, text[0]), (2, text[0] + " more"), (2, text[1]), (3, text[2]), (3, text[2]), (None, text[3]), (None, text[3]), (4, leak), (4, text[4]), (5, None), (5, None)]
+    sf = written(spark, tmp_path, [(i, t, "en", "s", len(t or "")) for i, t in rows], benchmark=[(0, leak)])
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, sf).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(Counter((x.doc_id, x.text) for x in now.collect()))
+    clean = Counter({(1, text[0]): 1, (2, text[1]): 1, (3, text[2]): 1, (None, text[3]): 2, (4, text[4]): 1, (4, leak): 1, (5, None): 1})
+    assert kept[0] == Counter(rows) and kept[1] == clean
+    del clean[(4, leak)]
+    assert kept[3] == clean
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
