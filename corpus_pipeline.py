@@ -1,15 +1,19 @@
 """A training-corpus pipeline over the operators of larder.llm: each stage's output is written as
-Parquet and read again as the next stage's documents."""
+Parquet and read again as the next stage's documents.
+
+Rows are judged one by one, also where they repeat a doc_id: a decision goes by doc_id and text. A null
+text has no words: it is not toxic, has no copies and covers nothing, so it stays; a row without a
+doc_id stays unless it is toxic. Empty tables give empty results; other columns are left out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.chosen_path import similarity_join
 from larder.llm.packing import pack
 from larder.llm.queries import byte_bpe, table
-from larder.llm.scratch import Scratch
+from larder.llm.scratch import Scratch, scope
 from larder.llm.substring import drop_repeats
 from larder.llm.tiling import contaminated
 from larder.llm.toxicity import score_columns, train
@@ -23,11 +27,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_columns(docs.select(*COLUMNS), model).where("score < 0.5").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+
+
+def met(decided: DataFrame) -> tuple[DataFrame, Column]:
+    """A table of (doc_id, text_hash) and the condition to join it with keyed rows on."""
+    names = decided.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    return names, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five words, 0.8), the document with the least doc_id; of rows
-    that repeat a doc_id in a class, all."""
-    classes = similarity_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(classes, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near copies (five words, 0.8), the document with the least doc_id; of rows with
+    the same doc_id and text, one. Near copies that share the least doc_id all stay."""
+    found = Scratch(spark, "near-duplicates").keep(similarity_join(docs).select("doc_id", "text_hash", "class_id"))
+    rest = keyed(docs).join(*met(found.where("doc_id <> class_id")), "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if not again.isEmpty():
+        once = rest.join(*met(again), "left_semi").dropDuplicates(["doc_id", "_hash"])
+        rest = rest.join(*met(again), "left_anti").unionByName(once)
+    return rest.select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +59,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return keyed(docs).join(*met(found), "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table. What a stage writes for itself goes when its output is
+    written; the output goes when the next stage's is, but for the last, which the result reads."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scope():
+            after = scratch.keep(stage(spark, docs, sf_dir))
+        if i:
+            scratch.drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
