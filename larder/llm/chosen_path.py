@@ -5,10 +5,13 @@ of all its words). Texts with the same set are one class; only one member of eac
 
 Each run walks a random tree. From a node at level l, a set of size s follows each token it has not used
 with probability 1 / (similarity * s - l), by a hash of node and token that all sets share: two sets
-with at least that overlap keep, on average, one common branch or more at every level. A node that at most `limit` sets
-reach is a bucket; a larger one is split once more, down to `depth` levels. With f(0) = 0 and
-f(d) = exp(f(d-1) - 1), the chance that one run fails a pair at the threshold is at most f(depth);
-runs are repeated until that chance is below 1 - `recall`.
+with at least that overlap keep, on average, one common branch or more at every level. A node that at
+most `limit` sets reach is a bucket; a larger one is split again. The paths of the first `depth` levels
+are made with the sets; only the sets of nodes that are still too large go on, level by level, each
+along `more` times as many tokens. A node stays a bucket, however large, if two or more of its branches
+hold half of its sets each, as with copies that no token tells apart, or at level `deepest`. With
+f = exp(more * (f - 1)) beyond the first levels and exp(f - 1) at each of them, the chance that one run
+fails a pair at the threshold is at most f; runs are repeated until that chance is below 1 - `recall`.
 
 Buckets are compared by brute force on 64-bin one-permutation sketches, which only turn away pairs far
 below the threshold; a bucket that stays large is compared block against block, in tasks of bounded
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,8 @@ class ChosenPath:
     similarity: float = 0.8
     recall: float = 0.9995
     depth: int = 2
+    deepest: int = 8
+    more: float = 3.0
     limit: int = 512
     block: int = 4096  # sketches a side in one task
     exact_block: int = 1024  # whole sets a side in one task, and
@@ -57,6 +63,8 @@ class ChosenPath:
     @property
     def runs(self) -> int:
         miss = 0.0
+        for _ in range(100):
+            miss = math.exp(self.more * (miss - 1))
         for _ in range(self.depth):
             miss = math.exp(miss - 1)
         return math.ceil(math.log(1 - self.recall) / math.log(miss))
@@ -162,25 +170,77 @@ def describe(docs: DataFrame, p: ChosenPath) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.cast("binary"), F.xxhash64(text)).mapInArrow(run, f"doc_id long, text_hash long, sig_a long, sig_b long, size int, sketch binary{nodes}")
 
 
-def buckets(reps: DataFrame, p: ChosenPath, scratch: Scratch) -> DataFrame:
+def with_texts(members: DataFrame, docs: DataFrame, more: str) -> DataFrame:
+    """members (rep, sig_b, of and those named in more) with the texts of the rows of doc_id `of`, one of
+    which has the set; see own_tokens."""
+    small = members.count() * MEMBER_BYTES <= BROADCAST_BYTES
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return texts.join(F.broadcast(members) if small else members, F.col("of") == F.col("doc_id")).select("text", "rep", "sig_b", *more.split())
+
+
+def own_tokens(shingles: Shingles, batch: pa.RecordBatch):
+    """(row, tokens) of the rows whose text has the set that rep and sig_b name: another row of the same
+    doc_id may have another text."""
+    for i, (text, rep, sig_b) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        tokens = shingles.of(text.as_py())
+        if len(tokens) and signature(tokens) == (rep, sig_b):
+            yield i, tokens
+
+
+PATHS = pa.schema([("rep", pa.int64()), ("parent", pa.int64()), ("node", pa.int64())])
+
+
+def branches(nodes: DataFrame, reps: DataFrame, docs: DataFrame, p: ChosenPath, level: int) -> DataFrame:
+    """(rep, parent, node): where the sets (rep, node) go on to at a level beyond the first ones."""
+    lists = nodes.groupBy(F.col("rep").alias("r")).agg(F.collect_list("node").alias("nodes"))  # at most a few a run
+    members = lists.join(reps.select("rep", "sig_b", F.col("copy_id").alias("of")), F.col("r") == F.col("rep")).drop("r")
+    salt = salts(2, level, n=1)[0]
+
+    def run(batches):
+        shingles = Shingles(p.n)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                out: list[list] = [[np.zeros(0, np.int64)] for _ in PATHS]
+                for i, tokens in own_tokens(shingles, batch):
+                    node = np.unique(np.array(batch.column(3)[i].as_py(), np.int64)).view(np.uint64)
+                    share = min(1.0, p.more / max(1.0, p.similarity * len(tokens) - level + 1))
+                    below = np.uint64(min((1 << 64) - 1, int(2.0**64 * share)))
+                    at, picked = np.nonzero(mix(tokens[None, :] * (node[:, None] | np.uint64(1))) <= below)
+                    child = mix((tokens[picked] ^ node[at]) * salt)
+                    for column, x in zip(out, (np.full(len(at), batch.column(1)[i].as_py()), node[at].view(np.int64), child.view(np.int64))):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=PATHS)
+
+    return with_texts(members, docs, "nodes").mapInArrow(run, "rep long, parent long, node long")
+
+
+def buckets(reps: DataFrame, docs: DataFrame, p: ChosenPath, scratch: Scratch) -> DataFrame:
     """(node, members, rep, size, sketch): the members of every bucket of two or more sets."""
-    out, large = None, None
-    for level in range(1, p.depth + 1):
-        nodes = reps.select("rep", F.explode(f"level_{level}").alias("at")).select("rep", "at.*")
-        if large is not None:
-            nodes = nodes.join(large, nodes.parent == large.split, "left_semi")
-        counts = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-        met = nodes.join(counts, "node")
-        if level < p.depth:
-            split = scratch.keep(counts.where(F.col("members") > p.limit).select(F.col("node").alias("split")))
-            met = met.where(F.col("members") <= p.limit)
-        met = met.select("node", "members", "rep")
-        out = met if out is None else out.unionAll(met)
-        if level < p.depth:
-            large = split
-            if large.isEmpty():
-                break
-    return out.join(reps.select("rep", "size", "sketch"), "rep")
+    out, large, level = [], None, 1
+    while True:
+        if level <= p.depth:
+            nodes = reps.select("rep", F.explode(f"level_{level}").alias("at")).select("rep", "at.*")
+            if large is not None:
+                nodes = nodes.join(large.select(F.col("node").alias("split")).distinct(), F.col("parent") == F.col("split"), "left_semi")
+        else:
+            nodes = scratch.keep(branches(large, reps, docs, p, level))
+            sizes = nodes.groupBy("parent", "node").agg(F.count("*").alias("n"))
+            parents = large.groupBy(F.col("node").alias("of")).agg(F.max("members").alias("members"))
+            halves = parents.join(sizes, F.col("of") == F.col("parent")).groupBy("of").agg(F.count_if(2 * F.col("n") >= F.col("members")).alias("halves"))
+            dense = scratch.keep(halves.where("halves > 1").select("of"))
+            out.append(large.join(dense, F.col("node") == F.col("of"), "left_semi"))
+            nodes = nodes.join(dense, F.col("parent") == F.col("of"), "left_anti")
+        counts = nodes.groupBy(F.col("node").alias("met")).agg(F.count("*").alias("members")).where("members > 1")
+        both = nodes.join(counts, F.col("node") == F.col("met")).select("node", "members", "rep")
+        if level >= p.deepest:
+            out.append(both)
+            break
+        out.append(both.where(F.col("members") <= p.limit))
+        large = scratch.keep(both.where(F.col("members") > p.limit))
+        if large.isEmpty():
+            break
+        level += 1
+    return reduce(DataFrame.unionAll, out).join(reps.select("rep", "size", "sketch"), "rep")
 
 
 def in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
@@ -349,7 +409,7 @@ def similarity_join(docs: DataFrame, p: ChosenPath = ChosenPath()) -> DataFrame:
     first = classes.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "copy_id")
     reps = one.join(first, (F.col("rep") == F.col("a")) & (F.col("sig_b") == F.col("b")) & (F.col("doc_id") == F.col("copy_id")))
     reps = scratch.keep(reps.drop("a", "b", "doc_id").dropDuplicates(["rep"]))
-    edges = plausible_edges(buckets(reps, p, scratch), p, parts)
+    edges = plausible_edges(buckets(reps, docs, p, scratch), p, parts)
     rooted = components(edges, scratch)
     placed = rooted.join(reps.select("rep", "sig_b", "size", F.col("copy_id").alias("of")), F.col("id") == F.col("rep"))
     sizes = placed.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("members"), F.sum("size").alias("all_tokens"))
@@ -360,15 +420,11 @@ def similarity_join(docs: DataFrame, p: ChosenPath = ChosenPath()) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [shingles.of(t.as_py()) for t in part.column(5)]
-                sigs = [signature(t) if len(t) else None for t in found]
-                own = pa.array([s == x for s, x in zip(sigs, zip(part.column(0).to_pylist(), part.column(1).to_pylist()))])  # else another text of that doc_id
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:5], pa.array([t.tobytes() for t in found], pa.binary())], names=["rep", "root", "members", "all_tokens", "tokens"]).filter(own)
+                found = list(own_tokens(shingles, part))
+                some = part.take(pa.array([i for i, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column(1), *some.columns[3:], pa.array([t.tobytes() for _, t in found], pa.binary())], names=["rep", "root", "members", "all_tokens", "tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    small = members.count() * MEMBER_BYTES <= BROADCAST_BYTES
-    sets = texts.join(F.broadcast(members) if small else members, F.col("of") == F.col("doc_id")).select("rep", "sig_b", "root", "members", "all_tokens", "text")
-    sets = sets.mapInArrow(tokens, "rep long, root long, members long, all_tokens long, tokens binary")
+    sets = with_texts(members, docs, "root members all_tokens").mapInArrow(tokens, "rep long, root long, members long, all_tokens long, tokens binary")
     links = scratch.keep(exact_links(sets, p, parts))
     linked = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")), scratch)
     names = reps.select("rep", F.col("copy_id").alias("name"))

@@ -178,6 +178,31 @@ def test_blocks_split_large_buckets(spark):
     assert {(r.class_id, r.n_links) for r in out} == {(0, 39)}
 
 
+def test_large_buckets_are_split_until_they_are_small(spark, monkeypatch):
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(14)]
+    rows = [(i, " ".join(passage + [f"q{r.randrange(10**9)}" for _ in range(60)])) for i in range(400)]  # one passage, else different: no links
+    for i in range(0, 100, 2):
+        words = rows[i][1].split()
+        rows[i + 1] = (i + 1, " ".join([*words[:-1], "changed"]))
+    sizes = []
+    whole = chosen_path.plausible_edges
+
+    def spied(members, p, partitions):
+        sizes.extend(r.members for r in members.select("node", "members").distinct().collect())
+        return whole(members, p, partitions)
+
+    monkeypatch.setattr(chosen_path, "plausible_edges", spied)
+    got = {x.doc_id: x for x in chosen_path.similarity_join(docs(spark, rows), chosen_path.ChosenPath(limit=8)).collect()}
+    sets = {i: set(chosen_path.Shingles(5).of(t.encode()).tolist()) for i, t in rows}
+    for i in sets:
+        assert got[i].n_links == sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in sets if j != i)
+    deep = max(sizes)
+    sizes.clear()
+    chosen_path.similarity_join(docs(spark, rows), chosen_path.ChosenPath(limit=8, deepest=1, depth=1))
+    assert deep < 200 and max(sizes) == 400
+
+
 def test_rows_that_repeat_a_doc_id_have_their_own_texts_result(spark):
     words = [f"t{i}" for i in range(60)]
     a, near, b = " ".join(words), " ".join([*words, "more"]), " ".join(f"u{i}" for i in range(60))
@@ -706,6 +731,23 @@ def test_scores_of_very_long_texts(spark):
     assert got[1].score > 0.5 > got[2].score and [(s.start, s.end) for s in got[1].spans] == [(1_100_000, 1_100_004)]
 
 
+def test_very_long_texts_are_taken_whole(spark):
+    r = random.Random(6)
+    long = " ".join(f"l{r.randrange(3000)}" for _ in range(150_000))
+    leak = " ".join(f"b{i}" for i in range(30))
+    rows = [(1, long), (2, f"start {long} {leak} end"), (3, "short"), (4, "same " * 200_000), (5, "x" * 2_000_000)]
+    df = docs(spark, rows)
+    got = {x.doc_id: x for x in substring.drop_repeats(df).collect()}
+    assert (got[2].n_words, got[2].n_removed, got[4].n_removed, got[5].n_words) == (150_032, 150_000, 0, 1)
+    scored = {x.doc_id: x for x in katz.score_texts(df, F.col("doc_id") != 2).collect()}
+    assert [scored[i].n_tokens for i in range(1, 6)] == [150_001, 150_033, 2, 200_001, 2] and scored[2].n_known == 150_001
+    assert all(math.isfinite(x.score) for x in scored.values())
+    bench = spark.createDataFrame([(10, leak)], "item_id long, text string")
+    assert [(x.doc_id, x.tiles[0].doc_start) for x in tiling.contaminated(df, bench).collect()] == [(2, 150_001)]
+    packed = packing.pack(df, byte_bpe()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert all(x.n == x["all"] for x in packed) and len(packed) == len(rows)
+
+
 def test_scratch_scopes_drop_what_was_made_in_them(spark):
     with scope():
         inner = Scratch(spark, "inner")
