@@ -70,7 +70,7 @@ def discounts(n: list[int], total: int) -> np.ndarray:
         return d
     n1, n2 = n[1], n[2]
     share = (K + 1) * n[K + 1] / n1 if n1 else 1.0
-    flat = n1 / (n1 + 2 * n2) if n1 else 0.5
+    flat = min(n1 / (n1 + 2 * n2), 0.9) if n1 else 0.5  # below one: what was seen keeps some probability
     for r in range(1, K + 1):
         good = ((r + 1) * n[r + 1] / (n[r] * r) - share) / (1 - share) if n[r] and share < 1 else 0.0
         d[r] = good if 0 < good < 1 else 1 - flat / r
