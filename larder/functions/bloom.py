@@ -8,7 +8,7 @@ import struct
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.hashing import fnv1a64
+from larder.functions.hashing import fnv1a64, little_endian
 from larder.model import CorruptError
 
 # Bounds of a filter, and the rate taken where none is given that makes sense.
@@ -71,6 +71,12 @@ def filters(bits: DataFrame) -> DataFrame:
     return dense.agg(F.transform(ordered, lambda x: x["value"]).alias("words"))
 
 
+def encoded(found: DataFrame) -> DataFrame:
+    """(gen, data) of filters(): each as encode() gives it."""
+    bits = F.unhex(F.array_join(F.transform("words", lambda w: F.hex(little_endian(w, 8))), ""))
+    return found.select("gen", F.concat(little_endian(F.col("m"), 4), little_endian(F.col("k"), 1), bits).alias("data"))
+
+
 def hashed(asked: DataFrame) -> DataFrame:
     """(key, lo, step): the distinct asked keys and the two numbers their probes are made of."""
     halves = asked.select("key").distinct().withColumn("h", fnv1a64(F.col("key")))

@@ -263,6 +263,18 @@ def bloom_prune_report(spark, sf_dir):
     return out.select(F.col("key").cast("string").alias("key"), "segments", (F.col("segments") - F.coalesce("maybe", F.lit(0))).alias("pruned"), F.coalesce("wrong", F.lit(0)).alias("false_positives"))
 
 
+@query(
+    f"""WITH {LOG}, {HASHED.format('log')}, {SIZES}, {BITS},
+    bytes AS (SELECT gen, bit_index // 8 AS place, sum(1 << (bit_index % 8)::INT) AS b FROM bits GROUP BY ALL),
+    spine AS (SELECT gen, m, k, unnest(range(0, (m + 63) // 64 * 8)) AS place FROM sizes)
+    SELECT gen, upper(lpad(to_hex(m & 255), 2, '0') || lpad(to_hex(m >> 8 & 255), 2, '0') || lpad(to_hex(m >> 16 & 255), 2, '0') || lpad(to_hex(m >> 24 & 255), 2, '0') || lpad(to_hex(k), 2, '0')
+           || string_agg(lpad(to_hex(coalesce(b, 0)::BIGINT), 2, '0'), '' ORDER BY place)) AS filter
+    FROM spine LEFT JOIN bytes USING (gen, place) GROUP BY gen, m, k"""
+)
+def encoded_filters(spark, sf_dir):
+    return bloom.encoded(bloom.filters(bloom.build(keyed(spark, sf_dir), 0.01))).select("gen", F.hex("data").alias("filter"))
+
+
 def samples(spark, sf_dir):
     """Gaps between a user's events as latencies."""
     from pyspark.sql import Window
@@ -526,6 +538,40 @@ def encoded_records(spark, sf_dir):
     return last.select("pos", F.hex(record).alias("record"))
 
 
+@query(
+    """SELECT n_name AS key, CASE WHEN n_regionkey = 2 THEN 'again' ELSE 'nation ' || n_nationkey END AS value, n_nationkey = 7 AS was_read,
+           2 AS segments, (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_regionkey IN (2, 3)) AS entries
+    FROM nation WHERE n_regionkey NOT IN (1, 3)"""
+)
+def table_calls(spark, sf_dir):
+    """The calls of a table one after another: a batch of puts and deletes, a flush, bulk puts and deletes,
+    another handle, single reads, and its shape."""
+    from larder.plans.table import KVTable
+    from larder.sources.scratch import folder
+
+    nation = table(spark, sf_dir, "nation")
+    rows = nation.select("n_nationkey", "n_name", "n_regionkey").collect()  # 25
+    root = folder(spark, "table-calls")
+    store = KVTable.open(spark, root)
+    batch = store.batch()
+    for r in rows:
+        batch.put(r["n_name"].encode(), b"staged first").put(r["n_name"].encode(), f"nation {r['n_nationkey']}".encode())
+        if r["n_regionkey"] == 1:
+            batch.delete(r["n_name"].encode())
+    batch.commit()
+    store.flush()
+    key = F.col("n_name").cast("binary").alias("key")
+    store.put_many(nation.where("n_regionkey = 2").select(key, F.lit(b"again").alias("value")))
+    store.delete_many(nation.where("n_regionkey = 3").select(key))
+    store.close()
+    store = KVTable.open(spark, root)
+    store.flush()
+    seven = next(r["n_name"].encode() for r in rows if r["n_nationkey"] == 7)
+    read = seven if store.has(seven) and store.get(seven) is not None else b""
+    state = store.state().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), (F.col("key") == F.lit(bytearray(read))).alias("was_read"))
+    return state.crossJoin(F.broadcast(store.stats().select("segments", F.col("segment_entries").alias("entries"))))
+
+
 @query(
     """WITH kept AS (SELECT n_name AS key, 'nation ' || n_nationkey AS value FROM nation WHERE n_regionkey NOT IN (1, 3))
     SELECT key, value, (SELECT count(*) + count(*) FILTER (WHERE n_regionkey IN (1, 3)) FROM nation) AS applied, 'torn' AS cause
