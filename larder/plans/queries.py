@@ -446,7 +446,7 @@ def operations(spark, sf_dir):
     f"""WITH {OPERATIONS} SELECT count(*) AS operations, count(*) FILTER (WHERE kind = 'read' AND NOT failed AND NOT found) AS misses,
     count(*) FILTER (WHERE kind = 'read' AND failed) AS read_errors, CAST(coalesce(sum(bytes) FILTER (WHERE kind <> 'read' AND NOT failed), 0) AS BIGINT) AS bytes_written FROM operations"""
 )
-def operation_counters(spark, sf_dir):
+def run_counters(spark, sf_dir):
     return metrics.counters(operations(spark, sf_dir))
 
 
