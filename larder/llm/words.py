@@ -67,7 +67,7 @@ class WordScan:
     """64-bit hashes of all words of a text at once, without a Python object for each: a polynomial over
     a random number per byte, by prefix sums modulo 2^64. With `lower`, A-Z count as a-z."""
 
-    PIECE = 4 << 20  # bytes that are looked at at once, and the rest of the last word
+    PIECE = 1 << 16  # bytes that are looked at at once, and the rest of the last word
 
     def __init__(self, lower: bool = False):
         self.table = np.array([xxhash.xxh3_64_intdigest(bytes([b + 32 if lower and 65 <= b <= 90 else b])) for b in range(256)], np.uint64)
