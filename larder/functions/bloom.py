@@ -62,10 +62,11 @@ def estimate(bits: DataFrame) -> DataFrame:
     return counted.select("gen", "m", "k", "bits", F.pow(F.col("bits") / F.col("m"), F.col("k")).alias("fpr"))
 
 
-def filters(bits: DataFrame) -> DataFrame:
-    """(gen, m, k, words): each generation's filter as one array of 64-bit words, at most MAX_BITS long."""
+def filters(bits: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(gen, m, k, words): each generation's filter as one array of 64-bit words, at most MAX_BITS long.
+    sizes, as of sized(), spare a look at all bits for them."""
     words = bits.groupBy("gen", F.floor(F.col("bit_index") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit_index % 64 as int)))").alias("value"))
-    spine = bits.select("gen", "m", "k").distinct().withColumn("word", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / 64))))
+    spine = (bits if sizes is None else sizes).select("gen", "m", "k").distinct().withColumn("word", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / 64))))
     dense = spine.join(words, ["gen", "word"], "left").groupBy("gen", "m", "k")
     ordered = F.sort_array(F.collect_list(F.struct("word", F.coalesce("value", F.lit(0).cast("long")).alias("value"))))
     return dense.agg(F.transform(ordered, lambda x: x["value"]).alias("words"))
@@ -83,19 +84,20 @@ def hashed(asked: DataFrame) -> DataFrame:
     return halves.select("key", F.col("h.lo").alias("lo"), F.col("h.hi").bitwiseOR(F.lit(1).cast("long")).alias("step"))
 
 
-def candidates(asked: DataFrame, bits: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+def candidates(asked: DataFrame, bits: DataFrame, sizes: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """(key, gen) for each asked key and each generation whose filter does not rule it out.
 
     A key is hashed once, whatever the number of generations. While the filters' bytes, which are
     counted first, are at most `most`, they are broadcast and tested in place; beyond that, probes meet
     the filters' words in an equi-join on (gen, word).
     """
-    keys = hashed(asked)
-    each = bits.select("gen", "m", "k").distinct()
+    # a fixed number of tasks: the keys are few bytes, but each meets all filters
+    keys = hashed(asked).repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    each = (bits if sizes is None else sizes).select("gen", "m", "k").distinct()
     size = each.agg(F.sum(F.col("m") / 8)).first()[0] or 0
     if size <= most:
         tests = " AND ".join(f"({i} >= k OR getbit(get(words, cast((lo + {i} * step) % m div 64 AS int)), cast((lo + {i} * step) % m % 64 AS int)) = 1)" for i in range(MAX_HASHES))
-        return keys.join(F.broadcast(filters(bits)), F.expr(tests)).select("key", "gen")
+        return keys.join(F.broadcast(filters(bits, sizes)), F.expr(tests)).select("key", "gen")
     probed = keys.crossJoin(F.broadcast(each)).select("key", "gen", "k", F.explode(F.expr("transform(sequence(0, k - 1), i -> (lo + i * step) % m)")).alias("bit_index"))
     met = probed.join(bits.select("gen", "bit_index"), ["gen", "bit_index"])
     return met.groupBy("key", "gen", "k").agg(F.count("*").alias("set")).where("set = k").select("key", "gen")

@@ -257,7 +257,7 @@ def bloom_prune_report(spark, sf_dir):
     bits = bloom.build(keys, 0.01)
     wanted = asked(spark, sf_dir).select(F.col("key").cast("binary").alias("key")).distinct()
     total = F.broadcast(keys.agg(F.countDistinct("gen").alias("segments")))
-    met = bloom.candidates(wanted, bits).join(keys.withColumn("real", F.lit(1)), ["key", "gen"], "left")
+    met = bloom.candidates(wanted, bits, bloom.sized(keys, 0.01)).join(keys.withColumn("real", F.lit(1)), ["key", "gen"], "left")
     counts = met.groupBy("key").agg(F.count("*").alias("maybe"), F.count_if(F.col("real").isNull()).alias("wrong"))
     out = wanted.join(counts, "key", "left").crossJoin(total)
     return out.select(F.col("key").cast("string").alias("key"), "segments", (F.col("segments") - F.coalesce("maybe", F.lit(0))).alias("pruned"), F.coalesce("wrong", F.lit(0)).alias("false_positives"))
@@ -272,7 +272,7 @@ def bloom_prune_report(spark, sf_dir):
     FROM spine LEFT JOIN bytes USING (gen, place) GROUP BY gen, m, k"""
 )
 def encoded_filters(spark, sf_dir):
-    return bloom.encoded(bloom.filters(bloom.build(keyed(spark, sf_dir), 0.01))).select("gen", F.hex("data").alias("filter"))
+    return bloom.encoded(bloom.filters(bloom.build(keyed(spark, sf_dir), 0.01), bloom.sized(keyed(spark, sf_dir), 0.01))).select("gen", F.hex("data").alias("filter"))
 
 
 def samples(spark, sf_dir):
