@@ -178,31 +178,6 @@ def test_blocks_split_large_buckets(spark):
     assert {(r.class_id, r.n_links) for r in out} == {(0, 39)}
 
 
-def test_large_buckets_are_split_until_they_are_small(spark, monkeypatch):
-    r = random.Random(11)
-    passage = [f"p{i}" for i in range(14)]
-    rows = [(i, " ".join(passage + [f"q{r.randrange(10**9)}" for _ in range(60)])) for i in range(400)]  # one passage, else different: no links
-    for i in range(0, 100, 2):
-        words = rows[i][1].split()
-        rows[i + 1] = (i + 1, " ".join([*words[:-1], "changed"]))
-    sizes = []
-    whole = chosen_path.plausible_edges
-
-    def spied(members, p, partitions):
-        sizes.extend(r.members for r in members.select("node", "members").distinct().collect())
-        return whole(members, p, partitions)
-
-    monkeypatch.setattr(chosen_path, "plausible_edges", spied)
-    got = {x.doc_id: x for x in chosen_path.similarity_join(docs(spark, rows), chosen_path.ChosenPath(limit=8)).collect()}
-    sets = {i: set(chosen_path.Shingles(5).of(t.encode()).tolist()) for i, t in rows}
-    for i in sets:
-        assert got[i].n_links == sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in sets if j != i)
-    deep = max(sizes)
-    sizes.clear()
-    chosen_path.similarity_join(docs(spark, rows), chosen_path.ChosenPath(limit=8, deepest=1, depth=1))
-    assert deep < 200 and max(sizes) == 400
-
-
 def test_rows_that_repeat_a_doc_id_have_their_own_texts_result(spark):
     words = [f"t{i}" for i in range(60)]
     a, near, b = " ".join(words), " ".join([*words, "more"]), " ".join(f"u{i}" for i in range(60))
