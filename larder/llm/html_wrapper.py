@@ -1,13 +1,17 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees of elements and text blocks; elements without text go, and neighbours of the same
-shape are folded into one slot. The wrapper of a host is the union of a few of its pages (those with the
-least hashes of their html, first one of each layout, commonest first, up to `references`), merged by
-simple tree matching: the largest order-keeping matching of nodes with equal tag and class, found level
-by level. So a host with several layouts has a slot for what each of them shows. Every page of the host is then aligned with
-the wrapper, and each slot is judged by what it holds across the host: on how many pages it occurs, how
-many of its characters are links or in elements that are never an article's text, and which of its texts
-recur. Pages whose longest block is the same count once, so copies of one article do not become template.
+shape are folded into one slot. The wrapper of a host is the union of the trees of all its pages, merged
+by simple tree matching: the largest order-keeping matching of nodes with equal tag and class, found level
+by level. So a host has a slot for whatever any page of any layout shows. Equal trees are merged once;
+those of a layout are united in `references` tasks side by side, then those unions, commonest layout
+first. A union of more than `most_slots` slots is not cut: the tree that does not fit begins a further
+wrapper of the host (a volume), which the pages of that tree are read by. Trees that are larger by
+themselves have volumes of their own, of up to twice the largest. Every page is then aligned with the
+wrapper that holds its tree, and each slot is judged by what it holds across the pages: on how many pages
+it occurs, how many of its characters are links or in elements that are never an article's text, and which
+of its texts recur. Pages whose longest block is the same count once, so copies of one article do not
+become template.
 
 From the root, the wrapper's content is looked for downwards: as long as beside the slot with most
 varying text there are others that hold links, never-text or template, the search goes on below it (below
@@ -17,15 +21,17 @@ links, and what tags and whole class, id and role names set aside (scripts, styl
 footers, sidebars, forms, adverts, notices, reader comments; such names do not count on html, body, main
 or what holds main, on an article only if there is another, and not at all where they would leave
 nothing). Where a page marks articles within that part, only these; where it marks them only elsewhere,
-those. Hosts with one page, and pages that align with none of it, are read by tags and names alone.
+those. Hosts with one page, and pages that align with none of it, are read by tags and names alone; pages
+of a further volume with fewer than `least_pages` different ones are read by the host's first.
 
-A wrapper is a few hundred labels and numbers, whatever the host's size, and travels to the pages by a
-broadcast of checked size or else by a join salted over `SALTS` tasks a host; what pages show is
-aggregated before it is shuffled. So a host of any size is dealt with in parallel.
+A wrapper is a few hundred labels and numbers for most hosts, and travels to the pages by a broadcast of
+checked size or else by a join salted over `SALTS` tasks a host; what pages show is aggregated before it
+is shuffled. So a host of any size is dealt with in parallel, but for the last merging of its unions, at
+least one for each layout, which is one task.
 
 Defined cases: a null or empty html gives an empty text; a null or hostless url has no host and is read
-by tags alone; broken markup is read as far as it goes; repeated rows are each read; pages of more than
-`most_chars` characters are no references, but read and aligned whole; child lists of any length are
+by tags alone; broken markup is read as far as it goes; repeated rows are each read; pages of any length
+are merged, aligned and read whole; child lists of any length are
 aligned in linear memory, but once `Matching.MOST` pairs of unequal subtrees of a page have been
 compared, further ones count by their labels alone; an empty table gives an empty result; other columns
 are ignored.
@@ -36,8 +42,10 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -261,10 +269,13 @@ class Matching:
 
     def best(self, xs: list, ys: list) -> list[tuple[int, int, int]]:
         """Pairs (i, j, score) of the heaviest order-keeping matching of two child lists, in order. Equal
-        beginnings and ends are matched at once."""
+        beginnings and ends are matched at once, the last of both before the beginnings take it."""
         lo, hi_x, hi_y = 0, len(xs), len(ys)
         out, tail = [], []
-        while lo < hi_x and lo < hi_y and xs[lo].shape == ys[lo].shape:
+        if hi_x > 1 and hi_y > 1 and xs[-1].shape == ys[-1].shape:
+            hi_x, hi_y = hi_x - 1, hi_y - 1
+            tail.append((hi_x, hi_y, xs[hi_x].weight))
+        while lo < min(hi_x, hi_y) and xs[lo].shape == ys[lo].shape:
             out.append((lo, lo, xs[lo].weight))
             lo += 1
         while hi_x > lo and hi_y > lo and xs[hi_x - 1].shape == ys[hi_y - 1].shape:
@@ -372,15 +383,35 @@ def bare(page: Slot) -> Slot:
     return out
 
 
-def induced(pages: list[str], most_slots: int) -> Slot | None:
-    """The union of the pages' trees; pages that would make it larger than most_slots add nothing."""
-    wrapper = None
-    for html in pages:
-        page = folded(parse(html))
-        if page.weight <= most_slots:
-            more = bare(page) if wrapper is None else merged(wrapper, page, Matching())
-            wrapper = more if more.weight <= most_slots else wrapper
-    return wrapper
+@dataclass
+class Union:
+    """A wrapper, and the trees it holds."""
+
+    tree: Slot
+    largest: int  # slots of its largest page
+    pages: int
+    keys: list[int]  # of the trees
+
+
+def unions(trees: Iterable[tuple[list, int, int, int]], most_slots: int) -> Iterator[Union]:
+    """Wrappers that together hold every tree of (tree, largest, pages, key), those of larger pages last. A
+    tree with which the last wrapper would have too many slots begins the next."""
+    now = None
+    for raw, largest, pages, key in trees:
+        tree, matching = loads(raw, []), Matching()
+        if now is not None and (now.largest > most_slots) == (largest > most_slots):
+            held = matching.score(now.tree, tree) == tree.weight
+            more = now.tree if held else merged(now.tree, tree, matching)
+            most = max(now.largest, largest)
+            if held or more.weight <= max(most_slots, 2 * most if most > most_slots else 0):
+                now.tree, now.largest, now.pages = more, most, now.pages + pages
+                now.keys.append(key)
+                continue
+        if now is not None:
+            yield now
+        now = Union(tree, largest, pages, [key])
+    if now is not None:
+        yield now
 
 
 def dumps(wrapper: Slot) -> list:
@@ -536,14 +567,18 @@ def host_of(url: str) -> F.Column:
 
 
 TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-WRAPPER = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
-WRAPPER_DDL = "host string, wrapper string"
-SHOWN_DDL = "host string, longest long, page long, slots array<struct<slot: int, chars: long, plain: long, blocks: long>>, texts array<struct<slot: int, text: long, chars: long>>"
+WRAPPER = pa.schema([("host", pa.string()), ("volume", pa.int32()), ("wrapper", pa.string())])
+WRAPPER_DDL = "host string, volume int, wrapper string"
+OUTLINE = pa.schema([("host", pa.string()), ("h", pa.int64()), ("layout", pa.int64()), ("shape", pa.int64()), ("largest", pa.int64()), ("tree", pa.string())])
+OUTLINE_DDL = "host string, h long, layout long, shape long, largest long, tree string"
+UNITED = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("volume", pa.int32()), ("largest", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("tree", pa.string()), ("keys", pa.list_(pa.int64()))])
+UNITED_DDL = "host string, layout long, volume int, largest long, n long, part long, tree string, keys array<long>"
+SHOWN_DDL = "host string, volume int, longest long, page long, slots array<struct<slot: int, chars: long, plain: long, blocks: long>>, texts array<struct<slot: int, text: long, chars: long>>"
 COUNTED = pa.list_(pa.struct([("slot", pa.int32()), ("chars", pa.int64()), ("plain", pa.int64()), ("blocks", pa.int64())]))
 RECURRING = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.int64()), ("chars", pa.int64())]))
-SHOWN = pa.schema([("host", pa.string()), ("longest", pa.int64()), ("page", pa.int64()), ("slots", COUNTED), ("texts", RECURRING)])
-# Elements whose order of first appearance stands for a page's layout when references are chosen.
-PARTS = r"<(article|aside|blockquote|center|div|dl|footer|form|h1|h2|header|main|nav|ol|pre|section|table|ul)\b"
+SHOWN = pa.schema([("host", pa.string()), ("volume", pa.int32()), ("longest", pa.int64()), ("page", pa.int64()), ("slots", COUNTED), ("texts", RECURRING)])
+# Elements whose order of first appearance stands for a page's layout when trees are grouped.
+PARTS = frozenset("article aside blockquote center div dl footer form h1 h2 header main nav ol pre section table ul".split())
 SALTS = 16
 BROADCAST_BYTES = 64 << 20
 
@@ -572,19 +607,75 @@ class Wrappers:
         return self.known[stored]
 
 
-def with_wrapper(rows: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
-    """Rows joined with the wrapper of their host: broadcast if all wrappers are small together, else
-    salted, so that a host's pages meet it in several tasks."""
+def with_wrapper(rows: DataFrame, wrappers: DataFrame, further: DataFrame, how: str) -> DataFrame:
+    """Rows joined with the wrapper of their host, of the volume `further` has for them or else the first:
+    broadcast if all wrappers are small together, else salted, so that a host's pages meet it in several
+    tasks."""
     size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    wrappers = wrappers.withColumnRenamed("host", "of")
+    further = further.select(F.col("host").alias("in"), "h", "volume")
+    rows = rows.join(further, (F.col("host") == F.col("in")) & (F.xxhash64("html") == F.col("h")), "left").drop("in", "h")
+    rows = rows.withColumn("volume", F.coalesce("volume", F.lit(0)))
+    wrappers = wrappers.select(F.col("host").alias("of"), F.col("volume").alias("of_volume"), "wrapper")
+    same = (F.col("host") == F.col("of")) & (F.col("volume") == F.col("of_volume"))
     if size <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(wrappers), F.col("host") == F.col("of"), how)
+        return rows.join(F.broadcast(wrappers), same, how)
     wrappers = wrappers.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
-    return rows.join(wrappers, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), how)
+    return rows.join(wrappers, same & (F.col("salt") == F.col("of_salt")), how)
 
 
-def shown(html: str, host: str, wrapper: Slot) -> tuple | None:
+def layout_of(tree: list) -> int:
+    names, todo = {}, [tree]
+    while todo:
+        label, *kids = todo.pop()
+        names.setdefault(label.split(" ")[0])
+        todo.extend(reversed(kids))
+    return text_key(" ".join(n for n in names if n in PARTS))
+
+
+def outlines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of OUTLINE from (host, h, html); a tree goes with the first page of the task that has it."""
+    known: dict[str, tuple[int, int]] = {}
+    sent: set[tuple[str, int]] = set()
+    for batch in batches:
+        out = []
+        for host, h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            page = folded(parse(html.as_py()))
+            if not page.kids:
+                continue
+            raw = dumps(page)
+            tree = json.dumps(raw)
+            if tree not in known:
+                if len(known) >= 1024:
+                    known.clear()
+                known[tree] = layout_of(raw), text_key(tree)
+            layout, shape = known[tree]
+            new = (host, shape) not in sent
+            if new:
+                if len(sent) >= 100_000:
+                    sent.clear()
+                sent.add((host, shape))
+            out.append((host, h, layout, shape, page.weight, tree if new else None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), OUTLINE)], schema=OUTLINE)
+
+
+def united(rows: DataFrame, most_slots: int) -> DataFrame:
+    """The unions of each run of rows (host, layout, salt, tree, largest, n, key) with equal first three."""
+
+    def run(batches):
+        each = (r for batch in batches for r in zip(*batch.columns))
+        for (host, layout, _), group in groupby(each, key=lambda r: tuple(x.as_py() for x in r[:3])):
+            trees = ((json.loads(r[3].as_py()), *(x.as_py() for x in r[4:7])) for r in group)
+            for volume, u in enumerate(unions(trees, most_slots)):
+                tree = json.dumps(dumps(u.tree))
+                row = host, layout, volume, u.largest, u.pages, text_key(tree), tree, u.keys
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, UNITED)], schema=UNITED)
+
+    return rows.mapInArrow(run, UNITED_DDL)
+
+
+def shown(html: str, host: str, volume: int, wrapper: Slot) -> tuple | None:
     """The row of SHOWN of a page."""
     page = parse(html)
     every = blocks(page)
@@ -598,11 +689,11 @@ def shown(html: str, host: str, wrapper: Slot) -> tuple | None:
         if w.label == TEXT_SLOT:
             texts.update(((w.number, text_key(b.text)), len(b.text)) for b in own)
     longest = text_key(max((b.text for b in every), key=len))
-    return host, longest, text_key(html), slots, [{"slot": s, "text": t, "chars": n} for (s, t), n in texts.items()]
+    return host, volume, longest, text_key(html), slots, [{"slot": s, "text": t, "chars": n} for (s, t), n in texts.items()]
 
 
-def judged(wrapper: str, slots: list[dict], texts: list[dict], least_pages: int) -> str:
-    """A wrapper with what its slots are."""
+def judged(wrapper: str, slots: list[dict], texts: list[dict], volume: int, least_pages: int) -> str | None:
+    """A wrapper with what its slots are; none if it has too few pages to tell."""
     raw, by_number = json.loads(wrapper), []
     root = loads(raw["tree"], by_number)
     seen = {s["slot"]: Seen(s["pages"], s["chars"], s["plain"], 0, s["blocks"]) for s in slots or ()}
@@ -616,59 +707,58 @@ def judged(wrapper: str, slots: list[dict], texts: list[dict], least_pages: int)
             if at not in above:
                 break
             at = above[at]
-    if seen and seen[root.number].pages > 1:
-        raw |= {"content": content(root, seen), "links": link_lists(by_number, seen, least_pages), "fixed": [[t["slot"], t["text"]] for t in texts or ()]}
+    if not seen or seen[root.number].pages < (max(2, least_pages) if volume else 2):
+        return None
+    raw |= {"content": content(root, seen), "links": link_lists(by_number, seen, least_pages), "fixed": [[t["slot"], t["text"]] for t in texts or ()]}
     return json.dumps(raw)
 
 
-def induce(rows: DataFrame, references: int, most_chars: int, most_slots: int, share: float, least_pages: int, scratch: Scratch) -> DataFrame:
-    """(host, wrapper) of hosts with two or more pages, from rows (host, html) with both."""
-    layout = F.xxhash64(F.array_distinct(F.regexp_extract_all("html", F.lit(PARTS), F.lit(1))))
-    hashed = rows.where(F.char_length("html") <= most_chars).select("host", F.xxhash64("html").alias("h"), layout.alias("layout"))
-    least = hashed.groupBy("host", "layout", F.pmod("h", F.lit(references)).alias("r")).agg(F.min("h").alias("least"), F.count("*").alias("n"))
-    of_layout = Window.partitionBy("host", "layout")
-    least = least.withColumn("turn", F.row_number().over(of_layout.orderBy("least"))).withColumn("n", F.sum("n").over(of_layout))
-    first = least.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("turn", F.desc("n"), "least"))).where(F.col("rank") <= references)
-    # a host has one page if its first reference is its only one and stands for one page
-    several = first.groupBy("host").agg(F.max("n").alias("n"), F.collect_list("least").alias("least")).where((F.col("n") > 1) | (F.size("least") > 1))
-    chosen = scratch.keep(several.select(F.col("host").alias("of"), F.explode("least").alias("least")))
-    found = rows.join(chosen, (F.col("host") == F.col("of")) & (F.xxhash64("html") == F.col("least"))).groupBy("host", "least").agg(F.min("html").alias("html"))
-    grouped = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("least", "html"))).alias("pages"))
-
-    def build(batches):
-        for batch in batches:
-            for host, pages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                wrapper = induced([p["html"] for p in pages], most_slots)
-                if wrapper is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps({"tree": dumps(wrapper)})])], schema=WRAPPER)
-
-    trees = scratch.keep(grouped.mapInArrow(build, WRAPPER_DDL))
+def induce(rows: DataFrame, references: int, most_slots: int, share: float, least_pages: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(host, volume, wrapper) of hosts with two or more pages, from rows (host, html) with both, and
+    (host, h, volume) of the pages that are not of the first volume, by the hash of their html."""
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism  # merging is long for few bytes
+    outlined = scratch.keep(rows.select("host", F.xxhash64("html").alias("h"), "html").mapInArrow(outlines, OUTLINE_DDL))
+    trees = outlined.groupBy("host", "layout", "shape").agg(F.count("*").alias("n"), F.min("largest").alias("largest"), F.min("tree").alias("tree"))
+    trees = trees.withColumn("salt", F.pmod("shape", F.lit(references)))
+    trees = trees.repartition(tasks, "host", "layout", "salt").sortWithinPartitions("host", "layout", "salt", F.col("largest") > most_slots, F.desc("n"), "shape")
+    parts = scratch.keep(united(trees.select("host", "layout", "salt", "tree", "largest", "n", "shape"), most_slots))
+    ranked = parts.withColumn("of_layout", F.sum("n").over(Window.partitionBy("host", "layout"))).repartition(tasks, "host")
+    ranked = ranked.sortWithinPartitions("host", F.col("largest") > most_slots, F.desc("of_layout"), "layout", F.desc("n"), "part")
+    whole = scratch.keep(united(ranked.select("host", F.lit(0).cast("long").alias("layout"), F.lit(0).alias("salt"), "tree", "largest", "n", "part"), most_slots).where("n > 1"))
+    of_part = whole.where("volume > 0").select("host", "volume", F.explode("keys").alias("part"))
+    of_shape = of_part.join(parts.select("host", "part", F.explode("keys").alias("shape")), ["host", "part"])
+    further = scratch.keep(outlined.join(of_shape, ["host", "shape"]).groupBy("host", "h").agg(F.min("volume").alias("volume")))
+    wrappers = scratch.keep(whole.select("host", "volume", F.concat(F.lit('{"tree": '), "tree", F.lit("}")).alias("wrapper")))
+    scratch.drop(outlined, parts, whole)
 
     def compare(batches):
         met = Wrappers()
         for batch in batches:
-            out = [shown(html.as_py(), host, met.get(stored)[0]) for html, host, stored in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            out = [shown(html.as_py(), host, volume, met.get(stored)[0]) for html, host, volume, stored in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]))]
             out = [x for x in out if x]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SHOWN)], schema=SHOWN)
 
-    pages = with_wrapper(rows, trees, "inner").select("html", "host", "wrapper").mapInArrow(compare, SHOWN_DDL)
-    once = scratch.keep(pages.groupBy("host", "longest").agg(F.min_by(F.struct("slots", "texts"), "page").alias("s")).select("host", "s.*"))
-    slots = once.select("host", F.explode("slots").alias("x")).select("host", "x.*").groupBy("host", "slot")
+    of = ["host", "volume"]
+    pages = with_wrapper(rows, wrappers, further, "inner").select("html", *of, "wrapper").mapInArrow(compare, SHOWN_DDL)
+    once = scratch.keep(pages.groupBy(*of, "longest").agg(F.min_by(F.struct("slots", "texts"), "page").alias("s")).select(*of, "s.*"))
+    slots = once.select(*of, F.explode("slots").alias("x")).select(*of, "x.*").groupBy(*of, "slot")
     slots = scratch.keep(slots.agg(F.count("*").alias("pages"), *(F.sum(c).alias(c) for c in ("chars", "plain", "blocks"))))
-    texts = once.select("host", F.explode("texts").alias("x")).select("host", "x.*").groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("fixed_chars")).where(F.col("n") >= least_pages)
+    texts = once.select(*of, F.explode("texts").alias("x")).select(*of, "x.*").groupBy(*of, "slot", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("fixed_chars")).where(F.col("n") >= least_pages)
     # at most 1 / share texts of a page's length for each slot
-    fixed = texts.join(slots.select("host", "slot", "pages"), ["host", "slot"]).where(F.col("n") >= share * F.col("pages"))
-    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "text", F.col("fixed_chars").alias("chars"))).alias("texts"))
-    facts = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "chars", "plain", "blocks")).alias("slots"))
+    fixed = texts.join(slots.select(*of, "slot", "pages"), [*of, "slot"]).where(F.col("n") >= share * F.col("pages"))
+    fixed = fixed.groupBy(*of).agg(F.collect_list(F.struct("slot", "text", F.col("fixed_chars").alias("chars"))).alias("texts"))
+    facts = slots.groupBy(*of).agg(F.collect_list(F.struct("slot", "pages", "chars", "plain", "blocks")).alias("slots"))
 
     def judge(batches):
         for batch in batches:
-            hosts, *columns = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([judged(*x, least_pages) for x in zip(*columns)], pa.string())], schema=WRAPPER)
+            hosts, volumes, *columns = (c.to_pylist() for c in batch.columns)
+            out = [judged(*x, volume, least_pages) for volume, *x in zip(volumes, *columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((hosts, volumes, out), WRAPPER)], schema=WRAPPER)
 
-    all_facts = trees.join(facts, "host", "left").join(fixed, "host", "left").select("host", "wrapper", "slots", "texts")
-    return scratch.keep(all_facts.mapInArrow(judge, WRAPPER_DDL))
+    all_facts = wrappers.join(facts, of, "left").join(fixed, of, "left").select(*of, "wrapper", "slots", "texts")
+    known = scratch.keep(all_facts.mapInArrow(judge, WRAPPER_DDL).where("wrapper IS NOT NULL"))
+    return known, further.join(known.select(*of), of, "left_semi")
 
 
 def read_page(html: str, wrapper: tuple | None) -> str:
@@ -689,7 +779,7 @@ def read_page(html: str, wrapper: tuple | None) -> str:
     return main_text(page, regions)
 
 
-def extract(pages: DataFrame, references: int = 6, share: float = 0.5, least_pages: int = 3, most_chars: int = 1_000_000, most_slots: int = 4000) -> DataFrame:
+def extract(pages: DataFrame, references: int = 6, share: float = 0.5, least_pages: int = 3, most_slots: int = 4000) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages.
 
     A text is template in a slot if at least `least_pages` pages with the slot (copies once) and at least
@@ -699,7 +789,7 @@ def extract(pages: DataFrame, references: int = 6, share: float = 0.5, least_pag
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.withColumn("host", F.nullif(host_of("url"), F.lit("")))
     known = rows.where("host IS NOT NULL AND html <> ''").select("host", "html")
-    wrappers = induce(known, references, most_chars, most_slots, share, least_pages, scratch)
+    wrappers, further = induce(known, references, most_slots, share, least_pages, scratch)
 
     def read(batches):
         met = Wrappers()
@@ -712,4 +802,4 @@ def extract(pages: DataFrame, references: int = 6, share: float = 0.5, least_pag
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), TEXT)], schema=TEXT)
 
-    return with_wrapper(rows, wrappers, "left").select("page_id", "url", "html", "wrapper").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return with_wrapper(rows, wrappers, further, "left").select("page_id", "url", "html", "wrapper").mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import os
 import random
@@ -389,6 +390,64 @@ def test_the_wrapper_finds_articles_without_telling_tags(spark):
     one = {x.page_id: x.text for x in html_wrapper.extract(df, references=1).collect()}
     assert all(one[i] == want[i] for i in want if i % 3)  # one reference knows one layout
 
+def pages_of_layouts(nests, each, r, tail="<p>Sign up for our weekly letter.</p>"):
+    """Rows and their texts: pages of one host without telling tags, whose stories stand in different elements."""
+    rows, want = [], {}
+    for nest in nests:
+        for _ in range(each):
+            i = len(rows)
+            html, want[i] = bare_page(i, r, layout=1)
+            story = html[html.index("<section>") + 9 : html.index("</section>")]
+            inner = "".join(f"<{x}>" for x in nest) + story + tail + "".join(f"</{x}>" for x in reversed(nest))
+            rows.append((i, f"https://many.example/{i}", html.replace(f"<section>{story}</section>", inner)))
+    return rows, want
+
+
+NESTS = [n for k in (1, 2) for n in itertools.permutations(("section", "blockquote", "center"), k)]
+
+
+def test_a_host_with_more_layouts_than_references_is_read_whole(spark):
+    rows, want = pages_of_layouts(NESTS, 6, random.Random(2))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_wrapper.extract(df).collect()} == want
+    assert {x.page_id: x.text for x in html_wrapper.extract(df, references=1).collect()} == want
+
+
+def test_trees_of_one_layout_are_all_merged(spark):
+    nests = [("div",) * k + (x,) for x in ("address", "fieldset", "figure", "hgroup", "section") for k in (1, 2)]
+    rows, want = pages_of_layouts(nests, 6, random.Random(4))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_wrapper.extract(df).collect()} == want
+
+
+def test_what_does_not_fit_a_wrapper_is_in_a_further_one(spark):
+    rows, want = pages_of_layouts(NESTS, 6, random.Random(5))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = df.select(F.lit("many.example").alias("host"), "html")
+    trees = [json.dumps(html_wrapper.dumps(html_wrapper.folded(html_wrapper.parse(x[2])))) for x in rows]
+    most = max(html_wrapper.folded(html_wrapper.parse(x[2])).weight for x in rows) + 4
+    made = list(html_wrapper.unions(((json.loads(t), 0, 1, i) for i, t in enumerate(trees)), most))
+    assert len(made) > 1 and sorted(k for u in made for k in u.keys) == list(range(len(rows)))
+    for u in made:
+        for k in u.keys:
+            page = html_wrapper.folded(html_wrapper.parse(rows[k][2]))
+            assert html_wrapper.Matching().score(u.tree, page) == page.weight
+    wrappers, further = html_wrapper.induce(pages, 6, most, 0.5, 3, Scratch(spark, "wrapper"))
+    assert wrappers.count() > 1 and further.count() == further.select("h").distinct().count() > 0
+    assert {x.page_id: x.text for x in html_wrapper.extract(df, most_slots=most).collect()} == want
+
+
+def test_last_children_stay_last():
+    long, short = (html_wrapper.folded(html_wrapper.parse(f"<div>{x}</div>")).kids[0] for x in ("<h1>t</h1><p>a</p><h2>b</h2><p>c</p>", "<h1>t</h1><p>c</p>"))
+    assert [(i, j) for i, j, _ in html_wrapper.Matching().best(long.kids, short.kids)] == [(0, 0), (3, 1)]
+
+
+def test_hosts_of_very_long_pages_have_a_wrapper(spark):
+    tail = "<p>Sign up for our weekly letter.</p>" + "<!--" + "x" * 1_000_000 + "-->"
+    rows, want = pages_of_layouts([("div",)], 4, random.Random(6), tail)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_wrapper.extract(df).collect()} == want
+
 
 def test_large_wrapper_tables_are_joined_by_salt(spark, monkeypatch):
     r = random.Random(1)
