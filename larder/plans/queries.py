@@ -254,13 +254,14 @@ def bloom_fpr_estimate(spark, sf_dir):
 )
 def bloom_prune_report(spark, sf_dir):
     keys = keyed(spark, sf_dir)
-    bits = bloom.build(keys, 0.01)
+    sizes = bloom.sized(keys, 0.01)
     wanted = asked(spark, sf_dir).select(F.col("key").cast("binary").alias("key")).distinct()
-    total = F.broadcast(keys.agg(F.countDistinct("gen").alias("segments")))
-    met = bloom.candidates(wanted, bits, bloom.sized(keys, 0.01)).join(keys.withColumn("real", F.lit(1)), ["key", "gen"], "left")
-    counts = met.groupBy("key").agg(F.count("*").alias("maybe"), F.count_if(F.col("real").isNull()).alias("wrong"))
-    out = wanted.join(counts, "key", "left").crossJoin(total)
-    return out.select(F.col("key").cast("string").alias("key"), "segments", (F.col("segments") - F.coalesce("maybe", F.lit(0))).alias("pruned"), F.coalesce("wrong", F.lit(0)).alias("false_positives"))
+    total = F.broadcast(sizes.agg(F.countDistinct("gen").alias("segments")))
+    counts = bloom.counted(wanted, bloom.placed(keys, 0.01), sizes)
+    real = keys.where("gen IS NOT NULL").groupBy("key").agg(F.count("*").alias("real"))  # a filter lets all its own keys pass
+    out = wanted.join(counts, "key", "left").join(real, "key", "left").crossJoin(total)
+    maybe = F.coalesce("maybe", F.lit(0))
+    return out.select(F.col("key").cast("string").alias("key"), "segments", (F.col("segments") - maybe).alias("pruned"), (maybe - F.coalesce("real", F.lit(0))).alias("false_positives"))
 
 
 @query(

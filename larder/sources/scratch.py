@@ -18,6 +18,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of folder()'s."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_file(spark: SparkSession, path: str, content: bytes) -> None:
     """Write a small file wherever Spark can."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 import os
 import struct
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +13,7 @@ from larder.functions import bloom, hashing, workload
 from larder.model import CorruptError, EmptyKeyError, Options, RecordTooLargeError, UnknownVersionError
 from larder.operators import log as ops
 from larder.operators import metrics, recovery
-from larder.plans import load
+from larder.plans import load, queries
 from larder.plans.table import KVTable, file_stats
 from larder.sources import records, segments
 from larder.sources.manifest import Manifest, PublishConflict
@@ -104,6 +105,38 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     assert 0.003 < bloom.estimate(bits).first().fpr < 0.03
 
 
+def test_bloom_counts_and_candidates_are_those_of_each_filter(spark):
+    held = {g: [b"%d-%d" % (g, i) for i in range(n)] for g, n in enumerate([1, 2, 9, 53, 54, 70, 70, 70, 71, 300, 300, *[60] * 20])}
+    places = lambda key, m, k: [((h := hashing.fnv1a64_of(key)) % 2**32 + i * (h >> 32 | 1)) % m for i in range(k)]
+    sizes = {g: bloom.size_for(len(ks), 0.01) for g, ks in held.items()}
+    bits = {g: {b for x in ks for b in places(x, *sizes[g])} for g, ks in held.items()}
+    wanted = [x for ks in held.values() for x in ks[:20]] + [b"no%d" % i for i in range(1500)]
+    want = {(x, g) for x in wanted for g in held if bits[g].issuperset(places(x, *sizes[g]))}
+    keys = spark.createDataFrame([(g, bytearray(x)) for g, ks in held.items() for x in ks], "gen long, key binary")
+    asked = spark.createDataFrame([(bytearray(x),) for x in wanted] + [(bytearray(wanted[0]),), (None,)], "key binary")
+    per = {x: sum((x, g) in want for g in held) for x in wanted}
+    for most in (bloom.BROADCAST_BYTES, 700):  # in one block and in several
+        found = [(bytes(r.key), r.gen) for r in bloom.candidates(asked, bloom.build(keys, 0.01), bloom.sized(keys, 0.01), most).collect()]
+        assert len(found) == len(want) and set(found) == want
+        counted = [(bytes(r.key), r.maybe) for r in bloom.counted(asked, bloom.placed(keys, 0.01), bloom.sized(keys, 0.01), most).collect()]
+        assert len(counted) == len(per) and dict(counted) == per
+    none = keys.limit(0)
+    assert {r.maybe for r in bloom.counted(asked, bloom.placed(none, 0.01), bloom.sized(none, 0.01)).collect()} == {0}
+    assert bloom.candidates(asked, bloom.build(none, 0.01)).count() == 0
+
+
+def test_bloom_pruning_does_not_test_pair_by_pair(spark, tmp_path):
+    rows = spark.range(10_000_000, step=250)  # two events a generation
+    rows.select(F.col("id").alias("event_id"), (F.col("id") % 977).alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(8000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    began = time.monotonic()
+    got = queries.bloom_prune_report(spark, str(tmp_path)).agg(F.count("*"), F.min("segments"), F.max("segments"), F.sum("pruned"), F.sum("false_positives")).first()
+    took = time.monotonic() - began
+    assert tuple(got)[:3] == (8000, 20_000, 20_000)
+    assert 160_000_000 - got[3] - got[4] == rows.select(F.expr("id div 500"), F.col("id") % 977).distinct().count()  # all keys that are there
+    assert took < 60  # 160 million pairs
+
+
 @pytest.mark.parametrize("bad", [b"", b"\0" * 5, struct.pack("<IB", 64, 3), struct.pack("<IB", 64, 3) + b"\0" * 9, struct.pack("<IB", 0, 3)])
 def test_malformed_filters_are_refused(bad):
     with pytest.raises(CorruptError):
